@@ -141,15 +141,29 @@ def blocks(texts: list[str], size: int = BLOCK_CHARS) -> Iterator[tuple[int, int
         yield begin, len(texts)
 
 
-def encode_texts(texts: list[str], words: WordTable) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts, flat, and the number of ids of each text. An edge between texts is a pretoken without ids."""
+def cut_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(points, begins, lengths, ends): the texts' characters, their pretokens, and for each text the pretoken after its last.
+
+    An edge between texts is a pretoken too, one without ids.
+    """
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     edge = np.array([_BETWEEN], "<u4").tobytes()
     points = np.frombuffer(edge.join(t.encode("utf-32-le") for t in texts) + edge, "<u4")
     begins = np.flatnonzero(token_starts(points))
-    lengths = np.diff(np.append(begins, len(points)))
+    return points, begins, np.diff(np.append(begins, len(points))), np.searchsorted(begins, np.cumsum(lens + 1))
+
+
+def encode_texts(texts: list[str], words: WordTable) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, flat, and the number of ids of each text."""
+    points, begins, lengths, ends = cut_words(texts)
     slots = words.slots(points, begins, lengths)
     count = words.count[slots]
     upto = np.concatenate([[0], np.cumsum(count)])
-    text_ends = np.searchsorted(begins, np.cumsum(lens + 1))
-    return words.flat[gather(words.first[slots], count)], np.diff(upto[text_ends], prepend=0)
+    return words.flat[gather(words.first[slots], count)], np.diff(upto[ends], prepend=0)
+
+
+def sentence_ends(points: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A flag for each pretoken: it ends with a full stop or the like, and white space or the text's end follows."""
+    after = begins + lengths
+    kind = _classes()[points[np.minimum(after, len(points) - 1)]]
+    return np.isin(points[after - 1], np.array([ord(c) for c in ".!?\n。！？"])) & ((kind == _BLANK) | (kind == _EDGE) | (points[after - 1] == 10))
