@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cartolyte.llm import bpe, exact_dedup, packing, substring_dedup
+from cartolyte.llm import bpe, exact_dedup, near_dedup, packing, substring_dedup
 from cartolyte.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_near_dedup": op7_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
