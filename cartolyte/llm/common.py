@@ -42,3 +42,21 @@ def drop_written(df: DataFrame) -> None:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+#: Ids that are broadcast at most (16 MB of them); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but for the rows whose doc_id is in ``gone``. The documents move only if the ids are too many to broadcast."""
+    ids = written(gone.select(F.col("doc_id").alias("_gone")), "gone")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(ids, docs["doc_id"] == ids["_gone"], "left_anti")
+
+
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids``; the same way of joining."""
+    ids = written(ids.select(F.col("doc_id").alias("_own")).distinct(), "own")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(ids, docs["doc_id"] == ids["_own"], "left_semi")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartolyte.llm.common import SPACE, text_or_empty, written
+from cartolyte.llm.common import SPACE, text_or_empty, without, written
 
 #: A chunk ends at the first sentence end after this many characters, and after the larger number in any case.
 CHUNK_MIN, CHUNK_MAX = 512, 4096
@@ -86,5 +86,4 @@ def exact_dedup(docs: DataFrame, hash_of: Callable[[Column], Column] = chunk_has
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
-    dropped = exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(dropped, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return without(docs, exact_dedup(docs).where(~F.col("kept")))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolyte.llm.common import written
+from cartolyte.llm.common import among, without, written
 from cartolyte.llm.components import connected_components
 from cartolyte.llm.pretokens import _mix, blocks
 from cartolyte.llm.words import run_hashes, split_words
@@ -126,7 +126,7 @@ def shingle_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 sets = weighted_shingles(texts[a:b])
                 yield pd.DataFrame({"doc_id": own[a:b], "elements": [e.view(np.int64) for e, _ in sets], "counts": [c if len(c) and c.max() > 1 else c[:0] for _, c in sets]})
 
-    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInPandas(run, f"doc_id {kind}, elements array<long>, counts array<long>")
+    return among(docs.select("doc_id", "text"), ids).mapInPandas(run, f"doc_id {kind}, elements array<long>, counts array<long>")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     banded = labelled.select("rep", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
     members = written(banded.join(written(buckets, "buckets").hint("shuffle_merge"), "key"), "members")
-    sets = written(shingle_table(docs, members.select(F.col("rep").alias("doc_id")).distinct()), "sets")
+    sets = written(shingle_table(docs, members.select(F.col("rep").alias("doc_id"))), "sets")
 
     stars = members.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
     checked = written(verify(stars, sets), "stars")
@@ -183,3 +183,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         label = connected_components(links.unionByName(more))
     found = label.select(F.col("node").alias("rep"), F.col("label"))
     return labelled.select("doc_id", "rep").join(found.hint("shuffle_merge"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The document of least id of each class, with all columns."""
+    return without(docs, near_duplicates(docs).where("doc_id <> class_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cartolyte.llm import bpe, exact_dedup, near_dedup, packing, substring_dedup
+from cartolyte.llm import bpe, exact_dedup, near_dedup, packing, quality, substring_dedup
 from cartolyte.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_near_dedup": op7_near_dedup,
+    "op8_quality": op8_quality,
     "op10_substring_dedup": op10_substring_dedup,
 }
 

@@ -209,12 +209,17 @@ def removed_words(w, pos: list[np.ndarray], fresh: list[np.ndarray], firsts: lis
 
 
 def _apply(docs: DataFrame, window: int, k: int, schema: str, make) -> DataFrame:
-    joined = docs.join(marked(docs, window, k).select(F.col("doc_id").alias("_doc"), "pos", "fresh", "firsts"), docs["doc_id"] == F.col("_doc"), "left").drop("_doc")
     columns = docs.columns
+    own = [f"_{n}" for n in range(len(columns))]  # names that can't clash
+    plain = docs.toDF(*own)
+    marks = marked(docs.select("doc_id", "text"), window, k)
+    joined = plain.join(marks, plain[own[columns.index("doc_id")]] == marks["doc_id"], "left").drop("doc_id")
+    text_at = own[columns.index("text")]
 
     def run(frames):
         for frame in frames:
-            texts, pos, fresh, firsts = frame["text"].fillna("").tolist(), _lists(frame, "pos"), _lists(frame, "fresh"), _lists(frame, "firsts")
+            texts, pos, fresh, firsts = frame[text_at].fillna("").tolist(), _lists(frame, "pos"), _lists(frame, "fresh"), _lists(frame, "firsts")
+            frame = frame[own].set_axis(columns, axis=1)
             for a, b in blocks(texts):
                 kept, n_words, n_removed = [], [], []
                 touched = [i for i in range(a, b) if len(pos[i])]
@@ -231,7 +236,7 @@ def _apply(docs: DataFrame, window: int, k: int, schema: str, make) -> DataFrame
                             words = [x for x, l in zip(words, lost.tolist()) if not l]
                     n_removed.append(n_words[-1] - len(words))
                     kept.append(" ".join(words))
-                yield make(frame.iloc[a:b], columns, kept, n_words, n_removed)
+                yield make(frame.iloc[a:b], kept, n_words, n_removed)
 
     return joined.mapInPandas(run, schema)
 
@@ -240,7 +245,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFr
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def make(frame, columns, kept, n_words, n_removed):
+    def make(frame, kept, n_words, n_removed):
         sha = [hashlib.sha256(t.encode()).hexdigest() for t in kept]
         return pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "n_words": n_words, "n_removed": n_removed, "kept_sha256": sha})
 
@@ -250,9 +255,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFr
 def cut_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """The documents with their columns; a text that loses words becomes its kept words joined by one space."""
 
-    def make(frame, columns, kept, n_words, n_removed):
-        text = [k if r else t for k, r, t in zip(kept, n_removed, frame["text"])]
-        out = frame[columns].assign(text=pd.Series(text, index=frame.index, dtype=object))
-        return out
+    def make(frame, kept, n_words, n_removed):
+        text = [new if lost else t for new, lost, t in zip(kept, n_removed, frame["text"])]
+        return frame.assign(text=pd.Series(text, index=frame.index, dtype=object))
 
     return _apply(docs, window, k, docs.schema, make)
