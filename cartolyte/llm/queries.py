@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cartolyte.llm import bpe, exact_dedup, near_dedup, packing, quality, substring_dedup
+from cartolyte.llm import bpe, exact_dedup, html_extract, near_dedup, packing, quality, substring_dedup, url_filter, warc
 from cartolyte.llm.common import table
 
 
@@ -21,6 +22,54 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a capture of the day its id gives, against lists whose history derives from all hosts by rule."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetch_day", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(365)).cast("int")))
+    host = url_filter.host_of(F.col("url"))
+    domains = pages.select(F.regexp_replace(host, r"^(www|m|blog)\.", "").alias("pattern")).where("pattern IS NOT NULL").distinct()
+    n = F.length("pattern")
+    day = lambda first, more: F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(first, F.lit(200)) + more)
+    change = lambda name, action, first, more, state: F.struct(F.lit(name).alias("list"), F.lit(action).alias("action"), day(first, more).alias("day"), F.lit(state).alias("state"))
+    block = F.array(change("daily", "block", n * 17, 0, "added"), change("daily", "block", n * 17, 60, "removed"), change("daily", "block", n * 17, 120, "added"))
+    allow = F.array(change("trusted", "allow", n * 5, 30, "added"))
+    none = F.slice(block, 1, 0)
+    changes = domains.select("pattern", F.explode(F.concat(F.when(n % 3 == 0, block).otherwise(none), F.when(n % 4 == 0, allow).otherwise(none))).alias("c")).select("pattern", "c.*")
+    fixed = spark.createDataFrame([("spam", "block", p, "2020-01-01", "added") for p in ("spam-farm.example.org", "cheap-pills.example.com")], "list string, action string, pattern string, day string, state string")
+    changes = changes.unionByName(fixed.withColumn("day", F.col("day").cast("date")))
+    out = url_filter.filter_captures(captures, changes)
+    return out.select("page_id", F.col("fetch_day").cast("string").alias("fetch_day"), F.col("_host").alias("host"), F.col("_blocked").alias("blocked"), F.col("_pattern").alias("pattern"), F.col("_lists").alias("lists"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as two to five captures: responses, and revisits before, after, with old and with wrong validators."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.md5(F.coalesce("html", F.lit(""))).alias("digest"))
+    start = F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 60)
+    swapped = F.when(F.startswith("url", F.lit("https:")), F.concat(F.lit("http:"), F.substr("url", F.lit(7)))).otherwise(F.concat(F.col("url"), F.lit("#again")))
+    second = F.md5(F.concat("digest", F.lit("2")))
+
+    def capture(k: int, day: int, revisit: bool, etag, payload, url=F.col("url")):
+        tag = F.concat(F.lit('W/"' if revisit else '"'), etag, F.lit('"'))
+        names = ["content-type", "content-length", "cache-control", "etag", "date"] if not revisit else ["content-length", "cache-control", "etag", "date"]
+        values = {"content-type": F.lit("text/html"), "content-length": F.lit("0" if revisit else "100"), "cache-control": F.lit(f"max-age={60 + k}"), "etag": tag, "date": F.lit(str(k))}
+        headers = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(values[n] for n in names)))
+        return F.struct(F.lit(k).alias("k"), url.alias("url"), (start + F.expr(f"INTERVAL {day} DAYS")).alias("warc_date"), F.lit(revisit).alias("is_revisit"), headers.alias("headers"), payload.alias("payload"))
+
+    nothing, d = F.lit(None).cast("string"), F.col("digest")
+    always = F.array(capture(0, 0, False, d, d), capture(1, 1, True, d, nothing, swapped))
+    fifth = F.array(capture(2, 2, False, second, second), capture(3, 3, True, F.when(F.col("page_id") % 2 == 0, d).otherwise(second), nothing))
+    seventh = F.array(capture(4, -400, True, d, nothing))
+    none = F.slice(always, 1, 0)
+    every = F.concat(always, F.when(F.col("page_id") % 5 == 0, fifth).otherwise(none), F.when(F.col("page_id") % 7 == 0, seventh).otherwise(none))
+    records = pages.select("page_id", F.explode(every).alias("c")).select((F.col("page_id") * 8 + F.col("c.k")).alias("record_id"), "page_id", "c.*")
+    out = warc.resolve_revisits(records)
+    return out.select("record_id", "page_id", "canonical", "resolution", F.col("target_id").cast("string").alias("target_id"), "payload", warc.header_lines(F.col("merged_headers")).alias("header_lines"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,6 +85,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
+    "op4_html_extract": op4_html_extract,
+    "op6_url_filter": op6_url_filter,
+    "op9_warc": op9_warc,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_near_dedup": op7_near_dedup,
     "op8_quality": op8_quality,
@@ -61,4 +113,35 @@ ORACLE_SQL = {
              k AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM p LEFT JOIN (SELECT doc_id, unnest(gone) AS i FROM g) x USING (doc_id, i) WHERE x.i IS NULL GROUP BY p.doc_id)
         SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN k USING (doc_id)""",
+    "op6_url_filter": r"""
+        WITH c AS (SELECT page_id, DATE '2024-01-01' + (page_id % 365)::INT AS fetch_day,
+                          nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.'), '') AS host FROM pages),
+             d AS (SELECT DISTINCT regexp_replace(host, '^(www|m|blog)\.', '') AS pattern FROM c WHERE host IS NOT NULL),
+             e AS (SELECT 'daily' AS list, 'block' AS action, pattern, DATE '2024-01-01' + (length(pattern) * 17 % 200)::INT AS since, DATE '2024-01-01' + (length(pattern) * 17 % 200 + 60)::INT AS until FROM d WHERE length(pattern) % 3 = 0
+                   UNION ALL SELECT 'daily', 'block', pattern, DATE '2024-01-01' + (length(pattern) * 17 % 200 + 120)::INT, DATE '9999-12-31' FROM d WHERE length(pattern) % 3 = 0
+                   UNION ALL SELECT 'trusted', 'allow', pattern, DATE '2024-01-01' + (length(pattern) * 5 % 200 + 30)::INT, DATE '9999-12-31' FROM d WHERE length(pattern) % 4 = 0
+                   UNION ALL SELECT 'spam', 'block', 'spam-farm.example.org', DATE '2020-01-01', DATE '9999-12-31'
+                   UNION ALL SELECT 'spam', 'block', 'cheap-pills.example.com', DATE '2020-01-01', DATE '9999-12-31'),
+             m AS (SELECT page_id, pattern, max(action = 'block') AS blocked, string_agg(DISTINCT list, ',' ORDER BY list) AS lists
+                   FROM c JOIN e ON (host = pattern OR ends_with(host, '.' || pattern)) AND fetch_day >= since AND fetch_day < until GROUP BY page_id, pattern),
+             b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC) = 1)
+        SELECT c.page_id, fetch_day::VARCHAR AS fetch_day, host, coalesce(blocked, false) AS blocked, pattern, lists FROM c LEFT JOIN b USING (page_id)""",
+    "op9_warc": r"""
+        WITH p AS (SELECT page_id, url, md5(coalesce(html, '')) AS d, md5(md5(coalesce(html, '')) || '2') AS d2, TIMESTAMP '2024-01-01' + to_minutes(page_id) AS t FROM pages),
+             r AS (SELECT page_id, 0 AS k, url, t AS ts, false AS is_revisit, d AS tag, d AS payload FROM p
+                   UNION ALL SELECT page_id, 1, CASE WHEN url LIKE 'https:%' THEN 'http:' || substr(url, 7) ELSE url || '#again' END, t + INTERVAL 1 DAY, true, d, NULL FROM p
+                   UNION ALL SELECT page_id, 2, url, t + INTERVAL 2 DAY, false, d2, d2 FROM p WHERE page_id % 5 = 0
+                   UNION ALL SELECT page_id, 3, url, t + INTERVAL 3 DAY, true, CASE WHEN page_id % 2 = 0 THEN d ELSE d2 END, NULL FROM p WHERE page_id % 5 = 0
+                   UNION ALL SELECT page_id, 4, url, t - INTERVAL 400 DAY, true, d, NULL FROM p WHERE page_id % 7 = 0),
+             b AS (SELECT *, page_id * 8 + k AS record_id, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.\-]*://', '') AS bare FROM r),
+             c AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www\.|:(80|443)$', '', 'g') || regexp_replace(bare, '^[^/?]*', ''), '/+$', '') AS canonical FROM b),
+             j AS (SELECT *, last_value(CASE WHEN NOT is_revisit THEN record_id END IGNORE NULLS) OVER (PARTITION BY canonical ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS found FROM c),
+             f AS (SELECT j.*, x.tag AS found_tag, x.payload AS found_payload, x.k AS found_k FROM j LEFT JOIN c x ON j.found = x.record_id),
+             s AS (SELECT *, CASE WHEN NOT is_revisit THEN 'response' WHEN found IS NULL THEN 'missing' WHEN tag = found_tag THEN 'resolved' ELSE 'mismatch' END AS resolution FROM f)
+        SELECT record_id, page_id, canonical, resolution, CASE WHEN resolution = 'resolved' THEN found::VARCHAR END AS target_id,
+               CASE WHEN resolution = 'resolved' THEN found_payload WHEN resolution = 'response' THEN payload END AS payload,
+               'cache-control: max-age=' || (60 + k) || chr(10) || 'content-length: ' || CASE WHEN resolution IN ('response', 'resolved') THEN '100' ELSE '0' END || chr(10)
+               || CASE WHEN resolution IN ('response', 'resolved') THEN 'content-type: text/html' || chr(10) ELSE '' END || 'date: ' || k || chr(10)
+               || 'etag: ' || CASE WHEN is_revisit THEN 'W/' ELSE '' END || '"' || tag || '"' AS header_lines
+        FROM s""",
 }
