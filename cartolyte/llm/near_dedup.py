@@ -10,10 +10,11 @@ time passes the latest first arrival of all registers. Two documents agree in a
 
 Candidates. ``BANDS`` bands of ``ROWS`` registers: a pair at 0.8 is missed with probability 8e-6. Documents with the
 same weighted set are one class from the start and have one representative, so exact copies add no candidates. In each
-bucket every representative is verified against the least one; linked ones join into components. What is left in a
-bucket is pairs between components. The metric rules most of those out: two members whose similarities to the bucket's
-least differ by more than 0.2 can't be within 0.2 of each other. All others are verified. So no link between candidate
-pairs is lost, and pairs within a component, whose number grows with its square, are never formed.
+bucket every representative is verified against the least one; linked ones join into components, and pairs within a
+component are never formed. What is left in a bucket is pairs between components. The metric rules out those whose
+similarities to the bucket's least differ by more than 0.2, and a sketch of two bits a register those that differ in
+more registers than a pair at 0.8 does but with probability 4e-6. The rest, in the first bucket that a pair shares, is
+verified, so no link between candidate pairs is lost.
 
 Defined cases: null and empty texts have no shingles and are classes of their own; texts of one to four words have one
 shingle, all of their words; repeated texts share a class; ties don't arise, as classes are named by the least id; an
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolyte.llm.common import among, without, written
@@ -91,7 +92,10 @@ def jaccard_p(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> f
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, f1, f2, keys): the fingerprint of the weighted set and the band keys; f1 is null without shingles."""
+    """(doc_id, f1, f2, keys, bits): the fingerprint of the weighted set, the band keys, and two bits of each register.
+
+    All but the id are null without shingles.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     factors = _mix(np.arange(rows, dtype=np.uint64)) | np.uint64(1)
 
@@ -99,20 +103,23 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
         for frame in frames:
             texts, ids = frame["text"].fillna("").tolist(), frame["doc_id"].to_numpy()
             for a, b in blocks(texts):
-                f1, f2, keys = [], [], []
+                f1, f2, keys, bits = [], [], [], []
                 with np.errstate(over="ignore"):
                     for elements, counts in weighted_shingles(texts[a:b]):
                         if not len(elements):
-                            f1.append(None), f2.append(None), keys.append(None)
+                            f1.append(None), f2.append(None), keys.append(None), bits.append(None)
                             continue
                         both = _mix(elements + counts.astype(np.uint64))
                         f1.append(int(both.sum().view(np.int64)))
                         f2.append(int(_mix(both).sum().view(np.int64)))
-                        z = signature(elements, weights_of(counts), bands * rows).reshape(bands, rows)
+                        z = signature(elements, weights_of(counts), bands * rows)
+                        two = _mix(z ^ np.uint64(0xA5A5))
+                        bits.append(np.concatenate([np.packbits((two >> np.uint64(k)).astype(np.uint8) & 1).view(np.int64) for k in (20, 21)]))
+                        z = z.reshape(bands, rows)
                         keys.append(_mix((z * factors).sum(axis=1) + np.arange(bands, dtype=np.uint64)).view(np.int64))
-                yield pd.DataFrame({"doc_id": ids[a:b], "f1": pd.array(f1, "Int64"), "f2": pd.array(f2, "Int64"), "keys": keys})
+                yield pd.DataFrame({"doc_id": ids[a:b], "f1": pd.array(f1, "Int64"), "f2": pd.array(f2, "Int64"), "keys": keys, "bits": bits})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, f1 long, f2 long, keys array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, f1 long, f2 long, keys array<long>, bits array<long>")
 
 
 def shingle_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -145,12 +152,24 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("a", "xe", "xc"), "a").join(side("b", "ye", "yc"), "b").mapInPandas(run, f"a {kind}, b {kind}, similarity double")
 
 
+def _differing(n: int) -> Column:
+    """In how many registers the two-bit sketches of both sides differ."""
+    words = [F.bit_count(F.col(f"p{i}1").bitwiseXOR(F.col(f"p{i}2")).bitwiseOR(F.col(f"q{i}1").bitwiseXOR(F.col(f"q{i}2")))) for i in range(n)]
+    return sum(words[1:], words[0])
+
+
+def most_differing(similarity: float, registers: int) -> int:
+    """Registers in which the sketches of a pair of that similarity differ, and 4.5 standard deviations."""
+    share = 0.75 * (1 - similarity)
+    return int(registers * share + 4.5 * (registers * share * (1 - share)) ** 0.5)
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id): each document with the least id of its class."""
     signed = written(signatures(docs, bands, rows), "signatures")
     groups = written(signed.where("f1 IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "same-sets")
     labelled = signed.join(groups.hint("shuffle_merge"), ["f1", "f2"], "left").select(
-        "doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")
+        "doc_id", F.coalesce("rep", "doc_id").alias("rep"), *(F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("keys", "bits"))
     )
     labelled = written(labelled, "labelled")
 
@@ -165,7 +184,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     links = checked.where(enough).select("a", "b")
     label = connected_components(links)
 
-    # Pairs between components of a bucket that the distances to its least don't rule out.
+    # Members of buckets that hold several components. A pair comes up in the first bucket that it shares.
     placed = (
         members.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left")
         .join(checked.select(F.col("a").alias("rep"), F.col("b").alias("least"), "similarity"), ["rep", "least"], "left")
@@ -173,10 +192,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     )
     placed = written(placed, "placed")
     mixed = placed.groupBy("key").agg((F.min("part") != F.max("part")).alias("mixed")).where("mixed").select("key")
-    open_ = written(placed.where("NOT is_least").join(written(mixed, "mixed").hint("shuffle_merge"), "key", "left_semi"), "open")
-    x, y = (open_.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("rep", "part", "s"))) for i in (1, 2))
-    across = x.join(y, "key").where(F.col("rep1") > F.col("rep2")).where((F.col("part1") != F.col("part2")) & (F.abs(F.col("s1") - F.col("s2")) <= 1 - similarity + 1e-9))
-    across = written(across.select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "across")
+    open_ = placed.where("NOT is_least").drop("is_least").join(written(mixed, "mixed").hint("shuffle_merge"), "key", "left_semi")
+    n = bands * rows // 64
+    planes = [F.col("bits")[i].alias(f"p{i}") for i in range(n)] + [F.col("bits")[n + i].alias(f"q{i}") for i in range(n)]
+    open_ = written(open_.join(labelled.where("keys IS NOT NULL").select("rep", "keys", *planes).hint("shuffle_merge"), "rep"), "open")
+    x, y = (open_.select("key", *(F.col(c).alias(f"{c}{i}") for c in open_.columns if c != "key")) for i in (1, 2))
+    near = (F.col("rep1") > F.col("rep2")) & (F.col("part1") != F.col("part2")) & (F.abs(F.col("s1") - F.col("s2")) <= 1 - similarity + 1e-9)
+    near &= (_differing(n) <= most_differing(similarity, bands * rows)) & (F.array_min(F.array_intersect("keys1", "keys2")) == x["key"])
+    across = x.join(y.hint("shuffle_merge"), (x["key"] == y["key"]) & near).select(F.col("rep1").alias("a"), F.col("rep2").alias("b"))
+    across = written(across.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "across")
     more = verify(across, sets).where(enough).select("a", "b")
     more = written(more, "more-links")
     if not more.isEmpty():
