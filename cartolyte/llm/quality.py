@@ -7,9 +7,9 @@ abusive. One weight vector is shared by all grades; ordered thresholds
 t_1 < t_2 < ... turn the score s into tail probabilities P(grade >= k) = 1 / (1 + exp(t_k - s)), whose sum is the
 expected grade.
 
-Training fits a bounded sample of rated documents, ``SAMPLE`` at most, chosen by a hash of their ids; the features are
-made on Spark and only the sample's sparse features come to the driver. The model has a fixed size (``BITS``), so it
-is broadcast. Scoring is one pass over all whole texts without a shuffle.
+Training fits a bounded sample of rated documents, ``SAMPLE`` at most, chosen by a hash of their ids: the features are
+made where the documents are read, one task fits the sample, and only the weights come to the driver. The model has a
+fixed size (``BITS``), so it is broadcast. Scoring is one pass over all whole texts without a shuffle.
 
 Grades: 0 for low quality, 1 for good prose that is toxic, 2 for good prose that is not.
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 #: Size of the hashed feature space, as a power of two.
 BITS = 20
 #: Rated documents that the model is fitted on, at most.
-SAMPLE = 6000
+SAMPLE = 5000
 GRADES = 3
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SHARES = 8
@@ -151,15 +151,25 @@ def rated(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
 
 def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SAMPLE) -> Model:
-    def run(frames):
+    def make(frames):
         slots: dict[str, int] = {}
         for frame in frames:
             made = [features(t, slots, bits) for t in frame["text"].fillna("")]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "grade": frame["grade"].astype("int64"), "at": [a for a, _ in made], "value": [v for _, v in made]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "grade": frame["grade"].astype("int64"), "at": [a.astype(np.int32) for a, _ in made], "value": [v.astype(np.float32) for _, v in made]})
+
+    def solve(frames):
+        rows = pd.concat([f for f in frames if len(f)] or [pd.DataFrame({"doc_id": [], "grade": [], "at": [], "value": []})]).sort_values("doc_id", kind="stable")
+        model = fit(list(zip(rows["at"], rows["value"])), rows["grade"].to_numpy(np.int64), bits)
+        used = np.flatnonzero(model.weights)
+        yield pd.DataFrame({"slot": np.concatenate([-1 - np.arange(len(model.thresholds)), used]), "weight": np.concatenate([model.thresholds, model.weights[used]])})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = rated(docs, labels, sample).mapInPandas(run, f"doc_id {kind}, grade long, at array<long>, value array<double>").toPandas().sort_values("doc_id")
-    return fit(list(zip(map(np.asarray, rows["at"]), map(np.asarray, rows["value"]))), rows["grade"].to_numpy(np.int64), bits)
+    made = rated(docs, labels, sample).mapInPandas(make, f"doc_id {kind}, grade long, at array<int>, value array<float>")
+    solved = made.repartition(1).mapInPandas(solve, "slot long, weight double").toPandas()
+    slot, weight = solved["slot"].to_numpy(), solved["weight"].to_numpy()
+    weights = np.zeros(1 << bits)
+    weights[slot[slot >= 0]] = weight[slot >= 0]
+    return Model(weights, weight[slot < 0][np.argsort(-slot[slot < 0])])
 
 
 def predict(texts: list[str], model: Model, slots: dict[str, int], bits: int = BITS) -> np.ndarray:
