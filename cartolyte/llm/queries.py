@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolyte.llm import bpe, exact_dedup, html_extract, near_dedup, packing, quality, substring_dedup, url_filter, warc
+from cartolyte.llm import ann, bpe, exact_dedup, html_extract, near_dedup, packing, quality, substring_dedup, url_filter, warc
 from cartolyte.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -85,6 +89,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
+    "op3_ann": op3_ann,
     "op4_html_extract": op4_html_extract,
     "op6_url_filter": op6_url_filter,
     "op9_warc": op9_warc,
