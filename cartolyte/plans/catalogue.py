@@ -1,6 +1,408 @@
-"""The query catalogue: one query per operator group over the driver's tables."""
+"""The query catalogue: the operators of map data over the driver's tables, each with its DuckDB form.
+
+Points are the first two components of ``embeddings``; rectangles derive from ``supplier``. Trigonometric results are
+rounded, as the engines' last digits differ.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cartolyte.functions import geometry, strings, tokens
+from cartolyte.operators import flags, lookup, precedence, runs, spatial
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "embeddings")
+    part = lambda i: F.get("embedding", F.lit(i)).cast("double") * 10000.0
+    return e.select("vec_id", part(0).alias("x"), part(1).alias("z"), F.col("label").cast("long").alias("label"))
+
+
+def _rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return _table(spark, sf_dir, "supplier").select(
+        "s_suppkey", k.alias("seq"), ((k * 37 % 40 - 20) * 100.0).alias("rx"), ((k * 53 % 40 - 20) * 100.0).alias("rz"), F.lit(700.0).alias("w"), F.lit(500.0).alias("h")
+    )
+
+
+_PTS = "pts AS (SELECT vec_id, embedding[1]::DOUBLE * 10000.0::DOUBLE AS x, embedding[2]::DOUBLE * 10000.0::DOUBLE AS z, label::BIGINT AS label FROM embeddings)"
+_RECTS = "rects AS (SELECT s_suppkey, s_suppkey AS seq, (s_suppkey * 37 % 40 - 20) * 100.0::DOUBLE AS rx, (s_suppkey * 53 % 40 - 20) * 100.0::DOUBLE AS rz, 700.0::DOUBLE AS w, 500.0::DOUBLE AS h FROM supplier)"
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str):
+    def add(f):
+        QUERIES[name], ORACLE_SQL[name] = f, sql
+        return f
+
+    return add
+
+
+@_query("q01_viewport_filter", f"WITH {_PTS} SELECT vec_id, x, z FROM pts WHERE x >= -500 - 1000 AND x <= 700 + 1000 AND z >= -300 - 1000 AND z <= 400 + 1000 AND NOT (label = 3)")
+def q01(spark, d):
+    p = _points(spark, d)
+    return p.where(spatial.in_viewport(F.col("x"), F.col("z"), -500, -300, 700, 400) & (F.col("label") != 3)).select("vec_id", "x", "z")
+
+
+@_query("q02_viewport_with_hidden", f"WITH {_PTS} SELECT vec_id, x, z FROM pts WHERE x BETWEEN -1500 AND 1700 AND z BETWEEN -1300 AND 1400")
+def q02(spark, d):
+    return _points(spark, d).where(spatial.in_viewport(F.col("x"), F.col("z"), -500, -300, 700, 400)).select("vec_id", "x", "z")
+
+
+@_query(
+    "q03_hidden_flag",
+    """SELECT l_orderkey, l_linenumber, (l_partkey % 25)::BIGINT > 12 OR (l_linenumber & 2) <> 0 AS hidden_road, (l_partkey % 25) > 12 OR l_suppkey = 255 AS hidden_overlay, (l_linenumber & 1) <> 0 AS hidden_city
+       FROM lineitem WHERE l_quantity > 48""",
+)
+def q03(spark, d):
+    l, guard = _table(spark, d, "lineitem").where("l_quantity > 48"), F.col("l_partkey") % 25
+    n = F.col("l_linenumber")
+    return l.select("l_orderkey", "l_linenumber", flags.hidden_road(guard, n).alias("hidden_road"), flags.hidden_overlay(guard, F.col("l_suppkey")).alias("hidden_overlay"), flags.hidden_city(n).alias("hidden_city"))
+
+
+@_query("q04_flag_mask_all", "SELECT m, count(*) AS n FROM lineitem, (VALUES (1), (2), (3), (6)) t(m) WHERE (l_linenumber & m) = m GROUP BY m")
+def q04(spark, d):
+    masks = F.filter(F.array(*map(F.lit, (1, 2, 3, 6))), lambda m: flags.has_all(F.col("l_linenumber"), m))
+    return _table(spark, d, "lineitem").select(F.explode(masks).alias("m")).groupBy("m").agg(F.count("*").alias("n"))
+
+
+@_query(
+    "q05_enum_map",
+    """WITH p AS (SELECT p_partkey, p_size & 15 AS c FROM part), n AS (
+         SELECT p_partkey, CASE c WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 6 WHEN 4 THEN 8 WHEN 5 THEN 5 WHEN 6 THEN 7 WHEN 8 THEN 3 WHEN 13 THEN -1 WHEN 14 THEN -2 ELSE 1 END AS lanes,
+                CASE c WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 5 WHEN 4 THEN 10 WHEN 5 THEN 15 WHEN 6 THEN 20 WHEN 7 THEN 25 ELSE 0 END AS lane_offset,
+                CASE c WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 4 THEN 2 WHEN 8 THEN 3 ELSE -1 END AS control_node FROM p)
+       SELECT p_partkey, lanes, lane_offset, control_node, CASE WHEN lanes <> -2 THEN lanes ELSE coalesce(nullif(control_node, -1), 1) END AS used_lanes FROM n""",
+)
+def q05(spark, d):
+    c = F.col("p_size").bitwiseAND(F.lit(15))
+    out = _table(spark, d, "part").select("p_partkey", flags.mapped(c, flags.LANES, 1).alias("lanes"), flags.mapped(c, flags.LANE_OFFSETS, 0).alias("lane_offset"), flags.mapped(c, flags.CONTROL_NODES, -1).alias("control_node"))
+    return out.withColumn("used_lanes", flags.lane_count(F.col("lanes"), F.nullif("control_node", F.lit(-1)), F.col("lanes")))
+
+
+@_query(
+    "q06_colour_priority",
+    "SELECT CASE WHEN l_linenumber & 1 = 1 THEN 'light' WHEN l_linenumber & 2 = 2 THEN 'dark' WHEN l_linenumber & 3 = 3 THEN 'green' ELSE 'none' END AS colour, count(*) AS n FROM lineitem GROUP BY 1",
+)
+def q06(spark, d):
+    colour = flags.first_colour(F.col("l_linenumber"), [(1, "light"), (2, "dark"), (3, "green")], "none")
+    return _table(spark, d, "lineitem").groupBy(colour.alias("colour")).agg(F.count("*").alias("n"))
+
+
+@_query(
+    "q07_city_country_left",
+    "SELECT c_custkey, coalesce(n_name, 'none') AS country, coalesce(r_name, 'none') AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 4 <> 1 LEFT JOIN region ON n_regionkey = r_regionkey",
+)
+def q07(spark, d):
+    nation = _table(spark, d, "nation").where("n_nationkey % 4 <> 1")
+    out = _table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(_table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return out.select("c_custkey", F.coalesce("n_name", F.lit("none")).alias("country"), F.coalesce("r_name", F.lit("none")).alias("region"))
+
+
+@_query("q08_definition_inner", "SELECT p_type, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 20 GROUP BY p_type")
+def q08(spark, d):
+    parts = _table(spark, d, "part").where("p_size > 20").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    return lookup.with_definition(_table(spark, d, "lineitem"), parts, "l_partkey").groupBy("p_type").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+@_query(
+    "q09_two_node_join",
+    f"""WITH {_PTS} SELECT o_orderkey, round(a.x, 4) AS x0, round(a.z, 4) AS z0, round(b.x, 4) AS x1, round(b.z, 4) AS z1
+        FROM orders JOIN pts a ON o_orderkey % 500 = a.vec_id JOIN pts b ON o_custkey % 700 = b.vec_id""",
+)
+def q09(spark, d):
+    nodes = _points(spark, d).withColumnRenamed("vec_id", "uid")
+    roads = _table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 500).alias("a"), (F.col("o_custkey") % 700).alias("b"))
+    at = lambda c, name: F.round(c, 4).alias(name)
+    return lookup.with_ends(roads, nodes, "a", "b").select("o_orderkey", at("start.x", "x0"), at("start.z", "z0"), at("end.x", "x1"), at("end.z", "z1"))
+
+
+@_query(
+    "q10_ordered_points",
+    f"""WITH {_PTS}, u AS (SELECT l_orderkey, l_linenumber, l_partkey % 600 AS uid FROM lineitem)
+        SELECT l_orderkey, string_agg(vec_id::VARCHAR, ',' ORDER BY l_linenumber, vec_id) AS path, count(*) AS n FROM u JOIN pts ON uid = vec_id GROUP BY l_orderkey""",
+)
+def q10(spark, d):
+    items = _table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_partkey") % 600).alias("uid")))).alias("l")).select("l_orderkey", F.col("l.uid").alias("uids"))
+    nodes = _points(spark, d).select(F.col("vec_id").alias("uid"), F.col("vec_id").alias("x"), "z")
+    points = lookup.ordered_points(items, nodes, "l_orderkey", "uids")
+    return points.select("l_orderkey", F.array_join(F.transform("points", lambda p: p["x"].cast("string")), ",").alias("path"), F.size("points").cast("long").alias("n"))
+
+
+@_query(
+    "q11_first_match_left",
+    "SELECT o_orderkey, coalesce(l_partkey, -1) AS l_partkey, coalesce(l_linenumber, -1) AS l_linenumber FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 25 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) = 1) ON o_orderkey = l_orderkey WHERE l_partkey IS NOT NULL OR o_orderkey % 2 = 0",
+)
+def q11(spark, d):
+    lines = _table(spark, d, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_linenumber", F.struct("l_linenumber", "l_partkey").alias("load_seq"))
+    out = lookup.first_match(_table(spark, d, "orders").select("o_orderkey"), lines, "o_orderkey", "load_seq")
+    out = out.where("l_partkey IS NOT NULL OR o_orderkey % 2 = 0")
+    return out.select("o_orderkey", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("l_partkey", "l_linenumber")))
+
+
+@_query(
+    "q12_first_in_array",
+    "SELECT vec_id, (list_position(list_transform(embedding, lambda v: v > 0.2), true))::BIGINT AS pos, round(list_filter(embedding, lambda v: v > 0.2)[1], 5)::DOUBLE AS v FROM embeddings WHERE len(list_filter(embedding, lambda v: v > 0.2)) > 0",
+)
+def q12(spark, d):
+    big = lambda v: v > 0.2
+    e = _table(spark, d, "embeddings").where(F.exists("embedding", big))
+    return e.select("vec_id", F.array_position(F.transform("embedding", big), F.lit(True)).cast("long").alias("pos"), F.round(lookup.first_item(F.col("embedding"), big), 5).cast("double").alias("v"))
+
+
+_CITY = f"WITH {_PTS}, {_RECTS} SELECT vec_id, arg_min(s_suppkey, seq) AS s_suppkey FROM pts LEFT JOIN rects ON x >= rx AND x <= rx + w AND z >= rz AND z <= rz + h GROUP BY vec_id"
+_CITY = f"SELECT vec_id, coalesce(s_suppkey, -1) AS s_suppkey FROM ({_CITY})"
+
+
+@_query("q13_poi_city_range", _CITY)
+def q13(spark, d):
+    return spatial.nested_join(_points(spark, d), _rects(spark, d), "vec_id", "s_suppkey", "seq").select("vec_id", F.coalesce("s_suppkey", F.lit(-1)).alias("s_suppkey"))
+
+
+@_query("q14_poi_city_grid", _CITY)
+def q14(spark, d):
+    return spatial.grid_join(_points(spark, d), _rects(spark, d), "vec_id", "s_suppkey", "seq", 600.0).select("vec_id", F.coalesce("s_suppkey", F.lit(-1)).alias("s_suppkey"))
+
+
+@_query(
+    "q15_port_connections",
+    """WITH c AS (SELECT n_nationkey AS s, (n_nationkey * n_regionkey + 3) % 25 AS e FROM nation),
+            p AS (SELECT s_nationkey AS port, s_suppkey AS x, s_suppkey * 2 AS z FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey DESC) = 1)
+       SELECT s AS start_token, e AS end_token, coalesce(a.x, -1) AS start_x, coalesce(a.z, -1) AS start_z, CASE WHEN s <> e THEN coalesce(b.x, -1) ELSE -1 END AS end_x, CASE WHEN s <> e THEN coalesce(b.z, -1) ELSE -1 END AS end_z
+       FROM c LEFT JOIN p a ON s = a.port LEFT JOIN p b ON e = b.port""",
+)
+def q15(spark, d):
+    c = _table(spark, d, "nation").select(F.col("n_nationkey").alias("start_token"), ((F.col("n_nationkey") * F.col("n_regionkey") + 3) % 25).alias("end_token"))
+    ports = _table(spark, d, "supplier").select(F.col("s_nationkey").alias("port_token"), F.col("s_suppkey").alias("x"), (F.col("s_suppkey") * 2).alias("z"), F.col("s_suppkey").alias("load_seq"))
+    places = ("start_x", "start_z", "end_x", "end_z")
+    return lookup.port_ends(c, ports).select("start_token", "end_token", *(F.coalesce(p, F.lit(-1)).alias(p) for p in places))
+
+
+@_query(
+    "q16_localized_name",
+    """WITH l AS (SELECT r_regionkey AS k, 'loc' || (r_regionkey % 2) AS locale, lower(r_name) AS name, r_regionkey AS seq FROM region UNION ALL SELECT r_regionkey, 'loc0', 'later', r_regionkey + 100 FROM region),
+            f AS (SELECT k, locale, arg_min(name, seq) AS name FROM l GROUP BY k, locale)
+       SELECT n_nationkey, coalesce(f.name, n_name) AS name FROM nation LEFT JOIN f ON n_regionkey = f.k AND f.locale = 'loc0'""",
+)
+def q16(spark, d):
+    r = _table(spark, d, "region")
+    own = r.select("r_regionkey", F.concat(F.lit("loc"), F.col("r_regionkey") % 2).alias("locale"), F.lower("r_name").alias("name"), F.col("r_regionkey").alias("seq"))
+    later = r.select("r_regionkey", F.lit("loc0").alias("locale"), F.lit("later").alias("name"), (F.col("r_regionkey") + 100).alias("seq"))
+    first = precedence.first_wins(own.unionByName(later), ["r_regionkey", "locale"], "seq")
+    names = first.groupBy("r_regionkey").agg(F.map_from_entries(F.collect_list(F.struct("locale", "name"))).alias("names"))
+    out = _table(spark, d, "nation").join(names, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return out.select("n_nationkey", strings.localised(F.col("names"), "loc0", F.col("n_name")).alias("name"))
+
+
+@_query("q17_mods_anti", "SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+def q17(spark, d):
+    used = _table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return lookup.without(_table(spark, d, "part").select("p_partkey", "p_name"), used, "p_partkey")
+
+
+@_query(
+    "q18_sii_parse_counts",
+    r"""WITH l AS (SELECT event_type, unnest(string_split(coalesce(props, ''), ',')) AS line FROM events), t AS (SELECT event_type, regexp_replace(line, '^[^!-~]+|[^!-~]+$', '', 'g') AS line FROM l),
+             v AS (SELECT event_type, regexp_replace(split_part(line, ':', 1), '^[^!-~]+|[^!-~]+$', '', 'g') AS k, regexp_replace(split_part(line, ':', 2), '^[^!-~]+|[^!-~]+$', '', 'g') AS v FROM t WHERE contains(line, ':') AND NOT starts_with(line, '#') AND NOT starts_with(line, '//'))
+        SELECT event_type, coalesce(split_part(k, '"', 2), '') AS key, count(*) AS lines, sum(length(k) + length(v))::BIGINT AS chars, count(DISTINCT v) AS vals FROM v GROUP BY 1, 2""",
+)
+def q18(spark, d):
+    lines = _table(spark, d, "events").select("event_type", F.explode(F.split(F.coalesce("props", F.lit("")), ",")).alias("line"))
+    keyed = lines.where(~strings.is_comment(F.col("line"))).select("event_type", strings.line_key(F.col("line")).alias("k"), strings.line_value(F.col("line")).alias("v")).where("k IS NOT NULL")
+    key = F.coalesce(strings.quoted(F.col("k")), F.lit("")).alias("key")
+    return keyed.groupBy("event_type", key).agg(F.count("*").alias("lines"), F.sum(F.length("k") + F.length("v")).alias("chars"), F.countDistinct("v").alias("vals"))
+
+
+@_query("q19_map_bounds", f"WITH {_PTS} SELECT min(x) AS min_x, max(x) AS max_x, min(z) AS min_z, max(z) AS max_z FROM pts")
+def q19(spark, d):
+    return spatial.bounds(_points(spark, d))
+
+
+@_query(
+    "q20_lane_count",
+    "SELECT vec_id, len(list_filter(embedding, lambda v: v > 0))::BIGINT AS lanes, (1.5 + 4.5 * len(list_filter(embedding, lambda v: v > 0)) + 4.5 * len(list_filter(embedding, lambda v: v < -0.1)))::DOUBLE AS width FROM embeddings",
+)
+def q20(spark, d):
+    left, right = F.filter("embedding", lambda v: v > 0), F.filter("embedding", lambda v: v < -0.1)
+    return _table(spark, d, "embeddings").select("vec_id", F.size(left).cast("long").alias("lanes"), geometry.road_width(F.lit(1.5), left, right).alias("width"))
+
+
+@_query(
+    "q21_draw_order",
+    f"WITH {_PTS} SELECT vec_id, label % 3 AS layer, row_number() OVER (PARTITION BY label % 3 ORDER BY label, vec_id)::BIGINT AS place FROM pts",
+)
+def q21(spark, d):
+    w = Window.partitionBy("layer").orderBy("label", "vec_id")
+    return _points(spark, d).withColumn("layer", F.col("label") % 3).select("vec_id", "layer", F.row_number().over(w).cast("long").alias("place"))
+
+
+@_query(
+    "q22_tile_cover",
+    f"""WITH {_PTS}, t AS (SELECT z::BIGINT AS zoom, i::BIGINT AS tx, j::BIGINT AS ty, 8000.0::DOUBLE / (1 << z) AS step FROM (SELECT unnest(range(0, 3)) AS z), (SELECT unnest(range(0, 4)) AS i), (SELECT unnest(range(0, 4)) AS j) WHERE i < (1 << z) AND j < (1 << z))
+        SELECT zoom::INT AS zoom, tx, ty, count(*) AS n FROM t JOIN pts ON x >= -4000 + tx * step - step / 8 AND x <= -4000 + (tx + 1) * step + step / 8 AND pts.z >= -4000 + ty * step - step / 8 AND pts.z <= -4000 + (ty + 1) * step + step / 8 GROUP BY 1, 2, 3""",
+)
+def q22(spark, d):
+    return spatial.tile_counts(_points(spark, d), range(3), -4000.0, 8000.0, 0.125)
+
+
+_DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz_"
+
+
+@_query(
+    "q23_token_encode",
+    f"""WITH n AS (SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT 'hud_parking')
+        SELECT name, list_sum(list_transform(range(1, length(name) + 1), lambda i: instr('{_DIGITS}', lower(substr(name, i, 1))) * (38 ** (i - 1))::HUGEINT))::BIGINT AS token FROM n WHERE length(name) <= 10
+        UNION ALL SELECT 'hud_parking', 110779883858044828""",
+)
+def q23(spark, d):
+    names = _table(spark, d, "nation").select(F.col("n_name").alias("name")).unionByName(_table(spark, d, "region").select(F.col("r_name").alias("name")))
+    fixed = spark.range(1).select(F.lit("hud_parking").alias("name"))
+    return names.where(F.length("name") <= 10).unionByName(fixed).select("name", tokens.token(F.col("name")).alias("token"))
+
+
+@_query(
+    "q24_path_parts",
+    r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages)
+        SELECT page_id, regexp_extract(path, '[^/]*$') AS name, split_part(regexp_extract(path, '[^/]*$'), '.', 1) AS stem, regexp_replace(path, '/?[^/]*$', '') AS dir,
+               CASE WHEN contains(regexp_extract(path, '[^/]*$'), '.') THEN regexp_extract(path, '[^./]*$') ELSE '' END AS ext, 'def/' || path AS combined FROM p""",
+)
+def q24(spark, d):
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    p = _table(spark, d, "pages").select("page_id", path.alias("path"))
+    c = F.col("path")
+    return p.select("page_id", strings.file_name(c).alias("name"), strings.stem(c).alias("stem"), strings.directory(c).alias("dir"), strings.extension(c).alias("ext"), strings.combine_path(F.lit("def"), c).alias("combined"))
+
+
+@_query(
+    "q25_export_union",
+    f"""WITH {_PTS} SELECT round(x, 3) AS x, round(z, 3) AS y, 'Overlay' AS type, label::BIGINT AS visibility FROM pts
+        UNION ALL SELECT s_suppkey::DOUBLE, s_nationkey::DOUBLE, 'Company', -1 FROM supplier UNION ALL SELECT n_nationkey::DOUBLE, n_regionkey::DOUBLE, 'Ferry', -1 FROM nation""",
+)
+def q25(spark, d):
+    overlays = _points(spark, d).select(F.round("x", 3).alias("x"), F.round("z", 3).alias("y"), F.lit("Overlay").alias("type"), F.col("label").alias("visibility"))
+    place = lambda name, a, b, kind: _table(spark, d, name).select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"), F.lit(kind).alias("type"))
+    both = overlays.unionByName(place("supplier", "s_suppkey", "s_nationkey", "Company"), allowMissingColumns=True).unionByName(place("nation", "n_nationkey", "n_regionkey", "Ferry"), allowMissingColumns=True)
+    return both.withColumn("visibility", F.coalesce("visibility", F.lit(-1)))
+
+
+@_query(
+    "q26_layer_last_wins",
+    "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'mod ' || p_name ELSE p_name END AS p_name, CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 1 END AS layer FROM part",
+)
+def q26(spark, d):
+    order = precedence.layer_order(["mod", "base"])
+    part = _table(spark, d, "part").select("p_partkey", "p_name")
+    mod = part.where("p_partkey % 5 = 0").withColumn("p_name", F.concat(F.lit("mod "), "p_name"))
+    return precedence.last_wins(mod.withColumn("layer", F.lit(order["mod"])).unionByName(part.withColumn("layer", F.lit(order["base"]))), ["p_partkey"], "layer")
+
+
+@_query("q27_first_wins", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1")
+def q27(spark, d):
+    return precedence.first_wins(_table(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id")
+
+
+@_query("q28_pair_dedupe", "SELECT least(l_suppkey, l_partkey % 10) AS lo, greatest(l_suppkey, l_partkey % 10) AS hi, min(l_orderkey * 8 + l_linenumber) AS seq FROM lineitem GROUP BY 1, 2")
+def q28(spark, d):
+    pairs = _table(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 10).alias("b"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"))
+    return precedence.one_per_pair(pairs, "a", "b", "seq").select("lo", "hi", "seq")
+
+
+@_query(
+    "q29_run_dedupe_then_filter",
+    "SELECT event_id, user_id FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE (b IS NULL OR b <> event_type) AND event_type = 'view'",
+)
+def q29(spark, d):
+    e = _table(spark, d, "events").select("event_id", "user_id", "event_type")
+    return runs.run_starts(e, ["user_id"], ["event_id"], "event_type").where("event_type = 'view'").select("event_id", "user_id")
+
+
+@_query(
+    "q30_positional_pick",
+    "SELECT * FROM (SELECT user_id, event_id, coalesce(try_cast(substr(event_type, 1, 1) AS INT), -1) AS digit, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS pos FROM events) WHERE pos BETWEEN 5 AND 8",
+)
+def q30(spark, d):
+    e = _table(spark, d, "events").select("user_id", "event_id", F.coalesce(strings.safe_int(F.substring("event_type", 1, 1)), F.lit(-1)).alias("digit"))
+    return runs.positions(e, ["user_id"], ["event_id"], 5, 8)
+
+
+_NEXT = f"WITH {_PTS}, n AS (SELECT *, lead(x) OVER w AS nx, lead(z) OVER w AS nz FROM pts WINDOW w AS (PARTITION BY label ORDER BY vec_id)), s AS (SELECT * FROM n WHERE nx IS NOT NULL)"
+
+
+def _segments(spark, d):
+    return runs.with_next(_points(spark, d), ["label"], ["vec_id"], ["x", "z"]).where("next_x IS NOT NULL")
+
+
+@_query(
+    "q31_adjacent_bezier",
+    f"""{_NEXT} SELECT vec_id, round(x + cos(atan2(nz - z, nx - x)) * sqrt((nx - x) * (nx - x) + (nz - z) * (nz - z)) / 3, 3) AS cx, round(z + sin(atan2(nz - z, nx - x)) * sqrt((nx - x) * (nx - x) + (nz - z) * (nz - z)) / 3, 3) AS cz FROM s""",
+)
+def q31(spark, d):
+    dx, dz = F.col("next_x") - F.col("x"), F.col("next_z") - F.col("z")
+    ox, oz = geometry.control_offset(dx, dz, F.atan2(dz, dx))
+    return _segments(spark, d).select("vec_id", F.round(F.col("x") + ox, 3).alias("cx"), F.round(F.col("z") + oz, 3).alias("cz"))
+
+
+@_query(
+    "q32_block_parser",
+    """WITH b AS (SELECT user_id, event_id, event_type, coalesce(sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS block,
+                      last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen FROM events)
+       SELECT user_id, block, count(*) AS lines, coalesce(max(seen), -1) AS last_view FROM b GROUP BY user_id, block""",
+)
+def q32(spark, d):
+    e = _table(spark, d, "events").select("user_id", "event_id", "event_type")
+    e = runs.with_block(e, ["user_id"], ["event_id"], F.col("event_type") == "purchase")
+    e = runs.carried(e, ["user_id"], ["event_id"], F.when(F.col("event_type") == "view", F.col("event_id")), "seen")
+    return e.groupBy("user_id", "block").agg(F.count("*").alias("lines"), F.coalesce(F.max("seen"), F.lit(-1)).alias("last_view"))
+
+
+@_query(
+    "q33_rotate_points",
+    f"""WITH {_PTS} SELECT vec_id, round(100 + (x - 100) * cos(label / 10.0::DOUBLE) - (z - 200) * sin(label / 10.0::DOUBLE), 3) AS rx, round(200 + (x - 100) * sin(label / 10.0::DOUBLE) + (z - 200) * cos(label / 10.0::DOUBLE), 3) AS rz,
+        round(x + 4.5 * cos(label / 10.0::DOUBLE), 3) AS cx, round(sqrt(x * x + z * z), 3) AS hyp FROM pts""",
+)
+def q33(spark, d):
+    x, z, a = F.col("x"), F.col("z"), F.col("label") / F.lit(10.0)
+    rx, rz = geometry.rotate(x, z, a, F.lit(100.0), F.lit(200.0))
+    out = {"rx": rx, "rz": rz, "cx": geometry.corner(x, z, F.lit(4.5), a)[0], "hyp": geometry.length(x, z)}
+    return _points(spark, d).select("vec_id", *(F.round(c, 3).alias(k) for k, c in out.items()))
+
+
+@_query(
+    "q34_road_hermite",
+    f"""{_NEXT}, t AS (SELECT *, unnest(range(0, 8)) AS i FROM s), u AS (SELECT *, i / 7.0::DOUBLE AS q FROM t)
+        SELECT vec_id, i::BIGINT AS i, round((2*q*q*q - 3*q*q + 1) * x + (3*q*q - 2*q*q*q) * nx + (q*q*q - 2*q*q + q) * 50 + (q*q*q - q*q) * 50, 3) AS px,
+               round((2*q*q*q - 3*q*q + 1) * z + (3*q*q - 2*q*q*q) * nz + (q*q*q - 2*q*q + q) * -25 + (q*q*q - q*q) * 25, 3) AS pz FROM u""",
+)
+def q34(spark, d):
+    at = _segments(spark, d).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
+    q = F.col("i") / F.lit(7.0)
+    px = geometry.hermite(q, F.col("x"), F.col("next_x"), F.lit(50.0), F.lit(50.0))
+    pz = geometry.hermite(q, F.col("z"), F.col("next_z"), F.lit(-25.0), F.lit(25.0))
+    return at.select("vec_id", "i", F.round(px, 3).alias("px"), F.round(pz, 3).alias("pz"))
+
+
+@_query(
+    "q35_node_rotation",
+    f"WITH {_PTS} SELECT vec_id, round(((pi() - atan2(z, x)) % pi()) * 2, 5) AS rotation, round(atan2(z, x), 5) AS yaw, round(label - pi() - atan2(z, x) + pi() / 2, 5) AS placed FROM pts",
+)
+def q35(spark, d):
+    x, z = F.col("x"), F.col("z")
+    return _points(spark, d).select("vec_id", F.round(geometry.node_rotation(x, z), 5).alias("rotation"), F.round(F.atan2(z, x), 5).alias("yaw"), F.round(geometry.placement_angle(F.col("label"), x, z), 5).alias("placed"))
+
+
+@_query(
+    "q36_zoom_index_scale",
+    f"""WITH {_PTS} SELECT vec_id, (CASE WHEN least(abs(x) * 10, abs(z) * 10) < 1000 THEN 0 WHEN least(abs(x) * 10, abs(z) * 10) < 5000 THEN 1 WHEN least(abs(x) * 10, abs(z) * 10) < 18500 THEN 2 ELSE 3 END)::BIGINT AS zoom,
+        round(256.0::DOUBLE / (2000 + abs(x)), 6) AS scale, round(x + coalesce([-10, 4, 7][label + 1], 0) / 2.0::DOUBLE, 3) AS label_x FROM pts""",
+)
+def q36(spark, d):
+    x, z = F.col("x"), F.col("z")
+    offset = F.coalesce(F.get(F.array(*map(F.lit, (-10, 4, 7))), F.col("label").cast("int")), F.lit(0))
+    return _points(spark, d).select("vec_id", geometry.zoom_index(F.abs(x) * 10, F.abs(z) * 10).cast("long").alias("zoom"), F.round(F.lit(256.0) / (2000 + F.abs(x)), 6).alias("scale"), F.round(x + offset / F.lit(2.0), 3).alias("label_x"))
