@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from cartolyte.llm.common import drop_written, written
 
-DEGREE, REVERSE, PROPOSE, TREES, CELL, ROUNDS = 20, 12, 8, 6, 256, 3
-BEAM, STEPS = 192, 12
+DEGREE, REVERSE, PROPOSE, TREES, CELL, ROUNDS = 24, 12, 8, 6, 256, 3
+BEAM, STEPS = 384, 12
 #: Vectors, at most, from which the hyperplanes' offsets are taken.
 SAMPLE = 4000
 
