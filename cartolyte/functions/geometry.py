@@ -61,14 +61,36 @@ def road_width(offset: Column, lanes_left: Column, lanes_right: Column) -> Colum
     return offset + F.size(lanes_left) * LANE + F.size(lanes_right) * LANE
 
 
-def road_quad(ax, az, bx, bz, lanes_a: Column, lanes_b: Column, offset_a: Column) -> list[tuple[Column, Column]]:
-    """The four corners of a straight stretch of road between two points with their lane counts."""
-    across = F.atan2(bz - az, bx - ax) + F.lit(math.pi / 2)
-    back = across + F.lit(math.pi)
-    half = lambda lanes: lanes * (LANE / 2)
-    return [
-        corner(ax, az, half(lanes_a) + offset_a, across),
-        corner(bx, bz, half(lanes_b) + offset_a, across),
-        corner(bx, bz, half(lanes_b) + offset_a, back),
-        corner(ax, az, half(lanes_a) + offset_a, back),
-    ]
+def ferry_curve(start: Column, points: Column, end: Column) -> Column:
+    """The segments of a ferry line as an array of structs (x0, z0, c0x, c0z, c1x, c1z, x1, z1).
+
+    ``start`` and ``end`` are structs (x, z), ``points`` an array of (x, z, rot). The ports head for the nearest point.
+    Without points there is one straight segment, whose control points are its ends.
+    """
+    yaw = lambda a, b: F.atan2(b["z"] - a["z"], b["x"] - a["x"])
+    node = lambda p, rot: F.struct(p["x"].cast("double").alias("x"), p["z"].cast("double").alias("z"), rot.cast("double").alias("rot"))
+    straight = F.size(points) == 0
+    first, last = F.try_element_at(points, F.lit(1)), F.try_element_at(points, F.lit(-1))
+    head = F.when(straight, yaw(start, end)).otherwise(yaw(start, first))
+    tail = F.when(straight, yaw(start, end)).otherwise(yaw(last, end))
+    nodes = F.concat(F.array(node(start, head)), F.transform(points, lambda p: node(p, p["rot"])), F.array(node(end, tail)))
+
+    def segment(a: Column, b: Column) -> Column:
+        ax, az = control_offset(b["x"] - a["x"], b["z"] - a["z"], a["rot"])
+        bx, bz = control_offset(b["x"] - a["x"], b["z"] - a["z"], b["rot"])
+        none = F.lit(0.0)
+        ax, az, bx, bz = (F.when(straight, none).otherwise(c) for c in (ax, az, bx, bz))
+        fields = {"x0": a["x"], "z0": a["z"], "c0x": a["x"] + ax, "c0z": a["z"] + az, "c1x": b["x"] - bx, "c1z": b["z"] - bz, "x1": b["x"], "z1": b["z"]}
+        return F.struct(*(c.alias(k) for k, c in fields.items()))
+
+    return F.transform(F.sequence(F.lit(1), F.size(nodes) - 1), lambda i: segment(F.element_at(nodes, i), F.element_at(nodes, i + 1)))
+
+
+def fit_map(min_x, max_x, min_z, max_z, padding: float, width: float, height: float) -> tuple[Column, Column, Column]:
+    """(scale, x, z): the larger padded side fills its target side; the other axis is centred."""
+    w, h = max_x - min_x + 2 * padding, max_z - min_z + 2 * padding
+    wide = w > h
+    scale = F.when(wide, F.lit(width) / w).otherwise(F.lit(height) / h)
+    x = min_x - padding + F.when(wide, F.lit(0.0)).otherwise((w - F.lit(width) / scale) / 2)
+    z = min_z - padding + F.when(wide, (h - F.lit(height) / scale) / 2).otherwise(F.lit(0.0))
+    return scale, x, z
