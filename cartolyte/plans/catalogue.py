@@ -406,3 +406,50 @@ def q36(spark, d):
     x, z = F.col("x"), F.col("z")
     offset = F.coalesce(F.get(F.array(*map(F.lit, (-10, 4, 7))), F.col("label").cast("int")), F.lit(0))
     return _points(spark, d).select("vec_id", geometry.zoom_index(F.abs(x) * 10, F.abs(z) * 10).cast("long").alias("zoom"), F.round(F.lit(256.0) / (2000 + F.abs(x)), 6).alias("scale"), F.round(x + offset / F.lit(2.0), 3).alias("label_x"))
+
+
+@_query(
+    "q37_fit_map",
+    f"""WITH {_PTS}, b AS (SELECT min(x) AS x0, max(x) AS x1, min(z) AS z0, max(z) AS z1, max(x) - min(x) + 1000.0::DOUBLE AS w, max(z) - min(z) + 1000.0::DOUBLE AS h FROM pts)
+        SELECT round(CASE WHEN w > h THEN 512 / w ELSE 256 / h END, 8) AS scale, round(CASE WHEN w > h THEN x0 - 500 ELSE x0 - 500 + (w - 512 / (256 / h)) / 2 END, 3) AS x,
+               round(CASE WHEN w > h THEN z0 - 500 + (h - 256 / (512 / w)) / 2 ELSE z0 - 500 END, 3) AS z FROM b""",
+)
+def q37(spark, d):
+    b = spatial.bounds(_points(spark, d))
+    scale, x, z = geometry.fit_map(F.col("min_x"), F.col("max_x"), F.col("min_z"), F.col("max_z"), 500.0, 512.0, 256.0)
+    return b.select(F.round(scale, 8).alias("scale"), F.round(x, 3).alias("x"), F.round(z, 3).alias("z"))
+
+
+@_query(
+    "q38_unnest_spawns",
+    """WITH u AS (SELECT vec_id, unnest(range(0, len(embedding))) AS pos, unnest(embedding) AS v FROM embeddings),
+            s AS (SELECT *, CASE pos % 20 WHEN 3 THEN 'Fuel' WHEN 4 THEN 'Service' WHEN 6 THEN 'WeightStation' WHEN 7 THEN 'TruckDealer' WHEN 8 THEN 'Hotel' WHEN 15 THEN 'Garage' WHEN 16 THEN 'Recruitment' END AS label FROM u WHERE v > 0.15)
+       SELECT label, count(*) AS n, count(DISTINCT vec_id) AS items FROM s WHERE label IS NOT NULL GROUP BY label""",
+)
+def q38(spark, d):
+    from cartolyte.plans.exports import spawn_label
+
+    u = _table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v")).where("v > 0.15")
+    labelled = u.select("vec_id", spawn_label(F.col("pos") % 20)["label"].alias("label")).where("label IS NOT NULL")
+    return labelled.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("items"))
+
+
+@_query(
+    "q39_ferry_curve",
+    f"""WITH {_PTS}, p AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i, x, z, x / 1000 AS rot FROM pts QUALIFY i <= label % 4),
+            f AS (SELECT DISTINCT label FROM pts), e AS (SELECT label, max(i) AS last FROM p GROUP BY label),
+            n AS (SELECT label, 0 AS i, 0.0::DOUBLE AS x, 0.0::DOUBLE AS z, coalesce(atan2(q.z, q.x), atan2(200, 300)) AS rot FROM f LEFT JOIN (SELECT label, x, z FROM p WHERE i = 1) q USING (label)
+                  UNION ALL SELECT label, i, x, z, rot FROM p
+                  UNION ALL SELECT f.label, 99, 300.0, 200.0, coalesce(atan2(200 - q.z, 300 - q.x), atan2(200, 300)) FROM f LEFT JOIN (SELECT p.label, x, z FROM p JOIN e ON p.label = e.label AND p.i = e.last) q USING (label)),
+            s AS (SELECT n.*, lead(x) OVER w AS nx, lead(z) OVER w AS nz, lead(rot) OVER w AS nrot, row_number() OVER w - 1 AS seg, e.last IS NULL AS straight FROM n LEFT JOIN e USING (label) WINDOW w AS (PARTITION BY n.label ORDER BY i)),
+            t AS (SELECT *, CASE WHEN straight THEN 0 ELSE sqrt((nx - x) * (nx - x) + (nz - z) * (nz - z)) / 3 END AS third FROM s WHERE nx IS NOT NULL)
+        SELECT label, seg::BIGINT AS seg, round(x, 3) AS x0, round(x + cos(rot) * third, 3) AS c0x, round(z + sin(rot) * third, 3) AS c0z, round(nx - cos(nrot) * third, 3) AS c1x, round(nz - sin(nrot) * third, 3) AS c1z, round(nz, 3) AS z1 FROM t""",
+)
+def q39(spark, d):
+    p = runs.positions(_points(spark, d), ["label"], ["vec_id"], 1, 3).where("pos <= label % 4")
+    lists = p.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "z", (F.col("x") / 1000).alias("rot")))).alias("l"))
+    ferries = _points(spark, d).select("label").distinct().join(lists, "label", "left")
+    points = F.transform(F.coalesce("l", F.slice(F.array(F.struct(F.lit(0).cast("long").alias("pos"), *(F.lit(0.0).alias(c) for c in ("x", "z", "rot")))), 1, 0)), lambda q: F.struct(q["x"].alias("x"), q["z"].alias("z"), q["rot"].alias("rot")))
+    port = lambda x, z: F.struct(F.lit(x).alias("x"), F.lit(z).alias("z"))
+    curve = ferries.withColumn("points", points).select("label", F.posexplode(geometry.ferry_curve(port(0.0, 0.0), F.col("points"), port(300.0, 200.0))).alias("seg", "s"))
+    return curve.select("label", F.col("seg").cast("long").alias("seg"), *(F.round(F.col(f"s.{c}"), 3).alias(c) for c in ("x0", "c0x", "c0z", "c1x", "c1z", "z1")))
