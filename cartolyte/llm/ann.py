@@ -11,7 +11,7 @@ the distances of the new ones, and keeps the best; it ends when no beam changes.
 at their own neighbours. All steps are Spark joins on row ids; what is held for a row or a query is bounded by the
 parameters. Distances are Euclidean in double precision on the original vectors.
 
-Defined cases: vectors that are null or zero, of another length than most, or hold null or non-finite components take no
+Defined cases: rows without an id and vectors that are null or zero, of another length than most, or hold null or non-finite components take no
 part, neither as candidates nor as queries; of equal distances the smaller id comes first; copies are rows like others,
 and a cell that a hyperplane code can't split, as of equal vectors, is cut by a hash of the ids; fewer candidates than
 asked for give all; an empty table gives an empty result; other columns are ignored.
@@ -34,7 +34,7 @@ SAMPLE = 4000
 
 def usable(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, v): the vectors that take part."""
-    good = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where(F.col("v").isNotNull() & (F.size("v") > 0))
+    good = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
     good = good.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).where(F.exists("v", lambda x: x != 0))
     width = good.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").limit(1).first()
     return good.where(F.size("v") == (width["width"] if width else 0))

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartolyte.llm.common import ids_as_text, ids_restored
 from cartolyte.llm.pretokens import WordTable, blocks, encode_texts
 
 
@@ -146,13 +147,11 @@ def _encoded(frames: Iterator[pd.DataFrame], path: str) -> Iterator[tuple[pd.Dat
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): the token ids of each text."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
     def run(frames):
         for frame, ids in _encoded(frames, path):
             yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "ids": ids})
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, ids array<int>")
+    return ids_restored(ids_as_text(docs, id_col, F.col(text_col).alias("text")).mapInPandas(run, "doc_id string, ids array<int>"), docs, id_col)
 
 
 def decode_ids(ids: np.ndarray, merges: MergeTable) -> bytes:
@@ -161,20 +160,16 @@ def decode_ids(ids: np.ndarray, merges: MergeTable) -> bytes:
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, bytes): the bytes that the ids stand for; null ids give no bytes."""
-    kind = tokens.schema[id_col].dataType.simpleString()
-
     def run(frames):
         merges = _merges(path)
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "bytes": [b"" if x is None else decode_ids(np.asarray(x), merges) for x in frame["ids"]]})
 
-    return tokens.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInPandas(run, f"doc_id {kind}, bytes binary")
+    return ids_restored(ids_as_text(tokens, id_col, F.col(ids_col).alias("ids")).mapInPandas(run, "doc_id string, bytes binary"), tokens, id_col)
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, then decode in the same task: (doc_id, n_tokens, ids_sha256, decoded_sha256), without moving the ids."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
     def run(frames):
         merges = _merges(path)
         decimal = np.array([b"%d" % i for i in range(merges.width)], object)
@@ -189,4 +184,5 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 }
             )
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = ids_as_text(docs, id_col, F.col(text_col).alias("text")).mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return ids_restored(out, docs, id_col)

@@ -44,6 +44,28 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: Rows that Python is given at once, at most; texts can be long, and Spark's default of 10,000 rows knows no size.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """Set the session's Arrow batches to ``BATCH_ROWS``, unless somebody chose a number."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+
+
+def ids_as_text(docs: DataFrame, id_col: str, *others: Column) -> DataFrame:
+    """doc_id as a string, with other columns: pandas would turn integers among nulls into floating point."""
+    bounded_batches(docs)
+    return docs.select(F.col(id_col).cast("string").alias("doc_id"), *others)
+
+
+def ids_restored(df: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
+    """``df`` with doc_id of the type that ``docs`` has."""
+    return df.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
+
+
 #: Ids that are broadcast at most (16 MB of them); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 

@@ -10,7 +10,7 @@ Skew: the chunk rows and the groups are combined map-side before they are shuffl
 to the documents under a salt, so a group with a third of all rows is spread over ``SALTS`` tasks.
 
 Defined cases: a null text counts as empty, all empty texts form one group; repeated (doc_id, text) rows each give a
-row and count in ``group_size``; an empty table gives an empty result; extra input columns are ignored.
+row, count in ``group_size`` and stay or go together; a null id is never the one kept of a group with other ids; an empty table gives an empty result; extra input columns are ignored.
 """
 
 from __future__ import annotations
@@ -80,7 +80,7 @@ def exact_dedup(docs: DataFrame, hash_of: Callable[[Column], Column] = chunk_has
     return (
         rows.join(spread.hint("shuffle_merge"), ["recipe", "salt"], "left")
         .withColumn("keep_id", F.coalesce("keep_id", "doc_id"))
-        .select("doc_id", "keep_id", F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+        .select("doc_id", "keep_id", F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     )
 
 

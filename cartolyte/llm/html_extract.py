@@ -27,6 +27,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?<![\w=\"'-])(hidden)(?![\w=-])")
@@ -375,7 +376,6 @@ def extract(html: str, model: Model) -> str:
 def extract_pages(pages: DataFrame, labelled: list[tuple[str, list[int]]] | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of every page; trained on ``labelled``, or on :func:`labelled_pages`."""
     shared = pages.sparkSession.sparkContext.broadcast(train(labelled or labelled_pages()))
-    kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(frames):
         model = shared.value
@@ -383,4 +383,6 @@ def extract_pages(pages: DataFrame, labelled: list[tuple[str, list[int]]] | None
             texts = [extract(h, model) for h in frame["html"].fillna("")]
             yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
+    # Ids travel as strings: pandas would turn integers among nulls into floating point.
+    out = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html").mapInPandas(run, "page_id string, url string, text string, n_chars long")
+    return out.withColumn("page_id", F.col("page_id").cast(pages.schema["page_id"].dataType))

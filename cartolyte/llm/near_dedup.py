@@ -18,7 +18,8 @@ verified, so no link between candidate pairs is lost.
 
 Defined cases: null and empty texts have no shingles and are classes of their own; texts of one to four words have one
 shingle, all of their words; repeated texts share a class; ties don't arise, as classes are named by the least id; an
-empty table gives an empty result; other columns are ignored. Ids must not be null.
+empty table gives an empty result; other columns are ignored. Rows of one id are one document, near to whatever either
+text is near to. A row with a null id names no class unless its text's set has other ids.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartolyte.llm.common import among, without, written
+from cartolyte.llm.common import among, ids_as_text, ids_restored, without, written
 from cartolyte.llm.components import connected_components
 from cartolyte.llm.pretokens import _mix, blocks
 from cartolyte.llm.words import run_hashes, split_words
@@ -96,7 +97,6 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
 
     All but the id are null without shingles.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
     factors = _mix(np.arange(rows, dtype=np.uint64)) | np.uint64(1)
 
     def run(frames):
@@ -119,7 +119,8 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
                         keys.append(_mix((z * factors).sum(axis=1) + np.arange(bands, dtype=np.uint64)).view(np.int64))
                 yield pd.DataFrame({"doc_id": ids[a:b], "f1": pd.array(f1, "Int64"), "f2": pd.array(f2, "Int64"), "keys": keys, "bits": bits})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, f1 long, f2 long, keys array<long>, bits array<long>")
+    out = ids_as_text(docs, "doc_id", F.col("text")).mapInPandas(run, "doc_id string, f1 long, f2 long, keys array<long>, bits array<long>")
+    return ids_restored(out, docs, "doc_id")
 
 
 def shingle_table(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ sequence costs ``SEQUENCE_COST`` and its padding. The cheapest cuts follow from
     cost[j] = cut_cost[j] + SEQUENCE_COST + min over i in the window of (cost[i] + length - (pos[j] - pos[i]))
 
 whose window minimum a monotone queue gives in constant time, and from the few exact power-of-two lengths, which need
-no padding. The stream is cut into blocks of about two million characters, each packed by itself, so memory is bounded
+no padding. The stream is cut into blocks of about half a million characters, each packed by itself, so memory is bounded
 and a block's last sequence is the only one that the block's end cuts short. Nothing is shuffled.
 
 Defined cases: a null text counts as empty and is the end id alone; repeated rows are packed each; a text longer than
@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartolyte.llm.common import ids_as_text, ids_restored
 from cartolyte.llm.pretokens import WordTable, blocks, cut_words, gather, sentence_ends
 
 LENGTH = 1024
@@ -142,8 +143,7 @@ def cheapest_cuts(at: np.ndarray, cut_cost: np.ndarray, length: int = LENGTH) ->
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with ``with_ids`` their ids."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids
+    schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids
 
     def run(frames):
         sequence = TaskContext.get().partitionId() << 32
@@ -175,4 +175,4 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = Fals
                 sequence += len(cuts) - 1
                 yield out
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    return ids_restored(ids_as_text(docs, id_col, F.col(text_col).alias("text")).mapInPandas(run, schema), docs, id_col)

@@ -17,7 +17,7 @@ _BLANK, _LETTER, _NUMBER, _SIGN, _EDGE = range(5)
 #: Stands between texts; one above the last code point.
 _BETWEEN = 0x110000
 #: Characters handled at once.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 500_000
 #: Contractions that are tokens of their own (fixed values of the pattern).
 _CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
@@ -91,7 +91,7 @@ class WordTable:
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes, ascending, and their slots
         self.flat, self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def slots(self, points: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -101,26 +101,26 @@ class WordTable:
         with np.errstate(over="ignore"):
             hashes = np.add.reduceat(_char_values()[points] * (_mix(within) | np.uint64(1)), begins) ^ _mix(lengths.astype(np.uint64))
         codes, distinct = pd.factorize(hashes)
-        if len(self.slot) + len(distinct) > self.most:
+        if len(self.keys) + len(distinct) > self.most:
             self._clear()
-        known = distinct.tolist()
-        missing = [i for i, h in enumerate(known) if h not in self.slot]
-        if missing:
-            at = np.full(len(known), -1, np.int64)
+        place = np.searchsorted(self.keys, distinct)
+        missing = np.flatnonzero(np.append(self.keys, np.uint64(0))[place] != distinct) if len(self.keys) else np.arange(len(distinct))
+        missing = np.union1d(missing, np.flatnonzero(place == len(self.keys))) if len(self.keys) else missing
+        if len(missing):
+            at = np.full(len(distinct), -1, np.int64)
             at[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             words = []
-            for i in missing:
-                b = begins[at[i]]
-                words.append(b"" if points[b] == _BETWEEN else points[b : b + lengths[at[i]]].tobytes().decode("utf-32-le").encode())
+            for b, n in zip(begins[at[missing]].tolist(), lengths[at[missing]].tolist()):
+                words.append(b"" if points[b] == _BETWEEN else points[b : b + n].tobytes().decode("utf-32-le").encode())
             flat, count = self.encode(words)
-            n = len(self.count)
+            fresh = len(self.count) + np.arange(len(missing), dtype=np.int32)
             self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(count) - count])
             self.count = np.concatenate([self.count, count])
             self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
-            for k, i in enumerate(missing):
-                self.slot[known[i]] = n + k
-        get = self.slot.__getitem__
-        return np.fromiter(map(get, known), np.int64, len(known))[codes]
+            keys, slot = np.concatenate([self.keys, distinct[missing]]), np.concatenate([self.slot, fresh])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.slot = keys[order], slot[order]
+        return self.slot[np.searchsorted(self.keys, distinct)][codes]
 
 
 def gather(first: np.ndarray, count: np.ndarray) -> np.ndarray:

@@ -26,9 +26,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartolyte.llm.common import bounded_batches, ids_as_text, ids_restored
+
 #: Size of the hashed feature space, as a power of two.
 BITS = 20
 #: Rated documents that the model is fitted on, at most.
@@ -52,7 +55,7 @@ def features(text: str, slots: dict[str, int], bits: int = BITS) -> tuple[np.nda
     if not n:
         shares[0] = 1.0
         return np.arange(size - _SHARES, size), shares
-    if len(slots) > 300_000:
+    if len(slots) > 60_000:
         slots.clear()
     get = slots.get
     found = []
@@ -163,6 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SA
         used = np.flatnonzero(model.weights)
         yield pd.DataFrame({"slot": np.concatenate([-1 - np.arange(len(model.thresholds)), used]), "weight": np.concatenate([model.thresholds, model.weights[used]])})
 
+    bounded_batches(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = rated(docs, labels, sample).mapInPandas(make, f"doc_id {kind}, grade long, at array<int>, value array<float>")
     solved = made.repartition(1).mapInPandas(solve, "slot long, weight double").toPandas()
@@ -181,29 +185,34 @@ def predict(texts: list[str], model: Model, slots: dict[str, int], bits: int = B
     return _sigmoid(scores[:, None] - model.thresholds)
 
 
-def _scored(docs: DataFrame, labels: DataFrame, schema: str, make, bits: int, sample: int) -> DataFrame:
+def _model(docs: DataFrame, labels: DataFrame, bits: int, sample: int):
     model = train(docs, labels, bits, sample)
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
-
-    def run(frames):
-        weights, thresholds = shared.value
-        slots: dict[str, int] = {}
-        for frame in frames:
-            yield make(frame, predict(frame["text"].fillna("").tolist(), Model(weights, thresholds), slots, bits))
-
-    return docs.mapInPandas(run, schema)
+    return docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
 
 
 def score(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, expected_grade, p_good, p_best, kept) of every document."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = _model(docs, labels, bits, sample)
 
-    def make(frame, tails):
-        return pd.DataFrame({"doc_id": frame["doc_id"], "expected_grade": tails.sum(axis=1), "p_good": tails[:, 0], "p_best": tails[:, -1], "kept": tails[:, -1] >= 0.5})
+    def run(frames):
+        slots: dict[str, int] = {}
+        for frame in frames:
+            tails = predict(frame["text"].fillna("").tolist(), Model(*shared.value), slots, bits)
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "expected_grade": tails.sum(axis=1), "p_good": tails[:, 0], "p_best": tails[:, -1], "kept": tails[:, -1] >= 0.5})
 
-    return _scored(docs.select("doc_id", "text"), labels, f"doc_id {kind}, expected_grade double, p_good double, p_best double, kept boolean", make, bits, sample)
+    out = ids_as_text(docs, "doc_id", F.col("text")).mapInPandas(run, "doc_id string, expected_grade double, p_good double, p_best double, kept boolean")
+    return ids_restored(out, docs, "doc_id")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, bits: int = BITS, sample: int = SAMPLE) -> DataFrame:
-    """The documents whose probability of the best grade is ``least`` or more, with all their columns."""
-    return _scored(docs, labels, docs.schema, lambda frame, tails: frame[tails[:, -1] >= least], bits, sample)
+    """The documents whose probability of the best grade is ``least`` or more, with all their columns as they are."""
+    bounded_batches(docs)
+    shared, text_at = _model(docs, labels, bits, sample), docs.columns.index("text")
+
+    def run(batches):
+        slots: dict[str, int] = {}
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text_at).to_pylist()]
+            yield batch.filter(pa.array(predict(texts, Model(*shared.value), slots, bits)[:, -1] >= least))
+
+    return docs.mapInArrow(run, docs.schema)

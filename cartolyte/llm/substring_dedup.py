@@ -20,8 +20,8 @@ Skew: counts and first places are formed map-side before they are shuffled; the
 exchanges on both sides, which Spark splits where an anchor has many rows. What is gathered per document is in
 proportion to its own length.
 
-Defined cases: a null text has no words; texts under ``WINDOW`` words lose nothing; repeated rows with one doc_id are
-not expected, give each row its id; an empty table gives an empty result; other columns are ignored by
+Defined cases: a null text has no words; texts under ``WINDOW`` words lose nothing; rows of one doc_id and equal
+texts are one document, of other texts several, null ids before all others; an empty table gives an empty result; other columns are ignored by
 :func:`substring_dedup` and kept by :func:`cut_repeats`.
 """
 
@@ -32,10 +32,11 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartolyte.llm.common import written
+from cartolyte.llm.common import bounded_batches, written
 from cartolyte.llm.pretokens import _mix, blocks
 from cartolyte.llm.words import run_hashes, split_words, text_of
 
@@ -209,17 +210,27 @@ def removed_words(w, pos: list[np.ndarray], fresh: list[np.ndarray], firsts: lis
 
 
 def _apply(docs: DataFrame, window: int, k: int, schema: str, make) -> DataFrame:
+    bounded_batches(docs)
     columns = docs.columns
     own = [f"_{n}" for n in range(len(columns))]  # names that can't clash
     plain = docs.toDF(*own)
-    marks = marked(docs.select("doc_id", "text"), window, k)
-    joined = plain.join(marks, plain[own[columns.index("doc_id")]] == marks["doc_id"], "left").drop("doc_id")
-    text_at = own[columns.index("text")]
-
-    def run(frames):
-        for frame in frames:
-            texts, pos, fresh, firsts = frame[text_at].fillna("").tolist(), _lists(frame, "pos"), _lists(frame, "fresh"), _lists(frame, "firsts")
-            frame = frame[own].set_axis(columns, axis=1)
+    id_at, text_at = own[columns.index("doc_id")], own[columns.index("text")]
+    keyed = plain.withColumn("_key", F.col(id_at))
+    texts = keyed
+    if not docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        # Ids that say too little: number the distinct (id, text) pairs in their order and go by that.
+        pair = (F.col(id_at).alias("i"), F.xxhash64(text_at).alias("t"))
+        pairs = written(plain.select(*pair).distinct().orderBy("i", "t").withColumn("_key", F.monotonically_increasing_id()), "pairs")
+        keyed = plain.join(pairs, F.col(id_at).eqNullSafe(F.col("i")) & (F.xxhash64(text_at) == F.col("t"))).drop("i", "t")
+        texts = keyed.dropDuplicates(["_key"])
+    marks = marked(texts.select(F.col("_key").alias("doc_id"), F.col(text_at).alias("text")), window, k)
+    joined = keyed.join(marks, keyed["_key"] == marks["doc_id"], "left").drop("doc_id", "_key")
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_at)).to_pylist()]
+            pos, fresh, firsts = (_arrow_lists(batch.column(batch.schema.get_field_index(c))) for c in ("pos", "fresh", "firsts"))
+            own_columns = batch.select(own).rename_columns(columns)
             for a, b in blocks(texts):
                 kept, n_words, n_removed = [], [], []
                 touched = [i for i in range(a, b) if len(pos[i])]
@@ -236,27 +247,33 @@ def _apply(docs: DataFrame, window: int, k: int, schema: str, make) -> DataFrame
                             words = [x for x, l in zip(words, lost.tolist()) if not l]
                     n_removed.append(n_words[-1] - len(words))
                     kept.append(" ".join(words))
-                yield make(frame.iloc[a:b], kept, n_words, n_removed)
+                yield make(own_columns.slice(a, b - a), kept, n_words, n_removed)
+
+    return joined.mapInArrow(run, schema)
+
 
-    return joined.mapInPandas(run, schema)
+def _arrow_lists(column: pa.ListArray) -> list[np.ndarray]:
+    values, ends, valid = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(), column.is_valid().to_pylist()
+    return [values[a:b] if v else values[:0] for a, b, v in zip(ends[:-1], ends[1:], valid)]
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def make(frame, kept, n_words, n_removed):
+    def make(batch, kept, n_words, n_removed):
         sha = [hashlib.sha256(t.encode()).hexdigest() for t in kept]
-        return pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "n_words": n_words, "n_removed": n_removed, "kept_sha256": sha})
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return _apply(docs.select("doc_id", "text"), window, k, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string", make)
 
 
 def cut_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """The documents with their columns; a text that loses words becomes its kept words joined by one space."""
+    at = docs.columns.index("text")
 
-    def make(frame, kept, n_words, n_removed):
-        text = [new if lost else t for new, lost, t in zip(kept, n_removed, frame["text"])]
-        return frame.assign(text=pd.Series(text, index=frame.index, dtype=object))
+    def make(batch, kept, n_words, n_removed):
+        text = [new if lost else old for new, lost, old in zip(kept, n_removed, batch.column(at).to_pylist())]
+        return batch.set_column(at, batch.schema.field(at), pa.array(text, batch.schema.field(at).type))
 
     return _apply(docs, window, k, docs.schema, make)
