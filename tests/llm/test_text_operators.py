@@ -64,6 +64,26 @@ def test_bpe_equals_tiktoken_and_round_trips(spark, many):
     assert row["n_tokens"] == len(ids[7]) and row["decoded_sha256"] == hashlib.sha256(many[7].encode()).hexdigest()
 
 
+#: Letters and numbers above U+FFFF: CJK extensions, mathematical, Gothic, Adlam, Deseret, Osmanya; two signs; and two that only newer versions of Unicode assign.
+HIGH = "\U00020000\U0002a6d6\U00030000\U0001d400\U0001d7ce\U0001d7ff\U00010330\U0001e900\U0001e950\U00010400\U000104a0\U0001f642\U0001d100\u0558\U0003fc3b"
+
+
+def test_pretokens_above_the_bmp(spark):
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    tik, tok = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), Tokenizer.from_file(JSON)
+    texts = [x for h in HIGH for b in "a7.-'é中 \n" for x in (h + b, b + h, b + h + b, h + b + h, " " + h + b + h)]
+    rng = random.Random(9)
+    texts += ["".join(rng.choice(HIGH + "a7.- '中s") for _ in range(40)) for _ in range(200)]
+    df = docs(spark, texts)
+    assert {r["doc_id"]: r["ids"] for r in bpe.encode(df, RANKS).collect()} == {i: tik.encode_ordinary(t) for i, t in enumerate(texts)}
+    by_doc = defaultdict(list)
+    for p in packing.pack(df, JSON, with_ids=True).collect():
+        by_doc[p["doc_id"]].append((p["start"], p["ids"]))
+    got = {i: [x for _, ids in sorted(own) for x in ids] for i, own in by_doc.items()}
+    assert got == {i: tok.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+
+
 def test_packing_covers_each_id_once(spark, many):
     tok = Tokenizer.from_file(JSON)
     pieces = packing.pack(docs(spark, many), JSON, with_ids=True).collect()
