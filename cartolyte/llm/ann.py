@@ -1,19 +1,23 @@
 """Approximate nearest neighbours: a neighbour graph by NN-descent, and greedy search on it.
 
-Index. Every vector starts with neighbours from ``TREES`` random partitions of the space: cells of at most ``CELL``
+Copies. The index holds each distinct vector once, under its smallest id, with the k + 1 smallest ids that have it. What
+the search finds is expanded from these, so of equal vectors the smallest ids are always the ones that count.
+
+Index. Every distinct vector starts with neighbours from ``TREES`` random partitions of the space: cells of at most ``CELL``
 vectors by random hyperplane codes, within which all distances are computed. NN-descent then joins each vector's list
 with the lists of its neighbours, forward and reverse: two vectors that share a neighbour are likely neighbours, so the
 members of each vector's neighbourhood are compared with each other, and each keeps its ``DEGREE`` best. Reverse lists
-are bounded by ``REVERSE``, by a hash, which bounds a neighbourhood; this leaves out proposals, not rows.
+are bounded by ``REVERSE``, by a hash, which bounds a neighbourhood; this leaves out proposals, not rows. Of equal
+distances the smaller ids are kept.
 
-Search. Each query holds a beam of its best rows. A step expands the beam's unexpanded rows through the graph, computes
-the distances of the new ones, and keeps the best; it ends when no beam changes. Queries that are rows themselves start
-at their own neighbours. All steps are Spark joins on row ids; what is held for a row or a query is bounded by the
+Search. Each distinct query vector holds a beam of its best rows. A step expands the beam's unexpanded rows through the
+graph, by all forward links and ``LINKS`` reverse ones at most, computes the distances of the new ones, and keeps the
+best; it ends when no beam changes. Queries start at their own neighbours. All steps are Spark joins on row ids; what is held for a row or a query is bounded by the
 parameters. Distances are Euclidean in double precision on the original vectors.
 
 Defined cases: rows without an id and vectors that are null or zero, of another length than most, or hold null or non-finite components take no
 part, neither as candidates nor as queries; of equal distances the smaller id comes first; copies are rows like others,
-and a cell that a hyperplane code can't split, as of equal vectors, is cut by a hash of the ids; fewer candidates than
+rows that repeat id and vector count once, and a cell that a hyperplane code can't split, as of vectors almost equal, is cut by a hash of the ids; fewer candidates than
 asked for give all; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -27,7 +31,9 @@ from pyspark.sql import functions as F
 from cartolyte.llm.common import drop_written, written
 
 DEGREE, REVERSE, PROPOSE, TREES, CELL, ROUNDS = 24, 12, 8, 6, 256, 3
-BEAM, STEPS = 384, 12
+BEAM, LINKS = 384, 72
+#: Parts in which the smallest ids of a vector are first looked for, so that no task gets all rows of a common one.
+PARTS = 16
 #: Vectors, at most, from which the hyperplanes' offsets are taken.
 SAMPLE = 4000
 
@@ -44,6 +50,17 @@ def _matrix(column) -> np.ndarray:
     return np.stack([np.asarray(x, float) for x in column])
 
 
+def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
+    """(id, v, ids): each distinct vector with its k smallest ids in order, the first of which stands for it."""
+    def least(some: DataFrame, *keys) -> DataFrame:
+        return some.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(f"r <= {k}").drop("r")
+
+    part = F.pmod(F.xxhash64("id"), F.lit(PARTS))
+    held = least(least(rows.distinct().withColumn("part", part), "v", "part"), "v")
+    groups = held.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return groups.select(F.get("ids", F.lit(0)).alias("id"), "v", "ids")
+
+
 def cells(vectors: DataFrame, normals: np.ndarray, offsets: np.ndarray) -> DataFrame:
     """(code, id, v): the code of each vector's sides of the hyperplanes."""
     kind, shape = (vectors.schema[c].dataType.simpleString() for c in ("id", "v"))
@@ -76,11 +93,18 @@ def _among(groups: DataFrame, k: int) -> DataFrame:
                 ids = np.array([m["id"] for m in members])
                 x = np.stack([np.asarray(m["v"], float) for m in members])
                 norm = (x * x).sum(axis=1)
-                d = np.sqrt(np.maximum(norm[:, None] + norm - 2 * (x @ x.T), 0))
+                d = np.maximum(norm[:, None] + norm - 2 * (x @ x.T), 0)
                 np.fill_diagonal(d, np.inf)
                 n = min(k, len(ids) - 1)
-                near = np.argpartition(d, n - 1, axis=1)[:, :n]
-                out.append(pd.DataFrame({"id": np.repeat(ids, n), "other": ids[near].ravel(), "d": np.take_along_axis(d, near, 1).ravel()}))
+                # Norms round: all that may be among the n nearest are measured again, then ordered with ties by id.
+                upto = np.partition(d, n - 1, axis=1)[:, n - 1] + 1e-9 * (norm + norm.max())
+                i, j = np.nonzero(d <= upto[:, None])
+                gap = x[i] - x[j]
+                exact = np.sqrt((gap * gap).sum(axis=1))
+                order = np.lexsort((ids[j], exact, i))
+                first = np.searchsorted(i, np.arange(len(ids)))  # i ascends, before and after ordering
+                near = order[np.arange(len(i)) - first[i] < n]
+                out.append(pd.DataFrame({"id": ids[i[near]], "other": ids[j[near]], "d": exact[near]}))
             if out:
                 yield pd.concat(out)
 
@@ -131,12 +155,13 @@ def build_graph(vectors: DataFrame, degree: int = DEGREE, trees: int = TREES, ce
     return graph
 
 
-def search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, k: int = 10, beam: int = BEAM, steps: int = STEPS) -> DataFrame:
-    """(query_id, rank, vec_id, score): greedy search from each query's own row; ``queries`` are (id, v) rows of the index."""
+def search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, k: int = 10, beam: int = BEAM) -> DataFrame:
+    """(query, id, d): the k nearest by greedy search from each query's own row; ``queries`` are (id, v) rows of the index."""
     kind = vectors.schema["id"].dataType.simpleString()
-    links = graph.select(F.col("id").alias("at"), "other").unionByName(graph.select(F.col("other").alias("at"), F.col("id").alias("other"))).distinct()
+    forward = graph.select(F.col("id").alias("at"), "other")
     by_hash = Window.partitionBy("at").orderBy(F.xxhash64("other", "at"))
-    links = written(links.withColumn("r", F.row_number().over(by_hash)).where(f"r <= {4 * DEGREE}").drop("r"), "links")
+    reverse = graph.select(F.col("other").alias("at"), F.col("id").alias("other")).withColumn("r", F.row_number().over(by_hash)).where(f"r <= {LINKS}").drop("r")
+    links = written(forward.unionByName(reverse).distinct(), "links")
     asked = written(queries.select(F.col("id").alias("query"), F.col("v").alias("q")), "queries")
 
     def distances(frames):
@@ -148,26 +173,40 @@ def search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, k: int = 10
     def scored(pairs: DataFrame) -> DataFrame:
         return pairs.join(vectors.hint("shuffle_merge"), "id").join(asked.hint("shuffle_merge"), "query").select("query", "q", "id", "v").mapInPandas(distances, f"query {kind}, id {kind}, d double")
 
-    def best(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))).where(f"r <= {beam}").drop("r")
+    def best(rows: DataFrame, most: int) -> DataFrame:
+        return rows.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))).where(f"r <= {most}").drop("r")
 
     first = asked.join(links.hint("shuffle_merge"), asked["query"] == links["at"]).select("query", F.col("other").alias("id")).distinct()
-    held = written(best(scored(first).withColumn("open", F.lit(True))), "beam")
-    for _ in range(steps):
+    held = written(best(scored(first).withColumn("open", F.lit(True)), beam), "beam")
+    # A row that a beam has dropped can't come back, as a beam's last only gets nearer; so this ends.
+    while not held.where("open").isEmpty():
         fresh = held.where("open").join(links.hint("shuffle_merge"), F.col("id") == F.col("at")).select("query", F.col("other").alias("id")).where("query <> id").distinct()
         fresh = fresh.join(held.select("query", "id"), ["query", "id"], "left_anti")
         found = scored(fresh).withColumn("open", F.lit(True))
-        before, held = held, written(best(held.withColumn("open", F.lit(False)).unionByName(found)), "beam")
+        before, held = held, written(best(held.withColumn("open", F.lit(False)).unionByName(found), beam), "beam")
         drop_written(before)
-        if held.where("open").isEmpty():
-            break
-    order = Window.partitionBy("query").orderBy("d", "id")
-    ranked = held.select("query", "id", "d").withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}")
-    return ranked.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), F.col("d").alias("score"))
+    return best(held.select("query", "id", "d"), k)
+
+
+def expanded(found: DataFrame, index: DataFrame, asked: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest rows of each query, from the distinct vectors found for its own.
+
+    k + 1 ids of each vector suffice: only the query itself is left out of them.
+    """
+    own = asked.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("d"))
+    rows = found.unionByName(own).join(index.select("id", "ids").hint("shuffle_merge"), "id").select("query", "d", F.explode("ids").alias("vec_id"))
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("d", "vec_id"))).where(f"r <= {k + 1}")
+    near = rows.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("d", "vec_id"))).alias("near"))
+    near = asked.select(F.col("id").alias("query"), "v").join(near, "query").select("v", "near")
+    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    out = queries.select(F.col("id").alias("query_id"), "v").distinct().join(near, "v").select("query_id", F.posexplode(others).alias("pos", "x"))
+    return out.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.d").alias("score"))
 
 
 def nearest(rows: DataFrame, is_query, k: int = 10) -> DataFrame:
     """Index all rows, then search for those that ``is_query`` (a condition on the column id) selects."""
-    vectors = written(usable(rows), "vectors")
-    graph = build_graph(vectors)
-    return search(vectors.where(is_query), vectors, graph, k)
+    every = written(usable(rows), "rows")
+    index = written(distinct_vectors(every, k + 1), "index")
+    vectors, queries = index.select("id", "v"), every.where(is_query)
+    asked = written(vectors.join(queries.select("v").distinct().hint("shuffle_merge"), "v", "left_semi"), "asked")
+    return expanded(search(asked, vectors, build_graph(vectors), k), index, asked, queries, k)

@@ -132,3 +132,17 @@ def test_nearest_neighbours(spark):
     assert [r["rank"] for r in few] == [1, 2]
     assert ann.nearest(df.limit(0), F.col("id") == 0).count() == 0
     assert struct.calcsize("f") == 4
+
+
+def test_nearest_of_many_copies(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 8)).astype("float32")
+    x[rng.permutation(3000)[:2000]] = x[0]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.nearest(df, F.col("id") % 300 == 0).collect()
+    copies = np.flatnonzero((x == x[0]).all(axis=1)).tolist()
+    asked = [q for q in range(0, 3000, 300) if q in set(copies)]
+    assert len(asked) > 1
+    for q in asked:
+        own = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert own == [(n + 1, i, 0.0) for n, i in enumerate([c for c in copies if c != q][:10])]
