@@ -21,15 +21,17 @@ _WRAP = 1 << 64
 def token(name: Column) -> Column:
     """The token of a name as signed BIGINT; names of any length."""
     chars = F.filter(F.split(F.lower(name), ""), lambda c: c != "")
-    powers = F.array(*(F.lit(Decimal(pow(BASE, i, _WRAP))).cast("decimal(38,0)") for i in range(48)))
+    wide = lambda c: F.pmod(c, F.lit(Decimal(_WRAP)).cast("decimal(38,0)")).cast("decimal(38,0)")
     digits = F.transform(chars, lambda c: F.call_function("locate", c, F.lit(DIGITS[1:])))
+    state = lambda total, power: F.struct(total.alias("total"), power.alias("power"))
     total = F.aggregate(
-        F.arrays_zip(digits.alias("d"), F.sequence(F.lit(1), F.size(chars)).alias("i")),
-        F.lit(0).cast("decimal(38,0)"),
-        lambda acc, z: F.pmod(acc + F.element_at(powers, z["i"]) * z["d"], F.lit(Decimal(_WRAP)).cast("decimal(38,0)")).cast("decimal(38,0)"),
+        digits,
+        state(F.lit(Decimal(0)).cast("decimal(38,0)"), F.lit(Decimal(1)).cast("decimal(38,0)")),
+        lambda acc, d: state(wide(acc["total"] + acc["power"] * d), wide(acc["power"] * BASE)),
+        lambda acc: acc["total"],
     )
     long_ = F.when(total >= F.lit(Decimal(1 << 63)).cast("decimal(38,0)"), total - F.lit(Decimal(_WRAP)).cast("decimal(38,0)")).otherwise(total).cast("long")
-    return F.when(F.length(name) <= 12, short_token(name)).when(F.length(name) <= 48, long_)
+    return F.when(F.length(name) <= 12, short_token(name)).otherwise(long_)
 
 
 def short_token(name: Column) -> Column:

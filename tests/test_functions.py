@@ -84,3 +84,12 @@ def test_self_loop_has_no_end(spark):
     ports = spark.createDataFrame([(1, 5.0, 6.0, 1), (1, 7.0, 8.0, 2), (2, 1.0, 1.0, 3)], "port_token int, x double, z double, load_seq int")
     got = {(r["start_token"], r["end_token"]): (r["start_x"], r["end_x"]) for r in lookup.port_ends(c, ports).collect()}
     assert got == {(1, 1): (7.0, None), (1, 2): (7.0, 1.0)}
+
+
+def test_tokens_of_long_names(spark):
+    names = ["a", "hud_parking", "z" * 13, "Ab_9" * 12, "Ab_9" * 12 + "x", "road_" * 40, None]
+    digits = "0123456789abcdefghijklmnopqrstuvwxyz_"
+    unsigned = lambda n: sum((digits.find(c) + 1) * 38**i for i, c in enumerate(n.lower())) % (1 << 64)
+    signed = {n: None if n is None else (t := unsigned(n)) - (t >> 63 << 64) for n in names}
+    got = spark.createDataFrame([(n,) for n in names], "name string").select("name", tokens.token(F.col("name")).alias("t")).collect()
+    assert {r["name"]: r["t"] for r in got} == signed
