@@ -1,41 +1,52 @@
 """Approximate nearest neighbours: a neighbour graph by NN-descent, and greedy search on it.
 
-Copies. The index holds each distinct vector once, under its smallest id, with the k + 1 smallest ids that have it. What
-the search finds is expanded from these, so of equal vectors the smallest ids are always the ones that count.
-
-Index. Every distinct vector starts with neighbours from ``TREES`` random partitions of the space: cells of at most ``CELL``
-vectors by random hyperplane codes, within which all distances are computed. NN-descent then joins each vector's list
-with the lists of its neighbours, forward and reverse: two vectors that share a neighbour are likely neighbours, so the
-members of each vector's neighbourhood are compared with each other, and each keeps its ``DEGREE`` best. Reverse lists
-are bounded by ``REVERSE``, by a hash, which bounds a neighbourhood; this leaves out proposals, not rows. Of equal
-distances the smaller ids are kept.
-
-Search. Each distinct query vector holds a beam of its best rows. A step expands the beam's unexpanded rows through the
-graph, by all forward links and ``LINKS`` reverse ones at most, computes the distances of the new ones, and keeps the
-best; it ends when no beam changes. Queries start at their own neighbours. All steps are Spark joins on row ids; what is held for a row or a query is bounded by the
-parameters. Distances are Euclidean in double precision on the original vectors.
-
-Defined cases: rows without an id and vectors that are null or zero, of another length than most, or hold null or non-finite components take no
-part, neither as candidates nor as queries; of equal distances the smaller id comes first; copies are rows like others,
-rows that repeat id and vector count once, and a cell that a hyperplane code can't split, as of vectors almost equal, is cut by a hash of the ids; fewer candidates than
-asked for give all; an empty table gives an empty result; other columns are ignored.
+Copies. The index holds each distinct vector once, as a node, with the k + 1 smallest ids that have it. What the search
+finds is expanded from these, so of equal vectors the smallest ids are always the ones that count.
+
+Index. Nodes carry their vector centred, scaled and rounded to half precision, which is what the graph and the search
+measure by; only the last ranking reads the vectors as they are. Every node starts with neighbours from ``TREES`` orders
+of the nodes by random hyperplane codes, each dealt out by range and cut into cells of ``CELL`` nodes. A round of
+NN-descent then joins each node's list with those of its neighbours: the members of a neighbourhood, the node's
+``DEGREE`` neighbours and ``REVERSE`` of the nodes that have it as one, are compared with each other, and a member takes
+what is nearer than the last of its list. Pairs that have met before, both old in the list, aren't compared again. The
+bound on reverse members leaves out proposals of an approximate method, not rows: they are members elsewhere.
+
+Search. Each distinct query vector starts at its own node and holds a beam of its ``BEAM`` nearest so far. A step measures
+all neighbours of the nodes that have just entered the beam; it ends when no beam changes. The query travels to the
+nodes, and only what enters the beam travels back, with its links. Links are whole neighbour lists, without a cap.
+
+All steps are Spark joins on node numbers; what is held for a node or a query is bounded by the parameters. A node that
+is in very many lists has its rows combined in the task that finds them, and its joins have plain exchanges, which Spark
+splits. Distances are Euclidean in double precision on the original vectors.
+
+Defined cases: rows without an id and vectors that are null or zero, of another length than most, or hold null or non-finite
+components take no part, neither as candidates nor as queries; of equal distances the smaller id comes first; rows that
+repeat id and vector count once, an id with several vectors is as many rows, each searched for with ranks of its own, and
+a query's own id is never among its neighbours; fewer candidates than asked for give all; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartolyte.llm.common import drop_written, written
+from cartolyte.llm.common import bounded_batches, drop_written, written
 
-DEGREE, REVERSE, PROPOSE, TREES, CELL, ROUNDS = 24, 12, 8, 6, 256, 3
-BEAM, LINKS = 384, 72
-#: Parts in which the smallest ids of a vector are first looked for, so that no task gets all rows of a common one.
-PARTS = 16
-#: Vectors, at most, from which the hyperplanes' offsets are taken.
+DEGREE, REVERSE, PROPOSE, TREES, CELL, ROUNDS = 40, 16, 8, 4, 512, 2
+BEAM = 144
+#: Hyperplanes of a code; cells are cut from the order of the codes, so more of them than needed do no harm.
+PLANES = 30
+#: Vectors, at most, from which the centre and the hyperplanes' offsets are taken.
 SAMPLE = 4000
+#: Neighbourhoods compared at once.
+AT_ONCE = 256
 
 
 def usable(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -46,167 +57,284 @@ def usable(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     return good.where(F.size("v") == (width["width"] if width else 0))
 
 
-def _matrix(column) -> np.ndarray:
-    return np.stack([np.asarray(x, float) for x in column])
+def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
+    """(node, v, ids): each distinct vector with its k smallest ids in order. To be written before use, as nodes are numbered by task."""
+    # A limit on row numbers is kept in each task before the shuffle, so a common vector moves k rows a task.
+    least = rows.distinct().withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(f"r <= {k}")
+    groups = least.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return groups.select(F.monotonically_increasing_id().alias("node"), "v", "ids")
 
 
-def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
-    """(id, v, ids): each distinct vector with its k smallest ids in order, the first of which stands for it."""
-    def least(some: DataFrame, *keys) -> DataFrame:
-        return some.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(f"r <= {k}").drop("r")
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The lengths of the lists, and their values one after the other."""
+    return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64), column.flatten()
 
-    part = F.pmod(F.xxhash64("id"), F.lit(PARTS))
-    held = least(least(rows.distinct().withColumn("part", part), "v", "part"), "v")
-    groups = held.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    return groups.select(F.get("ids", F.lit(0)).alias("id"), "v", "ids")
 
+def _longs(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
 
-def cells(vectors: DataFrame, normals: np.ndarray, offsets: np.ndarray) -> DataFrame:
-    """(code, id, v): the code of each vector's sides of the hyperplanes."""
-    kind, shape = (vectors.schema[c].dataType.simpleString() for c in ("id", "v"))
 
-    def run(frames):
-        for frame in frames:
-            if len(frame):
-                sides = _matrix(frame["v"]) @ normals.T > offsets
-                yield pd.DataFrame({"code": (sides << np.arange(len(offsets))).sum(axis=1), "id": frame["id"], "v": frame["v"]})
+def _halves(column: pa.Array) -> np.ndarray:
+    """A matrix from half-precision rows."""
+    if not len(column):
+        return np.zeros((0, 1), np.float32)
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    ends = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.float16).reshape(len(column), -1).astype(np.float32)
 
-    return vectors.mapInPandas(run, f"code long, id {kind}, v {shape}")
 
+def _as_lists(owner: np.ndarray, n: int, values: np.ndarray) -> pa.Array:
+    """Values of ascending owners 0..n-1 as a list for each."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(values))
 
-def _best(found: DataFrame, k: int) -> DataFrame:
-    """The k nearest neighbours of each id: (id, other, d)."""
-    rank = Window.partitionBy("id").orderBy("d", "other")
-    return found.groupBy("id", "other").agg(F.min("d").alias("d")).withColumn("r", F.row_number().over(rank)).where(f"r <= {k}").drop("r")
 
+def _gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of rows: the same for a pair wherever and in whichever order it is measured."""
+    gap = x - y
+    return (gap * gap).sum(axis=1)
 
-def _among(groups: DataFrame, k: int) -> DataFrame:
-    """All distances within each row's list of (id, v): the k nearest of each member, as (id, other, d)."""
-    kind = groups.schema["members"].dataType.elementType["id"].dataType.simpleString()
 
-    def run(frames):
-        for frame in frames:
-            out = []
-            for members in frame["members"]:
-                if len(members) < 2:
+def _firsts(owner: np.ndarray, other: np.ndarray, d: np.ndarray, new: np.ndarray, k: int) -> np.ndarray:
+    """Indices of each owner's k nearest others, by owner and distance; of repeated pairs the old one."""
+    order = np.lexsort((new, other, d, owner))
+    a, b, c = owner[order], other[order], d[order]
+    again = np.zeros(len(order), bool)
+    again[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1]) & (c[1:] == c[:-1])
+    order = order[~again]
+    a = owner[order]
+    return order[np.arange(len(a)) - np.searchsorted(a, a) < k]
+
+
+def _found(owner: np.ndarray, other: np.ndarray, d: np.ndarray, k: int) -> pa.RecordBatch:
+    """A row for each node that something was found for."""
+    at = _firsts(owner, other, d, np.zeros(len(owner), bool), k)
+    nodes, rank = np.unique(owner[at], return_inverse=True)
+    return pa.RecordBatch.from_arrays([pa.array(nodes), _as_lists(rank, len(nodes), other[at]), _as_lists(rank, len(nodes), d[at])], ["node", "others", "ds"])
+
+
+FOUND = "node long, others array<long>, ds array<float>"
+
+
+def coded(points: DataFrame, normals: np.ndarray, offsets: np.ndarray) -> DataFrame:
+    """(tree, code, node, x): on which sides of each tree's hyperplanes the points lie; ``normals`` are [tree, plane, dimension]."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _halves(batch.column("x"))
+            for tree in range(len(normals)) if len(x) else ():
+                code = ((x @ normals[tree].T > offsets[tree]) << np.arange(normals.shape[1])[::-1]).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree, np.int32)), pa.array(code.astype(np.int64)), batch.column("node"), batch.column("x")], ["tree", "code", "node", "x"])
+
+    return points.select("node", "x").mapInArrow(run, "tree int, code long, node long, x binary")
+
+
+def in_cells(ordered: DataFrame, cell: int, degree: int) -> DataFrame:
+    """(node, others, ds) from all distances within cells of consecutive rows."""
+    def run(batches):
+        for batch in batches:
+            nodes, x = _longs(batch.column("node")), _halves(batch.column("x"))
+            for part in np.array_split(np.arange(len(nodes)), max(1, -(-len(nodes) // cell))):
+                n = min(degree, len(part) - 1)
+                if n < 1:
                     continue
-                ids = np.array([m["id"] for m in members])
-                x = np.stack([np.asarray(m["v"], float) for m in members])
-                norm = (x * x).sum(axis=1)
-                d = np.maximum(norm[:, None] + norm - 2 * (x @ x.T), 0)
+                own = x[part]
+                norm = (own * own).sum(axis=1)
+                d = norm[:, None] + norm - 2 * (own @ own.T)
                 np.fill_diagonal(d, np.inf)
-                n = min(k, len(ids) - 1)
-                # Norms round: all that may be among the n nearest are measured again, then ordered with ties by id.
-                upto = np.partition(d, n - 1, axis=1)[:, n - 1] + 1e-9 * (norm + norm.max())
-                i, j = np.nonzero(d <= upto[:, None])
-                gap = x[i] - x[j]
-                exact = np.sqrt((gap * gap).sum(axis=1))
-                order = np.lexsort((ids[j], exact, i))
-                first = np.searchsorted(i, np.arange(len(ids)))  # i ascends, before and after ordering
-                near = order[np.arange(len(i)) - first[i] < n]
-                out.append(pd.DataFrame({"id": ids[i[near]], "other": ids[j[near]], "d": exact[near]}))
-            if out:
-                yield pd.concat(out)
+                i, j = np.repeat(part, n), part[np.argpartition(d, n - 1, axis=1)[:, :n].ravel()]
+                # Trees follow each other in the order, so a cell may hold a node twice.
+                i, j = i[nodes[i] != nodes[j]], j[nodes[i] != nodes[j]]
+                yield _found(nodes[i], nodes[j], _gaps(x[i], x[j]), degree)
 
-    return groups.select("members").mapInPandas(run, f"id {kind}, other {kind}, d double")
+    return ordered.mapInArrow(run, FOUND)
 
 
-def starting_graph(vectors: DataFrame, degree: int = DEGREE, trees: int = TREES, cell: int = CELL, seed: int = 11) -> DataFrame:
-    """(id, other, d) from random partitions."""
-    n = vectors.count()
-    sample = [np.asarray(r["v"], float) for r in vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()]
-    if n < 2:
-        return _among(vectors.groupBy("id").agg(F.collect_list(F.struct("id", "v")).alias("members")), degree)
-    sample = np.stack(sample)
-    splits = max(0, int(np.ceil(np.log2(max(1.0, 2 * n / cell)))))
-    rng, found = np.random.default_rng(seed), None
-    for tree in range(trees):
-        normals = rng.standard_normal((splits, sample.shape[1]))
-        if splits:  # towards directions in which the vectors vary
-            normals = normals @ np.cov(sample.T + 1e-12).reshape(sample.shape[1], -1) if len(sample) > 1 else normals
-        offsets = np.median(sample @ normals.T, axis=0) if splits else np.zeros(0)
-        coded = cells(vectors, normals, offsets)
-        sizes = coded.groupBy("code").count().select("code", F.ceil(F.col("count") / cell).alias("cuts"))
-        cut = coded.join(written(sizes, "cell-sizes").hint("shuffle_merge"), "code").withColumn("cut", F.pmod(F.xxhash64("id", F.lit(tree)), F.col("cuts")))
-        lists = cut.groupBy("code", "cut").agg(F.collect_list(F.struct("id", "v")).alias("members"))
-        one = _among(lists, degree)
-        found = one if found is None else found.unionByName(one)
-    return _best(found, degree)
-
-
-def descend(graph: DataFrame, vectors: DataFrame, degree: int = DEGREE) -> DataFrame:
+def merged(graph: DataFrame, found: DataFrame, degree: int) -> DataFrame:
+    """The graph with what was found: (node, x, others, ds, new), the lists by distance; ``new`` marks others that weren't there before."""
+    rows = graph.select("node", "x", "others", "ds", F.lit(False).alias("new")).unionByName(found.withColumn("x", F.lit(None).cast("binary")).withColumn("new", F.lit(True)))
+    held = rows.groupBy("node").agg(F.first("x", ignorenulls=True).alias("x"), F.collect_list(F.struct("others", "ds", "new")).alias("parts"))
+
+    def run(batches):
+        for batch in batches:
+            parts, each = _lists(batch.column("parts"))
+            others, ds, new = each.flatten()
+            sizes, other = _lists(others)
+            owner = np.repeat(np.repeat(np.arange(len(batch)), parts), sizes)
+            other, d, new = _longs(other), ds.flatten().to_numpy(zero_copy_only=False), np.repeat(new.to_numpy(zero_copy_only=False), sizes)
+            at = _firsts(owner, other, d, new, degree)
+            columns = [_as_lists(owner[at], len(batch), c[at]) for c in (other, d, new)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("x"), *columns], ["node", "x", "others", "ds", "new"])
+
+    return held.mapInArrow(run, "node long, x binary, others array<long>, ds array<float>, new array<boolean>")
+
+
+def descend(graph: DataFrame, degree: int = DEGREE, reverse: int = REVERSE, propose: int = PROPOSE) -> DataFrame:
     """One round of NN-descent: neighbours of neighbours are compared."""
-    forward = graph.select(F.col("id").alias("at"), F.col("other").alias("member"))
-    by_hash = Window.partitionBy("at").orderBy(F.xxhash64("member", "at"))
-    reverse = graph.select(F.col("other").alias("at"), F.col("id").alias("member")).withColumn("r", F.row_number().over(by_hash)).where(f"r <= {REVERSE}").drop("r")
-    own = graph.select(F.col("id").alias("at"), F.col("id").alias("member")).distinct()
-    around = forward.unionByName(reverse).unionByName(own).distinct()
-    held = around.join(vectors.select(F.col("id").alias("member"), "v").hint("shuffle_merge"), "member")
-    lists = held.groupBy("at").agg(F.collect_list(F.struct(F.col("member").alias("id"), "v")).alias("members"))
-    return _best(graph.unionByName(_among(lists, PROPOSE)), degree)
-
-
-def build_graph(vectors: DataFrame, degree: int = DEGREE, trees: int = TREES, cell: int = CELL, rounds: int = ROUNDS) -> DataFrame:
-    """(id, other, d): the neighbour graph of all rows."""
-    graph = written(starting_graph(vectors, degree, trees, cell), "graph")
+    forward = graph.select(F.col("node").alias("at"), F.explode(F.arrays_zip("others", "new")).alias("e")).select("at", F.col("e.others").alias("member"), F.col("e.new").alias("new"))
+    some = Window.partitionBy("at").orderBy(F.desc("new"), F.xxhash64("member", "at"))
+    back = forward.select(F.col("member").alias("at"), F.col("at").alias("member"), "new").withColumn("r", F.row_number().over(some)).where(f"r <= {reverse}").drop("r")
+    own = graph.select(F.col("node").alias("at"), F.col("node").alias("member"), F.lit(False).alias("new"))
+    last = F.when(F.size("others") < degree, F.lit(float("inf"))).otherwise(F.element_at("ds", -1)).cast("float")
+    points = graph.select(F.col("node").alias("member"), "x", last.alias("last"))
+    around = forward.unionByName(back).unionByName(own).join(points.hint("shuffle_merge"), "member")
+    lists = around.groupBy("at").agg(F.collect_list(F.struct("member", "x", "last", "new")).alias("members"))
+
+    def run(batches):
+        for batch in batches:
+            sizes, members = _lists(batch.column("members"))
+            node, x, last, new = members.flatten()
+            node, x, last, new = _longs(node), _halves(x), last.to_numpy(zero_copy_only=False), new.to_numpy(zero_copy_only=False)
+            first, found = np.cumsum(sizes) - sizes, []
+            for a in range(0, len(sizes), AT_ONCE):
+                n = sizes[a : a + AT_ONCE, None]
+                width = int(n.max())
+                if width < 2:
+                    continue
+                inside = np.arange(width) < n
+                at = np.where(inside, first[a : a + AT_ONCE, None] + np.arange(width), 0)
+                own, fresh, who = x[at], new[at] & inside, node[at]
+                norm = np.where(inside, (own * own).sum(axis=2), np.inf)
+                d = norm[:, :, None] + norm[:, None, :] - 2 * (own @ own.transpose(0, 2, 1))
+                d[(who[:, :, None] == who[:, None, :]) | ~(fresh[:, :, None] | fresh[:, None, :])] = np.inf
+                near = np.argpartition(d, min(propose, width - 1) - 1, axis=2)[:, :, :propose]
+                # Norms round: measure again what may be nearer than the last.
+                maybe = np.take_along_axis(d, near, 2) <= (last[at] * 1.001 + 1e-3 * np.where(inside, norm, 0))[:, :, None]
+                maybe &= np.isfinite(np.take_along_axis(d, near, 2))
+                row, i, j = np.nonzero(maybe)
+                p, q = at[row, i], at[row, near[row, i, j]]
+                exact = _gaps(x[p], x[q])
+                better = exact < last[p]
+                found.append((node[p[better]], node[q[better]], exact[better]))
+            if found:
+                yield _found(*(np.concatenate(c) for c in zip(*found)), degree)
+
+    return merged(graph, lists.mapInArrow(run, FOUND), degree)
+
+
+def _packed(index: DataFrame, centre: np.ndarray, scale: float) -> DataFrame:
+    """(node, x): the vectors around the centre in half precision."""
+    def run(batches):
+        for batch in batches:
+            v = _longs(batch.column("v").flatten()).astype(float).reshape(len(batch), -1)
+            x = np.ascontiguousarray(((v - centre) / scale).astype("<f2"))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in x], pa.binary())], ["node", "x"])
+
+    return index.select("node", "v").mapInArrow(run, "node long, x binary")
+
+
+def build_graph(index: DataFrame, degree: int = DEGREE, trees: int = TREES, cell: int = CELL, rounds: int = ROUNDS, seed: int = 11) -> DataFrame:
+    """(node, x, others, ds, new): the neighbour graph of all nodes; ds are squared distances in the scale of x. None without nodes."""
+    bounded_batches(index)
+    sample = [np.asarray(r["v"], float) for r in index.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()]
+    if not sample:
+        return None
+    sample = np.stack(sample)
+    centre = sample.mean(axis=0)
+    most = index.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
+    scale = (float(most) + float(np.abs(centre).max())) / 128
+    points = written(_packed(index, centre, scale), "points")
+    rng = np.random.default_rng(seed)
+    spread = (sample - centre) / scale
+    # Towards directions in which the vectors vary.
+    normals = rng.standard_normal((trees, PLANES, sample.shape[1])) @ (spread.T @ spread / len(spread)) if len(sample) > 1 else np.ones((trees, PLANES, sample.shape[1]))
+    offsets = np.stack([np.median(spread @ n.T, axis=0) for n in normals])
+    order = ["tree", "code", F.xxhash64("node", "tree")]
+    dealt = coded(points, normals.astype(np.float32), offsets.astype(np.float32)).repartitionByRange(*order).sortWithinPartitions(*order)
+    none = points.select("node", "x", F.array().cast("array<long>").alias("others"), F.array().cast("array<float>").alias("ds"))
+    graph = written(merged(none, in_cells(dealt, cell, degree), degree), "graph")
     for _ in range(rounds):
-        before, graph = graph, written(descend(graph, vectors, degree), "graph")
+        before, graph = graph, written(descend(graph, degree), "graph")
         drop_written(before)
+    drop_written(points)
     return graph
 
 
-def search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, k: int = 10, beam: int = BEAM) -> DataFrame:
-    """(query, id, d): the k nearest by greedy search from each query's own row; ``queries`` are (id, v) rows of the index."""
-    kind = vectors.schema["id"].dataType.simpleString()
-    forward = graph.select(F.col("id").alias("at"), "other")
-    by_hash = Window.partitionBy("at").orderBy(F.xxhash64("other", "at"))
-    reverse = graph.select(F.col("other").alias("at"), F.col("id").alias("other")).withColumn("r", F.row_number().over(by_hash)).where(f"r <= {LINKS}").drop("r")
-    links = written(forward.unionByName(reverse).distinct(), "links")
-    asked = written(queries.select(F.col("id").alias("query"), F.col("v").alias("q")), "queries")
-
-    def distances(frames):
-        for frame in frames:
-            if len(frame):
-                gap = _matrix(frame["q"]) - _matrix(frame["v"])
-                yield pd.DataFrame({"query": frame["query"], "id": frame["id"], "d": np.sqrt((gap * gap).sum(axis=1))})
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        return pairs.join(vectors.hint("shuffle_merge"), "id").join(asked.hint("shuffle_merge"), "query").select("query", "q", "id", "v").mapInPandas(distances, f"query {kind}, id {kind}, d double")
-
-    def best(rows: DataFrame, most: int) -> DataFrame:
-        return rows.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))).where(f"r <= {most}").drop("r")
-
-    first = asked.join(links.hint("shuffle_merge"), asked["query"] == links["at"]).select("query", F.col("other").alias("id")).distinct()
-    held = written(best(scored(first).withColumn("open", F.lit(True)), beam), "beam")
-    # A row that a beam has dropped can't come back, as a beam's last only gets nearer; so this ends.
-    while not held.where("open").isEmpty():
-        fresh = held.where("open").join(links.hint("shuffle_merge"), F.col("id") == F.col("at")).select("query", F.col("other").alias("id")).where("query <> id").distinct()
-        fresh = fresh.join(held.select("query", "id"), ["query", "id"], "left_anti")
-        found = scored(fresh).withColumn("open", F.lit(True))
-        before, held = held, written(best(held.withColumn("open", F.lit(False)).unionByName(found), beam), "beam")
+STATE = "query long, q binary, ids array<long>, ds array<float>, fresh array<long>"
+
+
+def _advanced(beams: DataFrame, met: DataFrame, beam: int) -> DataFrame:
+    """The beams with the nodes met: fresh is what those that entered lead to and the beam doesn't hold."""
+    empty = F.lit(None)
+    rows = beams.select("query", "q", "ids", "ds", empty.cast("struct<node:bigint,d:float,others:array<bigint>>").alias("m"))
+    rows = rows.unionByName(met.select("query", empty.cast("binary").alias("q"), empty.cast("array<long>").alias("ids"), empty.cast("array<float>").alias("ds"), F.struct("node", "d", "others").alias("m")))
+    held = rows.groupBy("query").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("q", "ids", "ds")), F.collect_list("m").alias("met"))
+
+    def run(batches):
+        for batch in batches:
+            query, out = _longs(batch.column("query")), []
+            had, ids = _lists(batch.column("ids"))
+            ids, ds = _longs(ids), batch.column("ds").flatten().to_numpy(zero_copy_only=False)
+            got, nodes = _lists(batch.column("met"))
+            node, d, others = nodes.flatten()
+            node, d = _longs(node), d.to_numpy(zero_copy_only=False)
+            fan, link = _lists(others)
+            link, to = _longs(link), np.concatenate([[0], np.cumsum(fan)])
+            ids_to, met_to = np.concatenate([[0], np.cumsum(had)]), np.concatenate([[0], np.cumsum(got)])
+            for i, q in enumerate(query.tolist()):
+                a, b, m, n = ids_to[i], ids_to[i + 1], met_to[i], met_to[i + 1]
+                all_ids, all_ds = np.concatenate([ids[a:b], node[m:n]]), np.concatenate([ds[a:b], d[m:n]])
+                best = np.lexsort((all_ids, all_ds))[:beam]
+                entered = best[best >= b - a] - (b - a) + m
+                leads = np.unique(np.concatenate([link[to[e] : to[e + 1]] for e in entered])) if len(entered) else ids[:0]
+                kept = all_ids[best]
+                out.append((kept, all_ds[best], leads[~np.isin(leads, kept) & (leads != q)]))
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(o[c]) for o in out])]).astype(np.int32)), pa.array(np.concatenate([o[c] for o in out]))) for c in range(3)] if out else []
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("q"), *lists], ["query", "q", "ids", "ds", "fresh"])
+
+    return held.mapInArrow(run, STATE)
+
+
+def search(asked: DataFrame, graph: DataFrame, beam: int = BEAM) -> DataFrame:
+    """(query, node): the beam of each query after a greedy search from its own node; ``asked`` has the nodes as ``query``."""
+    def nearer(batches):
+        for batch in batches:
+            d = _gaps(_halves(batch.column("q")), _halves(batch.column("x")))
+            near = pa.array(d < batch.column("last").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("node"), pa.array(d), batch.column("others")], ["query", "node", "d", "others"]).filter(near)
+
+    start = asked.join(graph.hint("shuffle_merge"), F.col("query") == F.col("node"))
+    held = written(start.select("query", F.col("x").alias("q"), F.array().cast("array<long>").alias("ids"), F.array().cast("array<float>").alias("ds"), F.col("others").alias("fresh")), "beams")
+    points = graph.select("node", "x", "others")
+    # What a beam has dropped can't come back, as a beam's last only gets nearer; so this ends.
+    while not held.where("size(fresh) > 0").isEmpty():
+        last = F.when(F.size("ids") < beam, F.lit(float("inf"))).otherwise(F.element_at("ds", -1)).cast("float")
+        pairs = held.select("query", "q", last.alias("last"), F.explode("fresh").alias("node"))
+        met = pairs.join(points.hint("shuffle_merge"), "node").select("query", "q", "last", "node", "x", "others").mapInArrow(nearer, "query long, node long, d float, others array<long>")
+        before, held = held, written(_advanced(held, met, beam), "beams")
         drop_written(before)
-    return best(held.select("query", "id", "d"), k)
+    return held.select("query", F.explode("ids").alias("node"))
 
 
-def expanded(found: DataFrame, index: DataFrame, asked: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest rows of each query, from the distinct vectors found for its own.
+def ranked(found: DataFrame, index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest rows of each query, measured on the original vectors.
 
-    k + 1 ids of each vector suffice: only the query itself is left out of them.
+    ``queries`` has (query_id, node). k + 1 ids of each vector suffice, as only the query's own is left out of them.
     """
-    own = asked.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("d"))
-    rows = found.unionByName(own).join(index.select("id", "ids").hint("shuffle_merge"), "id").select("query", "d", F.explode("ids").alias("vec_id"))
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("d", "vec_id"))).where(f"r <= {k + 1}")
+    own = found.select("query").distinct().select("query", F.col("query").alias("node"))
+    pairs = found.where("query <> node").unionByName(own).join(index.hint("shuffle_merge"), "node")
+    pairs = pairs.join(index.select(F.col("node").alias("query"), F.col("v").alias("q")).hint("shuffle_merge"), "query")
+    kind = index.schema["ids"].dataType.simpleString()
+
+    def distances(frames):
+        for frame in frames:
+            if len(frame):
+                q, v = (np.stack([np.asarray(x, float) for x in frame[c]]) for c in ("q", "v"))
+                yield pd.DataFrame({"query": frame["query"], "ids": frame["ids"], "d": np.sqrt(_gaps(q, v))})
+
+    rows = pairs.select("query", "ids", "q", "v").mapInPandas(distances, f"query long, ids {kind}, d double").select("query", "d", F.explode("ids").alias("vec_id"))
     near = rows.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("d", "vec_id"))).alias("near"))
-    near = asked.select(F.col("id").alias("query"), "v").join(near, "query").select("v", "near")
     others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    out = queries.select(F.col("id").alias("query_id"), "v").distinct().join(near, "v").select("query_id", F.posexplode(others).alias("pos", "x"))
+    out = queries.join(near.hint("shuffle_merge"), queries["node"] == near["query"]).select("query_id", F.posexplode(others).alias("pos", "x"))
     return out.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.d").alias("score"))
 
 
-def nearest(rows: DataFrame, is_query, k: int = 10) -> DataFrame:
+def nearest(rows: DataFrame, is_query, k: int = 10, beam: int = BEAM) -> DataFrame:
     """Index all rows, then search for those that ``is_query`` (a condition on the column id) selects."""
     every = written(usable(rows), "rows")
     index = written(distinct_vectors(every, k + 1), "index")
-    vectors, queries = index.select("id", "v"), every.where(is_query)
-    asked = written(vectors.join(queries.select("v").distinct().hint("shuffle_merge"), "v", "left_semi"), "asked")
-    return expanded(search(asked, vectors, build_graph(vectors), k), index, asked, queries, k)
+    graph = build_graph(index)
+    queries = every.where(is_query).select(F.col("id").alias("query_id"), "v").distinct().join(index.select("node", "v").hint("shuffle_merge"), "v").select("query_id", "node")
+    queries = written(queries, "queries")
+    if graph is None:
+        return ranked(queries.select(F.col("node").alias("query"), "node"), index, queries, k)
+    return ranked(search(queries.select(F.col("node").alias("query")).distinct(), graph, beam), index, queries, k)
