@@ -1,7 +1,7 @@
 """Main text of web pages by a tree-structured graphical model over DOM nodes.
 
-Each element of a page has a hidden label, content or not. Its own features (tag, class and id words, text length, link
-share, punctuation) give node potentials; each parent-child edge has a potential that depends on both labels and on the
+Each element of a page has a hidden label, content or not. Its own features (tag, class and id words, text length and share
+of the page, link share, punctuation) give node potentials; each parent-child edge has a potential that depends on both labels and on the
 child's kind of tag. Sum-product messages, upward from the leaves and downward from the root, give each element's
 content marginal exactly, as the graph is a tree. An element's own text is kept if its marginal is 0.5 or more.
 
@@ -11,9 +11,11 @@ features' observed minus expected counts under the same messages. The labelled p
 whose parts are known. The model has a few hundred weights and is broadcast. Pages are handled one by one, each whole,
 in the task that reads them; nothing is shuffled.
 
-Defined cases: null and empty html give an empty text; unclosed and stray tags are repaired as browsers do; text
-outside any tag counts as the body's own; repeated rows are handled each; an empty table gives an empty result; other
-columns are ignored.
+Defined cases: null and empty html give an empty text; unclosed and stray tags are repaired as browsers do; a tag that the
+page's end cuts off, and an unclosed comment or script, go; a quote without a second one belongs to a value that ends with its
+tag; pages of any length or depth take time in proportion to their length; text outside any tag counts as the body's own;
+formulas and titles inside the body are text like other text; repeated rows are handled each; an empty table gives an empty
+result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,13 +31,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?<![\w=\"'-])(hidden)(?![\w=-])")
 _NAME_WORD = re.compile(r"[a-z]+")
 
 # Fixed values of HTML: elements without an end tag, with raw text, and those that make blocks of their own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed".split())
+RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
@@ -61,78 +61,154 @@ class Page(NamedTuple):
     texts: list[tuple[int, int, str]]
 
 
-def parse(html: str) -> Page:
-    tags, parents, names, texts, stack, block = ["html"], [-1], [()], [], [0], 0
-    at, end = 0, len(html)
+_TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_BEFORE_ATTRIBUTE = re.compile(r"[\s/]*+")
+_ATTRIBUTE_NAME = re.compile(r"=?[^\s/>=]*+")
+_EQUALS = re.compile(r"\s*+=\s*+")
+_UNQUOTED = re.compile(r"[^\s>]++")
+
+
+class _Scanner:
+    """Tokens of a page, each character passed over a fixed number of times, whatever the page."""
+
+    def __init__(self, html: str):
+        self.html, self.end, self.none = html, len(html), set()
+
+    def find(self, what: str, at: int) -> int:
+        """The next place of ``what``, or -1; what isn't found once is not looked for again."""
+        if what in self.none:
+            return -1
+        if (found := self.html.find(what, at)) < 0:
+            self.none.add(what)
+        return found
+
+    def past(self, what: str, at: int) -> int:
+        return self.end if (found := self.find(what, at)) < 0 else found + len(what)
+
+    def attributes(self, at: int) -> tuple[int, list[tuple[str, str | None]], bool]:
+        """From behind a tag's name: (where the tag ends, or -1, its attributes, whether a slash ends it). A quote opens a value only after an equals sign; without a second one the value ends where the tag does."""
+        html, found = self.html, []
+        while True:
+            begin, at = at, _BEFORE_ATTRIBUTE.match(html, at).end()
+            if at >= self.end:
+                return -1, found, False
+            if html[at] == ">":
+                return at + 1, found, html[at - 1] == "/" and at > begin
+            m = _ATTRIBUTE_NAME.match(html, at)
+            name, at, value = m[0].lower(), m.end(), None
+            if eq := _EQUALS.match(html, at):
+                at = eq.end()
+                quote = html[at : at + 1]
+                if quote and quote in "\"'" and (shut := self.find(quote, at + 1)) >= 0:
+                    value, at = html[at + 1 : shut], shut + 1
+                elif m := _UNQUOTED.match(html, at):
+                    value, at = m[0], m.end()
+            found.append((name, value))
+
+
+def _words_of(attributes: list[tuple[str, str | None]]) -> tuple[str, ...]:
+    """The words of class, id and role, and ``hidden`` if the attributes hide the element."""
+    words: list[str] = []
+    for key, value in attributes:
+        if key == "hidden":
+            words.append("hidden")
+        elif not value:
+            continue
+        elif key in ("class", "id", "role"):
+            words += _NAME_WORD.findall(value.lower())
+        elif key == "style" and re.search(r"display\s*:\s*none", value) or key == "aria-hidden" and value.lower() == "true":
+            words.append("hidden")
+    return tuple(dict.fromkeys(words))
 
-    def text(part: str) -> None:
-        if part and not (part.isspace() and not texts):
-            texts.append((stack[-1], block, part))
 
-    while at < end:
-        m = _TOKEN.search(html, at)
-        text(html[at : m.start()] if m else html[at:])
-        if not m:
+class _Tree:
+    """The elements so far and those that are open, by depth and by tag."""
+
+    def __init__(self):
+        self.tags, self.parents, self.names, self.texts = ["html"], [-1], [()], []
+        self.stack, self.depths, self.block = [0], {}, 0
+
+    def text(self, part: str) -> None:
+        if part and not (part.isspace() and not self.texts):
+            self.texts.append((self.stack[-1], self.block, part))
+
+    def add(self, tag: str, words: tuple[str, ...], stays: bool) -> None:
+        self.tags.append(tag), self.parents.append(self.stack[-1]), self.names.append(words)
+        if stays:
+            self.depths.setdefault(tag, []).append(len(self.stack))
+            self.stack.append(len(self.tags) - 1)
+
+    def depth(self, tags) -> int:
+        """The depth of the innermost open element of these tags; 0 if there is none."""
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=0)
+
+    def close(self, depth: int) -> None:
+        """End the open elements from this depth on."""
+        for element in self.stack[depth:]:
+            self.depths[self.tags[element]].pop()
+        del self.stack[depth:]
+
+    def close_implied(self, tag: str) -> None:
+        """Ends that a block's start implies: of an open paragraph, or of the item before."""
+        ends, within = CLOSES.get(tag, _PARAGRAPH)
+        if (depth := self.depth(ends)) > self.depth(within):
+            self.close(depth)
+
+
+_PARAGRAPH = (("p",), ("td", "th", "li", "div", "article", "section", "body", "blockquote", "button", "aside", "nav", "header", "footer", "main", "form"))
+
+
+def parse(html: str) -> Page:
+    """The tree of a page, in time linear in its length."""
+    scan, tree, at = _Scanner(html), _Tree(), 0
+    while at < scan.end:
+        if (lt := scan.find("<", at)) < 0:
+            tree.text(html[at:])
             break
-        at = m.end()
-        closing, name = m[1], m[2]
-        if name is None:
-            if m[0].startswith("<![CDATA["):
-                text(m[0][9:-3])
+        closing = html.startswith("</", lt)
+        m = _TAG_NAME.match(html, lt + 1 + closing)
+        if not m:
+            mark = html[lt + 1 : lt + 2]
+            if not (closing or mark and mark in "!?"):
+                tree.text(html[at : lt + 1])
+                at = lt + 1
+                continue
+            tree.text(html[at:lt])
+            if html.startswith("<!--", lt):
+                at = scan.past("-->", lt + 2)
+            elif html.startswith("<![CDATA[", lt) and (shut := scan.find("]]>", lt)) >= 0:
+                tree.text(html[lt + 9 : shut])
+                at = shut + 3
+            else:
+                at = scan.past(">", lt)
             continue
-        tag = name.lower()
+        tree.text(html[at:lt])
+        at, attributes, slash = scan.attributes(m.end())
+        if at < 0:  # the page ends within a tag
+            break
+        tag = m[0].lower()
         if closing:
+            tree.block += tag in BLOCK
+            if depth := tree.depth((tag,)):
+                tree.close(depth)
+        elif tag in RAW and not (tag == "title" and len(tree.stack) > 1):
+            at = at if slash else _behind(scan, tag, at)
+        elif tag == "br":
+            tree.text(" ")
+        else:
             if tag in BLOCK:
-                block += 1
-            for depth in range(len(stack) - 1, 0, -1):
-                if tags[stack[depth]] == tag:
-                    del stack[depth:]
-                    break
-            continue
-        if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
-                shut = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                at = shut.end() if shut else end
-            continue
-        if tag == "br":
-            text(" ")
-            continue
-        if tag in BLOCK:
-            block += 1
-            if tag not in ("html", "body"):
-                _close_open(tag, tags, stack)
-        if tag in VOID or tag in ("html", "head"):
-            continue
-        words: list[str] = []
-        if m[3]:
-            for key, a, b, c, bare in _ATTRIBUTE.findall(m[3]):
-                key = key.lower()
-                if bare:
-                    words.append("hidden")
-                elif key in ("class", "id", "role"):
-                    words += _NAME_WORD.findall((a or b or c).lower())
-                elif key == "style" and re.search(r"display\s*:\s*none", a or b or c):
-                    words.append("hidden")
-                elif key == "aria-hidden" and (a or b or c).lower() == "true":
-                    words.append("hidden")
-        tags.append(tag), parents.append(stack[-1]), names.append(tuple(dict.fromkeys(words)))
-        if not m[3].endswith("/") or tag in BLOCK:
-            stack.append(len(tags) - 1)
-    return Page(tags, parents, names, texts)
-
-
-def _close_open(tag: str, tags: list[str], stack: list[int]) -> None:
-    """Ends that a block's start implies: of an open paragraph, or of the item before."""
-    ends, within = CLOSES.get(tag, ({"p"}, {"td", "th", "li", "div", "article", "section", "body", "blockquote", "button", "aside", "nav", "header", "footer", "main", "form"}))
-    for depth in range(len(stack) - 1, 0, -1):
-        here = tags[stack[depth]]
-        if here in ends:
-            del stack[depth:]
-            if tag not in ("tr",):
-                return
-            return
-        if here in within:
-            return
+                tree.block += 1
+                if tag not in ("html", "body"):
+                    tree.close_implied(tag)
+            if tag not in VOID and tag not in ("html", "head"):
+                tree.add(tag, _words_of(attributes), not slash or tag in BLOCK)
+    return Page(tree.tags, tree.parents, tree.names, tree.texts)
+
+
+def _behind(scan: _Scanner, tag: str, at: int) -> int:
+    """Where the raw text of an element ends, its end tag included."""
+    shut = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(scan.html, at)
+    return scan.past(">", shut.end()) if shut else scan.end
 
 
 def _bucket(x: float) -> int:
@@ -153,11 +229,12 @@ def features(page: Page) -> list[list[str]]:
         size[p] += size[i]
         linked[p] += size[i] if page.tags[i] == "a" else linked[i]
         stops[p] += stops[i]
-    out = []
+    out, whole = [], max(1, size[0])
     for i, tag in enumerate(page.tags):
         s = size[i]
         found = ["bias", f"tag={tag}", f"size={_bucket(s)}", f"own={_bucket(own[i])}", f"links={int(4 * linked[i] / s) if s else 5}", f"stops={_bucket(100 * stops[i] / s) if s else 9}"]
-        found += [f"name={w}" for w in page.names[i]]
+        share = int(5 * s / whole)
+        found += [f"share={share}", f"tag={tag} {'most' if share > 2 else 'some' if share else 'little'}", *(f"name={w}" for w in page.names[i])]
         out.append(found)
     return out
 
@@ -244,7 +321,7 @@ def train(pages: list[tuple[str, list[int]]], epochs: int = 40, rate: float = 0.
     return Model(weights, edges.tolist())
 
 
-def labelled_pages(n: int = 160, seed: int = 7) -> list[tuple[str, list[int]]]:
+def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[int]]]:
     """Pages of random layouts with a label for each element that :func:`parse` finds."""
     rng = random.Random(seed)
     letters = "etaoinshrdlucmfwypvbgk"
@@ -304,13 +381,16 @@ def labelled_pages(n: int = 160, seed: int = 7) -> list[tuple[str, list[int]]]:
                 return " ".join([words(1, 1)] * rng.randint(5, 60))
             return words(5 * a, 14 * b).upper().replace(" ", "!! ") if style == "shout" else words(5 * a, 14 * b)
 
+        short = rng.random() < 0.35
         inner = [el(rng.choice(("h1", "h1", "h2")), 1, words(2, 10))] if rng.random() < 0.9 else []
-        for _ in range(rng.choice((1, 2, 4, 8, 14))):
+        for _ in range(rng.choice((1, 2, 3) if short else (1, 2, 4, 8, 14))):
             k = rng.random()
             if k < 0.7:
-                inline = [styled(1, 7)]
+                inline = [styled(1, 1 if short else 7)]
                 if rng.random() < 0.25:
-                    inline.insert(rng.randint(0, 1), el(rng.choice(("b", "i", "em", "strong", "a", "span", "code")), 1, words(1, 8) + rng.choice(("", "."))))
+                    inline.insert(rng.randint(0, 1), el(rng.choice(("b", "i", "em", "strong", "a", "span", "code", "sub", "q")), 1, words(1, 8) + rng.choice(("", "."))))
+                if rng.random() < 0.05:
+                    inline.append(el("math", 1, el("mi", 1, words(1, 1)), "=", el("mi", 1, words(1, 1))))
                 inner.append(el("p", 1, *inline))
             elif k < 0.78:
                 inner.append(el(rng.choice(("h2", "h3", "h4")), 1, words(1, 7)))
@@ -318,6 +398,8 @@ def labelled_pages(n: int = 160, seed: int = 7) -> list[tuple[str, list[int]]]:
                 inner.append(el("blockquote", 1, el("p", 1, styled(1, 3))))
             elif k < 0.92:
                 inner.append(el(rng.choice(("ul", "ol")), 1, *[el("li", 1, words(2, 12)) for _ in range(rng.randint(2, 5))]))
+            elif k < 0.93:
+                inner.append(el("figure", 1, el("figcaption", 1, words(2, 12))))
             elif k < 0.95:
                 inner.append(el("table", 1, *[el("tr", 1, *[el("td", 1, words(1, 4)) for _ in range(3)]) for _ in range(2)]))
             elif k < 0.98:
@@ -348,11 +430,24 @@ def labelled_pages(n: int = 160, seed: int = 7) -> list[tuple[str, list[int]]]:
         if rng.random() < 0.4:
             middle = [*before, el("div", 1, article(), *after[:2], **({"name": rng.choice("wrapper container page layout row".split())} if rng.random() < 0.7 else {})), *after[2:]]
         out, labels = [], [1]
+        if rng.random() < 0.1:  # a fragment
+            for part in middle:
+                build(part, out, labels)
+            pages.append(("".join(out), labels))
+            continue
         build(el("body", 1, *middle), out, labels)
         pages.append(("<!DOCTYPE html><html><head><title>" + words(2, 8) + "</title></head>" + "".join(out) + "</html>", labels))
     return pages
 
 
+def resolved(text: str) -> str:
+    """Character references decoded. Numbers of any length: leading zeros don't count, and what is no code point is U+FFFD."""
+    if "&#" in text:
+        text = re.sub(r"&#([xX]?)0++(?=[0-9a-fA-F])", r"&#\1", text)
+        text = re.sub(r"&#(?:[0-9]{8,}+|[xX][0-9a-fA-F]{8,}+);?", "\ufffd", text)
+    return unescape(text)
+
+
 def extract(html: str, model: Model) -> str:
     """The content blocks of a page, joined by line ends."""
     page = parse(html)
@@ -369,7 +464,7 @@ def extract(html: str, model: Model) -> str:
         last = block
         parts.append(t)
     out.append(parts)
-    lines = (" ".join(unescape("".join(p)).split()) for p in out)
+    lines = (" ".join(resolved("".join(p)).split()) for p in out)
     return "\n".join(x for x in lines if x)
 
 
