@@ -50,25 +50,26 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page as two to five captures: responses, and revisits before, after, with old and with wrong validators."""
+    """Every page as two to six captures: responses, one of them undated, and revisits before, after, with old and with wrong validators."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.md5(F.coalesce("html", F.lit(""))).alias("digest"))
     start = F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 60)
     swapped = F.when(F.startswith("url", F.lit("https:")), F.concat(F.lit("http:"), F.substr("url", F.lit(7)))).otherwise(F.concat(F.col("url"), F.lit("#again")))
     second = F.md5(F.concat("digest", F.lit("2")))
 
-    def capture(k: int, day: int, revisit: bool, etag, payload, url=F.col("url")):
+    def capture(k: int, day: int | None, revisit: bool, etag, payload, url=F.col("url")):
         tag = F.concat(F.lit('W/"' if revisit else '"'), etag, F.lit('"'))
         names = ["content-type", "content-length", "cache-control", "etag", "date"] if not revisit else ["content-length", "cache-control", "etag", "date"]
         values = {"content-type": F.lit("text/html"), "content-length": F.lit("0" if revisit else "100"), "cache-control": F.lit(f"max-age={60 + k}"), "etag": tag, "date": F.lit(str(k))}
         headers = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(values[n] for n in names)))
-        return F.struct(F.lit(k).alias("k"), url.alias("url"), (start + F.expr(f"INTERVAL {day} DAYS")).alias("warc_date"), F.lit(revisit).alias("is_revisit"), headers.alias("headers"), payload.alias("payload"))
+        return F.struct(F.lit(k).alias("k"), url.alias("url"), (F.lit(None).cast("timestamp") if day is None else start + F.expr(f"INTERVAL {day} DAYS")).alias("warc_date"), F.lit(revisit).alias("is_revisit"), headers.alias("headers"), payload.alias("payload"))
 
     nothing, d = F.lit(None).cast("string"), F.col("digest")
     always = F.array(capture(0, 0, False, d, d), capture(1, 1, True, d, nothing, swapped))
     fifth = F.array(capture(2, 2, False, second, second), capture(3, 3, True, F.when(F.col("page_id") % 2 == 0, d).otherwise(second), nothing))
     seventh = F.array(capture(4, -400, True, d, nothing))
+    undated = F.array(capture(5, None, False, second, second))
     none = F.slice(always, 1, 0)
-    every = F.concat(always, F.when(F.col("page_id") % 5 == 0, fifth).otherwise(none), F.when(F.col("page_id") % 7 == 0, seventh).otherwise(none))
+    every = F.concat(always, *(F.when(F.col("page_id") % n == 0, more).otherwise(none) for n, more in ((5, fifth), (7, seventh), (11, undated))))
     records = pages.select("page_id", F.explode(every).alias("c")).select((F.col("page_id") * 8 + F.col("c.k")).alias("record_id"), "page_id", "c.*")
     out = warc.resolve_revisits(records)
     return out.select("record_id", "page_id", "canonical", "resolution", F.col("target_id").cast("string").alias("target_id"), "payload", warc.header_lines(F.col("merged_headers")).alias("header_lines"))
@@ -137,10 +138,11 @@ ORACLE_SQL = {
                    UNION ALL SELECT page_id, 1, CASE WHEN url LIKE 'https:%' THEN 'http:' || substr(url, 7) ELSE url || '#again' END, t + INTERVAL 1 DAY, true, d, NULL FROM p
                    UNION ALL SELECT page_id, 2, url, t + INTERVAL 2 DAY, false, d2, d2 FROM p WHERE page_id % 5 = 0
                    UNION ALL SELECT page_id, 3, url, t + INTERVAL 3 DAY, true, CASE WHEN page_id % 2 = 0 THEN d ELSE d2 END, NULL FROM p WHERE page_id % 5 = 0
-                   UNION ALL SELECT page_id, 4, url, t - INTERVAL 400 DAY, true, d, NULL FROM p WHERE page_id % 7 = 0),
+                   UNION ALL SELECT page_id, 4, url, t - INTERVAL 400 DAY, true, d, NULL FROM p WHERE page_id % 7 = 0
+                   UNION ALL SELECT page_id, 5, url, NULL, false, d2, d2 FROM p WHERE page_id % 11 = 0),
              b AS (SELECT *, page_id * 8 + k AS record_id, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.\-]*://', '') AS bare FROM r),
              c AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www\.|:(80|443)$', '', 'g') || regexp_replace(bare, '^[^/?]*', ''), '/+$', '') AS canonical FROM b),
-             j AS (SELECT *, last_value(CASE WHEN NOT is_revisit THEN record_id END IGNORE NULLS) OVER (PARTITION BY canonical ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS found FROM c),
+             j AS (SELECT *, last_value(CASE WHEN NOT is_revisit AND ts IS NOT NULL THEN record_id END IGNORE NULLS) OVER (PARTITION BY canonical ORDER BY ts NULLS LAST, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS found FROM c),
              f AS (SELECT j.*, x.tag AS found_tag, x.payload AS found_payload, x.k AS found_k FROM j LEFT JOIN c x ON j.found = x.record_id),
              s AS (SELECT *, CASE WHEN NOT is_revisit THEN 'response' WHEN found IS NULL THEN 'missing' WHEN tag = found_tag THEN 'resolved' ELSE 'mismatch' END AS resolution FROM f)
         SELECT record_id, page_id, canonical, resolution, CASE WHEN resolution = 'resolved' THEN found::VARCHAR END AS target_id,

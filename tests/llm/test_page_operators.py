@@ -32,6 +32,27 @@ def test_url_filter_follows_the_list_history(spark):
     assert url_filter.filter_captures(captures, changes.limit(0)).where("_blocked").count() == 0
 
 
+def test_url_filter_keeps_columns_repeats_and_long_urls(spark):
+    changes = spark.createDataFrame([("a", "block", "bad.example", "2024-01-10", "added")], "list string, action string, pattern string, day string, state string").withColumn("day", F.col("day").cast("date"))
+    long = "http://bad.example/" + "x" * 200_000
+    rows = [(1, long, "2024-02-01", "h1", "d1", "mine"), (1, long, "2024-02-01", "h1", "d1", "mine"), (2, "http://a.bad.example", "2024-02-01", None, "d2", "mine")]
+    captures = spark.createDataFrame(rows, "id int, url string, fetch_day string, h string, d string, _h string").withColumn("fetch_day", F.col("fetch_day").cast("date"))
+    got = url_filter.filter_captures(captures, changes)
+    assert got.columns == ["id", "url", "fetch_day", "h", "d", "_h", "_host", "_blocked", "_pattern", "_lists"]
+    assert sorted((r["id"], r["h"], r["d"], r["_h"], r["_blocked"], len(r["url"])) for r in got.collect()) == [(1, "h1", "d1", "mine", True, len(long))] * 2 + [(2, None, "d2", "mine", True, 20)]
+
+
+def test_undated_responses_and_clashing_columns(spark):
+    tag = {"etag": '"1"'}
+    rows = [(1, "http://a.example/", None, False, tag, "b1"), (2, "http://a.example/", "2024-01-05 00:00:00", True, tag, None), (3, "http://a.example/", None, True, tag, None), (4, "http://b.example/", "2024-01-01 00:00:00", False, tag, "b4"),
+            (5, "http://b.example/", "2024-01-01 00:30:00", True, {"etag": '"1"', "x": "y" * 100_000}, None), (5, "http://b.example/", "2024-01-01 00:30:00", True, {"etag": '"1"', "x": "y" * 100_000}, None), (6, None, None, False, None, "b6")]
+    df = spark.createDataFrame(rows, "record_id int, url string, t string, is_revisit boolean, headers map<string,string>, payload string").withColumn("warc_date", F.col("t").cast("timestamp"))
+    df = df.withColumn("canonical", F.lit("old")).withColumn("resolution", F.lit("old")).withColumn("_block", F.lit("mine")).withColumn("_found", F.lit("mine"))
+    got = warc.resolve_revisits(df).collect()
+    assert sorted((r["record_id"], r["resolution"], r["target_id"], r["_block"], r["_found"]) for r in got if r["record_id"] != 5) == [(1, "response", None, "mine", "mine"), (2, "missing", None, "mine", "mine"), (3, "missing", None, "mine", "mine"), (4, "response", None, "mine", "mine"), (6, "response", None, "mine", "mine")]
+    assert [(r["resolution"], r["target_id"], len(r["merged_headers"]["x"])) for r in got if r["record_id"] == 5] == [("resolved", 4, 100_000)] * 2
+
+
 def test_revisits(spark):
     h = lambda etag=None, **more: {k.replace("_", "-"): v for k, v in more.items()} | ({"etag": etag} if etag else {})
     rows = [
@@ -65,6 +86,18 @@ def test_warc_files(spark, tmp_path):
     assert set(got) == {"response", "revisit"} and bytes(got["response"]["body"]) == b"<p>hi" and got["revisit"]["status"] == 304 and got["response"]["headers"] == {"etag": '"1"'}
 
 
+def test_damaged_warc_files():
+    def record(n, date="2024-01-01T00:00:00Z", size=None):
+        return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{n}>\r\nWARC-Date: {date}\r\nContent-Length: {4 if size is None else size}\r\n\r\nHTTP\r\n\r\n".encode()
+
+    ids = lambda data: [r[0] for r in warc.parse_warc(data)]
+    packed = [gzip.compress(record(n)) for n in range(3)]
+    assert ids(b"".join(packed)) == ["<0>", "<1>", "<2>"]
+    assert ids(b"".join(packed)[:-12]) in (["<0>", "<1>"], ["<0>", "<1>", "<2>"]) and ids(packed[0] + b"\x1f\x8bno gzip") == ["<0>"]
+    assert ids(record(0) + record(1, size=900)) == ["<0>"] and ids(record(0, size="x")) == ["<0>"] and ids(b"") == [] and ids(b"\x00" * 100) == []
+    assert [r[2] for r in warc.parse_warc(record(0, date="some day"))] == [None]
+
+
 def test_page_text(spark):
     page = (
         "<!DOCTYPE html><html><head><title>T</title><script>var a='</p>';</script></head><body><nav><ul><li><a href='/x'>Home</a></li><li><a href='/y'>More</a></li></ul></nav>"
@@ -134,6 +167,36 @@ def test_nearest_neighbours(spark):
     assert struct.calcsize("f") == 4
 
 
+def test_nearest_with_repeated_ids_and_clashing_names(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [3.0, 0.0]), (3, [1.0, 0.0])]
+    df = spark.createDataFrame([(*r, "a", 1.0, 7, 8) for r in rows], "vec_id int, embedding array<float>, id string, v double, node int, query int")
+    got = ann.nearest(df, F.col("id") == 0)
+    assert got.dtypes == [("query_id", "int"), ("rank", "int"), ("vec_id", "int"), ("score", "double")]
+    assert [tuple(r) for r in got.orderBy("rank").collect()] == [(0, 1, 3, 0.0), (0, 2, 1, 1.0), (0, 3, 2, 2.0)]
+    two = spark.createDataFrame([(0, [1.0, 0.0]), (0, [2.0, 0.0]), (1, [3.0, 0.0])], "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in ann.nearest(two, F.col("id") == 0).collect()) == [(0, 1, 1, 1.0), (0, 1, 1, 2.0)]
+    assert [tuple(r) for r in ann.nearest(two.limit(1), F.col("id") == 0).collect()] == []
+
+
+def test_nearest_beside_a_group_of_copies_and_near_copies(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1500, 32)).astype("float32")
+    x[200:1000] = x[200]
+    x[1000:1200] = x[1000] + rng.normal(size=(200, 32)).astype("float32") * 1e-3
+    x[0] = x[200] + 0.05
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    got, hit = ann.nearest(df, F.col("id") % 50 == 0).collect(), 0
+    wide = x.astype(float)
+    for q in range(0, 1500, 50):
+        d = np.sqrt(((wide - wide[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        own = [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q]
+        best = np.lexsort((np.arange(1500), d))[:10].tolist()
+        hit += len(set(own) & set(best))
+        assert q or own == best
+    assert hit / 300 >= 0.97
+
+
 def test_nearest_of_many_copies(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 8)).astype("float32")
