@@ -1,9 +1,9 @@
 """Order-preserving packing of documents into sequences by dynamic programming.
 
 The documents of a Spark partition, in its order, form a stream of tokens. A sequence is a window of that stream, and
-its cuts are chosen among document ends, sentence ends and, where a sentence is long, places inside it. A cut costs
-nothing at a document's end, ``SENTENCE_COST`` at a sentence's end and ``TRUNCATION_COST`` inside a sentence; a
-sequence costs ``SEQUENCE_COST`` and its padding. The cheapest cuts follow from
+its cuts are chosen among document ends and sentence ends; only a sentence longer than a sequence, which must be cut, has
+places inside it too. A cut costs nothing at a document's end, ``SENTENCE_COST`` at a sentence's end and
+``TRUNCATION_COST`` inside a sentence; a sequence costs ``SEQUENCE_COST`` and its padding. The cheapest cuts follow from
 
     cost[j] = cut_cost[j] + SEQUENCE_COST + min over i in the window of (cost[i] + length - (pos[j] - pos[i]))
 
@@ -35,8 +35,8 @@ from cartolyte.llm.pretokens import WordTable, blocks, cut_words, gather, senten
 LENGTH = 1024
 END_ID = 0
 SENTENCE_COST, TRUNCATION_COST, SEQUENCE_COST = 2, 8, 256
-#: Longest stretch without a place to cut, in tokens, and the step of the places that are added there.
-LONGEST_GAP, GAP_STEP = 16, 8
+#: Step of the places inside a sentence that is longer than a sequence, in tokens.
+GAP_STEP = 8
 #: Powers of two that a sequence may have as its length without padding; smaller ones give too many sequences.
 POWERS = (64, 128, 256, 512)
 
@@ -92,11 +92,11 @@ def token_stream(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray, n
     return flat[gather(first, count)].astype("<u4"), upto[ends - 1], upto[sentence_ends(points, begins, lengths)]
 
 
-def places(total: int, doc_ends: np.ndarray, sentences: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def places(total: int, doc_ends: np.ndarray, sentences: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a cut may be, from 0 to the stream's end, and what a cut costs there."""
     at = np.unique(np.concatenate([[0], doc_ends, sentences, [total]]))
     gaps = np.diff(at)
-    wide = np.flatnonzero(gaps > LONGEST_GAP)
+    wide = np.flatnonzero(gaps > length)
     inner = (gaps[wide] - 1) // GAP_STEP
     more = np.repeat(at[wide], inner) + (gather(np.zeros(len(wide), np.int64), inner) + 1) * GAP_STEP
     every = np.union1d(at, more)
@@ -151,7 +151,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = Fals
             texts, doc_ids = frame["text"].fillna("").tolist(), frame["doc_id"].to_numpy()
             for a, b in blocks(texts):
                 ids, doc_ends, sentences = token_stream(texts[a:b], path)
-                cuts = cheapest_cuts(*places(len(ids), doc_ends, sentences), length)
+                cuts = cheapest_cuts(*places(len(ids), doc_ends, sentences, length), length)
                 bounds = np.union1d(cuts, doc_ends)
                 bounds = bounds if bounds[0] == 0 else np.insert(bounds, 0, 0)
                 begin, end = bounds[:-1], bounds[1:]
