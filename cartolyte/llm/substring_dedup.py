@@ -12,9 +12,11 @@ enter by the same edge, forms an unbranched step; each document's runs of such s
 a window inside a path lie inside the occurrences of that path, so one row for a path stands for all its windows.
 Windows that touch a repeated anchor but lie in no path get a row each.
 
-Verification. Rows of paths and windows carry source coordinates and a 128-bit hash of all their words; the first of
-equal ones stays. Nothing else stays behind: each other row removes its words. A text is touched three times, by its own
-task: to find anchors, to hash paths and windows, and to drop words.
+Verification. Rows of paths and windows carry source coordinates and a digest of the words that stand there, read from the
+text: 128 bits of BLAKE2b over the words as they are, so equal digests are equal words, also where somebody would have
+them differ. The first of equal rows stays; each other row removes its words. A text is read to find anchors, to digest
+paths and windows, and to drop words; for the last two it is joined with its own lists, so it is shuffled twice. The
+64-bit hashes of anchors and edges only decide which rows are made: a clash makes rows that digests then tell apart.
 
 Skew: counts and first places are formed map-side before they are shuffled; the two joins on an anchor have plain
 exchanges on both sides, which Spark splits where an anchor has many rows. What is gathered per document is in
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolyte.llm.common import bounded_batches, written
-from cartolyte.llm.pretokens import _mix, blocks
+from cartolyte.llm.pretokens import _mix, blocks, gather
 from cartolyte.llm.words import run_hashes, split_words, text_of
 
 WINDOW = 20
@@ -155,6 +157,17 @@ def _lists(frame: pd.DataFrame, name: str) -> list[np.ndarray]:
     return [np.zeros(0, np.int64) if x is None else np.asarray(x) for x in frame[name]]
 
 
+def digests(w, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two signed 64-bit halves of the digest of the words from ``begin`` to ``end``, each word followed by one blank."""
+    sizes = w.ends - w.begins + 1
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    letters = w.points[gather(w.begins, sizes)]
+    letters[first[1:] - 1] = 32
+    raw, blake = memoryview(letters.tobytes()), hashlib.blake2b
+    found = b"".join([blake(raw[a:b], digest_size=16).digest() for a, b in zip((4 * first[begin]).tolist(), (4 * first[end]).tolist())])
+    return np.frombuffer(found, "<i8").reshape(-1, 2)
+
+
 def _keyed(docs: DataFrame, window: int, k: int) -> DataFrame:
     """(k1, k2, doc_id, start): a row for each path and each single window."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -165,8 +178,8 @@ def _keyed(docs: DataFrame, window: int, k: int) -> DataFrame:
             for a, b in blocks(texts):
                 w = split_words(texts[a:b])
                 doc, begin, end = _rows(w, pos[a:b], new[a:b], window, k)
-                one, two = _Spans(w.hashes), _Spans(_mix(w.hashes ^ np.uint64(0x5555)))
-                yield pd.DataFrame({"k1": _signed(one.hash(begin, end)), "k2": _signed(two.hash(begin, end)), "doc_id": ids[a:b][doc], "start": (begin - w.first[doc]).astype(np.int32)})
+                keys = digests(w, begin, end)
+                yield pd.DataFrame({"k1": keys[:, 0], "k2": keys[:, 1], "doc_id": ids[a:b][doc], "start": (begin - w.first[doc]).astype(np.int32)})
 
     return docs.mapInPandas(run, f"k1 long, k2 long, doc_id {kind}, start int")
 
