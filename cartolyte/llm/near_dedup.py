@@ -11,7 +11,9 @@ time passes the latest first arrival of all registers. Two documents agree in a
 Candidates. ``BANDS`` bands of ``ROWS`` registers: a pair at 0.8 is missed with probability 8e-6. Documents with the
 same weighted set are one class from the start and have one representative, so exact copies add no candidates. In each
 bucket every representative is verified against the least one; linked ones join into components, and pairs within a
-component are never formed. What is left in a bucket is pairs between components. The metric rules out those whose
+component are never formed. What is left in a bucket is pairs between components: its members outside the bucket's largest
+component meet all others, so a large group with a few outsiders costs its size for each of these, not its square. (A
+bucket of very many documents, none of them near to another, would still cost the square in sketches.) The metric rules out those whose
 similarities to the bucket's least differ by more than 0.2, and a sketch of two bits a register those that differ in
 more registers than a pair at 0.8 does but with probability 4e-6. The rest, in the first bucket that a pair shares, is
 verified, so no link between candidate pairs is lost.
@@ -165,6 +167,20 @@ def most_differing(similarity: float, registers: int) -> int:
     return int(registers * share + 4.5 * (registers * share * (1 - share)) ** 0.5)
 
 
+def between(members: DataFrame, n: int, similarity: float, most: int) -> DataFrame:
+    """(a, b): the pairs of a bucket's members in different parts that may be similar, each in the first bucket that it shares.
+
+    ``members`` has key, rep, part, main (the part with most members in the bucket), s, keys and the sketch's planes. Of two
+    parts one isn't the main one, so the members outside of that, joined with all, give every pair.
+    """
+    side = lambda rows, i: rows.select("key", *(F.col(c).alias(f"{c}{i}") for c in rows.columns if c != "key"))
+    x, y = side(members.where("part <> main"), 1), side(members, 2)
+    near = (F.col("part1") != F.col("part2")) & ((F.col("part2") == F.col("main2")) | (F.col("rep1") > F.col("rep2")))
+    near &= F.abs(F.col("s1") - F.col("s2")) <= 1 - similarity + 1e-9
+    near &= (_differing(n) <= most) & (F.array_min(F.array_intersect("keys1", "keys2")) == x["key"])
+    return x.join(y.hint("shuffle_merge"), (x["key"] == y["key"]) & near).select(F.greatest("rep1", "rep2").alias("a"), F.least("rep1", "rep2").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id): each document with the least id of its class."""
     signed = written(signatures(docs, bands, rows), "signatures")
@@ -192,15 +208,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         .select("key", "rep", (F.col("rep") == F.col("least")).alias("is_least"), F.coalesce("label", "rep").alias("part"), F.coalesce("similarity", F.lit(1.0)).alias("s"))
     )
     placed = written(placed, "placed")
-    mixed = placed.groupBy("key").agg((F.min("part") != F.max("part")).alias("mixed")).where("mixed").select("key")
-    open_ = placed.where("NOT is_least").drop("is_least").join(written(mixed, "mixed").hint("shuffle_merge"), "key", "left_semi")
+    parts = placed.groupBy("key", "part").count().groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts"))
+    mixed = written(parts.where("parts > 1").select("key", "main"), "mixed")
+    open_ = placed.where("NOT is_least").drop("is_least").join(mixed.hint("shuffle_merge"), "key")
     n = bands * rows // 64
     planes = [F.col("bits")[i].alias(f"p{i}") for i in range(n)] + [F.col("bits")[n + i].alias(f"q{i}") for i in range(n)]
     open_ = written(open_.join(labelled.where("keys IS NOT NULL").select("rep", "keys", *planes).hint("shuffle_merge"), "rep"), "open")
-    x, y = (open_.select("key", *(F.col(c).alias(f"{c}{i}") for c in open_.columns if c != "key")) for i in (1, 2))
-    near = (F.col("rep1") > F.col("rep2")) & (F.col("part1") != F.col("part2")) & (F.abs(F.col("s1") - F.col("s2")) <= 1 - similarity + 1e-9)
-    near &= (_differing(n) <= most_differing(similarity, bands * rows)) & (F.array_min(F.array_intersect("keys1", "keys2")) == x["key"])
-    across = x.join(y.hint("shuffle_merge"), (x["key"] == y["key"]) & near).select(F.col("rep1").alias("a"), F.col("rep2").alias("b"))
+    across = between(open_, n, similarity, most_differing(similarity, bands * rows))
     across = written(across.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "across")
     more = verify(across, sets).where(enough).select("a", "b")
     more = written(more, "more-links")
