@@ -102,6 +102,24 @@ def telling(at: np.ndarray, owner: np.ndarray, grades: np.ndarray, size: int, le
     return out
 
 
+def slopes(score: np.ndarray, grades: np.ndarray, start: float, gaps: np.ndarray, case: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The weighted negative log likelihood, and its slopes by the scores and by (start, gaps).
+
+    Thresholds are start, start + exp(gaps[0]), and so on; the chance of a grade is the difference of two tails.
+    """
+    n, levels = len(score), len(gaps) + 2
+    thresholds = start + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
+    tail = np.concatenate([np.ones((n, 1)), _sigmoid(score[:, None] - thresholds), np.zeros((n, 1))], axis=1)
+    above, below = tail[np.arange(n), grades], tail[np.arange(n), grades + 1]
+    chance = np.maximum(above - below, 1e-9)
+    slope_a, slope_b = above * (1 - above), below * (1 - below)
+    d_threshold = np.zeros(levels - 1)
+    np.add.at(d_threshold, np.maximum(grades - 1, 0), np.where(grades > 0, case * slope_a / chance, 0))
+    np.add.at(d_threshold, np.minimum(grades, levels - 2), np.where(grades < levels - 1, -case * slope_b / chance, 0))
+    head = np.concatenate([[d_threshold.sum()], np.cumsum(d_threshold[::-1])[::-1][1:] * np.exp(gaps)])
+    return float(-(case * np.log(chance)).sum()), -case * (slope_a - slope_b) / chance, head
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, bits: int = BITS, levels: int = GRADES, epochs: int = 120, penalty: float = 2e-4, rate: float = 0.5) -> Model:
     """Proportional-odds regression by full-batch gradient steps with per-weight step sizes.
 
@@ -124,17 +142,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, bits: int
     squares, head_squares = np.full(size, 1e-6), np.full(levels - 1, 1e-6)
     for _ in range(epochs):
         score = np.bincount(owner, values * own[at], len(rows))
-        thresholds = start + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-        tail = np.concatenate([np.ones((len(rows), 1)), _sigmoid(score[:, None] - thresholds), np.zeros((len(rows), 1))], axis=1)
-        above, below = tail[np.arange(len(rows)), grades], tail[np.arange(len(rows)), grades + 1]
-        chance = np.maximum(above - below, 1e-9)
-        slope_a, slope_b = above * (1 - above), below * (1 - below)
-        push = -case * (slope_a - slope_b) / chance  # d loss / d score
+        _, push, head = slopes(score, grades, start, gaps, case)
         grad = np.bincount(at, values * push[owner], size) + penalty * own
-        d_threshold = np.zeros(levels - 1)
-        np.add.at(d_threshold, np.maximum(grades - 1, 0), np.where(grades > 0, case * slope_a / chance, 0))
-        np.add.at(d_threshold, np.minimum(grades, levels - 2), np.where(grades < levels - 1, -case * slope_b / chance, 0))
-        head = np.concatenate([[d_threshold.sum()], np.cumsum(d_threshold[::-1])[::-1][1:] * np.exp(gaps)])
         squares += grad**2
         head_squares += head**2
         own -= rate * grad / np.sqrt(squares)

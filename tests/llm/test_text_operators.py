@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cartolyte.llm import bpe, components, exact_dedup, near_dedup, packing, quality, substring_dedup
+from cartolyte.llm.words import split_words
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SCHEMA = "doc_id long, text string, keep_id string, h string"  # extra columns whose names clash with inner ones
@@ -233,3 +235,78 @@ def test_quality_on_held_out_rows(spark):
 )
 def test_empty_table(spark, run):
     assert run(spark.createDataFrame([], SCHEMA), spark).count() == 0
+
+
+def test_one_outsider_of_a_large_bucket_costs_its_size(spark):
+    ids = spark.range(50_000)
+    planes = [F.lit(0).cast("long").alias(f"{c}{i}") for c in "pq" for i in range(8)]
+    rows = ids.select(F.lit(7).cast("long").alias("key"), F.col("id").alias("rep"), F.when(F.col("id") == 123, 123).otherwise(0).cast("long").alias("part"), F.lit(0).cast("long").alias("main"), F.lit(0.9).alias("s"), F.array(F.lit(7).cast("long")).alias("keys"), *planes)
+    began = time.time()
+    got = near_dedup.between(rows, 8, 0.8, 100)
+    assert got.count() == 49_999 and got.where("a = 123 OR b = 123").count() == 49_999 and got.where("a <= b").isEmpty()
+    assert time.time() - began < 30
+
+
+def test_digests_are_of_the_words_alone():
+    one, two = split_words(["a b\tc", "", "  x "]), split_words(["z a  b\n c"])
+    at = lambda *x: np.array(x)
+    assert (substring_dedup.digests(one, at(0), at(3)) == substring_dedup.digests(two, at(1), at(4))).all()
+    assert (substring_dedup.digests(one, at(0), at(2)) != substring_dedup.digests(two, at(0), at(2))).any()
+    assert substring_dedup.digests(split_words([""]), at()[:0].astype(int), at()[:0].astype(int)).shape == (0, 2)
+
+
+def test_cuts_are_at_sentence_ends():
+    rng = random.Random(8)
+    sentence = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n)) + "."
+    texts = [" ".join(sentence(rng.randint(3, 60)) for _ in range(rng.randint(1, 200))) for _ in range(30)] + [sentence(5000)]
+    ids, docs_, ends = packing.token_stream(texts, JSON)
+    cuts = packing.cheapest_cuts(*packing.places(len(ids), docs_, ends))
+    inside = [c for c in cuts[1:].tolist() if c not in set(docs_.tolist()) | set(ends.tolist())]
+    assert inside and min(inside) > docs_[-2]  # only the last text's sentence, which is longer than a sequence
+    assert (np.diff(cuts) <= 1024).all() and np.diff(cuts)[:-1].mean() > 960
+
+
+def test_slopes_of_the_likelihood_equal_differences():
+    rng = np.random.default_rng(6)
+    for levels in (3, 4):
+        score, grades, gaps, case = rng.normal(size=9), rng.integers(0, levels, 9), rng.normal(size=levels - 2), rng.random(9)
+        start = 0.3
+        sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+        def loss(score, start, gaps):
+            cut = [start + sum(np.exp(gaps[:k])) for k in range(levels - 1)]
+            tails = [[1.0, *(sigmoid(s - t) for t in cut), 0.0] for s in score]
+            return -sum(c * np.log(t[g] - t[g + 1]) for c, t, g in zip(case, tails, grades))
+
+        value, push, head = quality.slopes(score, grades, start, gaps, case)
+        assert value == pytest.approx(loss(score, start, gaps))
+        e = 1e-6
+        for i in range(9):
+            step = np.eye(9)[i] * e
+            assert push[i] == pytest.approx((loss(score + step, start, gaps) - loss(score - step, start, gaps)) / (2 * e), abs=1e-5)
+        assert head[0] == pytest.approx((loss(score, start + e, gaps) - loss(score, start - e, gaps)) / (2 * e), abs=1e-5)
+        for k in range(levels - 2):
+            step = np.eye(levels - 2)[k] * e
+            assert head[1 + k] == pytest.approx((loss(score, start, gaps + step) - loss(score, start, gaps - step)) / (2 * e), abs=1e-5)
+
+
+def test_scores_equal_brute_force(spark):
+    texts = [*ODD, *(prose(i, 40) for i in range(40)), *("BUY NOW!! 99 " * 9 for _ in range(20))]
+    own = docs(spark, texts)
+    marks = spark.createDataFrame([(i, int(i < 53), i % 2) for i in range(len(ODD), len(texts))], "doc_id long, quality int, toxic int")
+    model = quality.train(own, marks)
+    weight = model.weights.astype(np.float32)
+    got = {r["doc_id"]: r for r in quality.score(own, marks).collect()}
+    for i, t in enumerate(texts):
+        at, values = quality.features(t or "", {})
+        slow = sum(float(weight[a]) * v for a, v in zip(at.tolist(), values.tolist()))
+        tails = [1 / (1 + np.exp(c - slow)) for c in model.thresholds]
+        assert (got[i]["expected_grade"], got[i]["p_good"], got[i]["p_best"]) == pytest.approx((sum(tails), tails[0], tails[-1]), abs=1e-6)
+        assert got[i]["kept"] == (got[i]["p_best"] >= 0.5)
+        counts = defaultdict(int)  # the words' features once more, by hand
+        for w in WORD.findall(t or ""):
+            counts[zlib.crc32(w.strip(".,;:!?\"'()#$%&*").lower().encode()) % ((1 << 19) - 8)] += 1
+        norm = sum((1 + np.log(c)) ** 2 for c in counts.values()) ** 0.5
+        for a, v in zip(at.tolist(), values.tolist()):
+            if a < (1 << 19) - 8:
+                assert v == pytest.approx((1 + np.log(counts[a])) / norm)
