@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 #: Shortest visible side below which a zoom index holds (fixed values).
 ZOOM_SIDES = (1000, 5000, 18500)
+#: Caps of the zoom indices (fixed values).
+ZOOM_CAPS = (1000, 5000, 18500, 45000)
+#: Points of a drawn road (fixed value).
+ROAD_POINTS = 8
 #: Width of a lane (fixed value).
 LANE = 4.5
 
@@ -49,6 +53,26 @@ def placement_angle(rotation: Column, rot_x: Column, rot_z: Column) -> Column:
     return rotation - F.lit(math.pi) - F.atan2(rot_z, rot_x) + F.lit(math.pi / 2)
 
 
+def road_points(start: Column, end: Column, n: int = ROAD_POINTS) -> Column:
+    """``n`` points (x, z) of a road as an array, from nodes (x, z, rotation): the tangents are the chord's length along each node's heading."""
+    chord = length(start["x"] - end["x"], start["z"] - end["z"])
+    heading = lambda node: node["rotation"] - math.pi / 2
+
+    def at(i: Column) -> Column:
+        s = i / F.lit(n - 1.0)
+        x = hermite(s, start["x"], end["x"], F.cos(heading(start)) * chord, F.cos(heading(end)) * chord)
+        z = hermite(s, start["z"], end["z"], F.sin(heading(start)) * chord, F.sin(heading(end)) * chord)
+        return F.struct(x.alias("x"), z.alias("z"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)
+
+
+def label_position(node: Column, x: Column, z: Column, x_offsets: Column, y_offsets: Column, zoom: int, scale: float) -> tuple[Column, Column]:
+    """Where a city's label is: at its node, else its own place, moved by the zoom's offsets if both lists have one."""
+    moved = lambda offsets: F.when((F.size(x_offsets) > zoom) & (F.size(y_offsets) > zoom), F.get(offsets, F.lit(zoom)) / F.lit(scale * ZOOM_CAPS[zoom]))
+    return F.coalesce(node["x"], x) + F.coalesce(moved(x_offsets), F.lit(0.0)), F.coalesce(node["z"], z) + F.coalesce(moved(y_offsets), F.lit(0.0))
+
+
 def zoom_index(width: Column, height: Column) -> Column:
     side = F.least(width, height)
     chosen = F.when(side < ZOOM_SIDES[0], 0)

@@ -19,6 +19,16 @@ def with_ends(roads: DataFrame, nodes: DataFrame, start: str, end: str) -> DataF
     return roads.join(side("start", start), start).join(side("end", end), end)
 
 
+def with_node(items: DataFrame, nodes: DataFrame, key: str, name: str = "node") -> DataFrame:
+    """Items with their node as a struct, null where it is missing."""
+    return items.join(nodes.select(F.col("uid").alias(key), F.struct("*").alias(name)), key, "left")
+
+
+def connections_from(ports: DataFrame, connections: DataFrame) -> DataFrame:
+    """Each port (port_token) with the connections that start there."""
+    return ports.join(connections.withColumnRenamed("start_token", "port_token"), "port_token")
+
+
 def ordered_points(items: DataFrame, nodes: DataFrame, key: str, uids: str) -> DataFrame:
     """(key, points): each item's nodes in the order of its list; missing ones are skipped."""
     rows = items.select(key, F.posexplode(uids).alias("pos", "uid")).join(nodes, "uid")

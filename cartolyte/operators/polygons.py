@@ -85,17 +85,25 @@ def shapes(prefabs: DataFrame) -> DataFrame:
     return prefabs.select("path", "nodes", "map_points").mapInPandas(run, SHAPES)
 
 
+def framed(items: DataFrame, prefabs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Prefab items (path, origin, node_uid) with their definition's columns and ``frame``, which :func:`turned` needs."""
+    origin = prefabs.select("*", F.posexplode("nodes").alias("origin", "own"))
+    held = items.join(origin, ["path", "origin"]).join(nodes.select(F.col("uid").alias("node_uid"), F.col("x").alias("nx"), F.col("z").alias("nz"), "rotation"), "node_uid")
+    angle = placement_angle(F.col("rotation"), F.col("own.rot_x"), F.col("own.rot_z"))
+    frame = F.struct("nx", "nz", F.col("own.x").alias("ox"), F.col("own.z").alias("oz"), angle.alias("angle"))
+    return held.withColumn("frame", frame).drop("own", "nx", "nz", "rotation")
+
+
+def turned(frame, p):
+    """A prefab's point as it lies on the map."""
+    x, z = rotate(frame["nx"] - frame["ox"] + p["x"], frame["nz"] - frame["oz"] + p["z"], frame["angle"], frame["nx"], frame["nz"])
+    return F.struct(x.alias("x"), z.alias("z"))
+
+
 def placed(items: DataFrame, prefabs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(uid, z_index, load_seq, look_no, color, points): the shapes of prefab items (uid, path, origin, node_uid, load_seq) in place.
 
     Draw them by z_index, load_seq, look_no.
     """
-    origin = prefabs.select("path", F.posexplode("nodes").alias("origin", "own"))
-    held = items.join(origin, ["path", "origin"]).join(nodes.select(F.col("uid").alias("node_uid"), F.col("x").alias("nx"), F.col("z").alias("nz"), "rotation"), "node_uid")
-    angle = placement_angle(F.col("rotation"), F.col("own.rot_x"), F.col("own.rot_z"))
-
-    def turn(p):
-        x, z = rotate(F.col("nx") - F.col("own.x") + p["x"], F.col("nz") - F.col("own.z") + p["z"], angle, F.col("nx"), F.col("nz"))
-        return F.struct(x.alias("x"), z.alias("z"))
-
-    return held.join(shapes(prefabs), "path").select("uid", "z_index", "load_seq", "look_no", "color", F.transform("points", turn).alias("points"))
+    held = framed(items, prefabs.select("path", "nodes"), nodes).join(shapes(prefabs), "path")
+    return held.select("uid", "z_index", "load_seq", "look_no", "color", F.transform("points", lambda p: turned(F.col("frame"), p)).alias("points"))

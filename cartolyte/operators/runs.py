@@ -36,3 +36,16 @@ def with_block(df: DataFrame, keys: list[str], order: list[str], closes: Column)
 def carried(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
     """Each row with the last value that is not null, its own included."""
     return df.withColumn(name, F.last(value, ignorenulls=True).over(_window(keys, order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def places(df: DataFrame, keys: list[str], order: list[str], seq: str, width: int = 1024) -> DataFrame:
+    """Each row with its ``place`` (from 1) among its keys by ``order`` and then ``seq``, an integer that no two of these share.
+
+    Rows are numbered within stretches of ``seq`` and stretches by their counts, so no task sorts all rows of a key.
+    """
+    by = [*keys, *order, "_part"]
+    parted = df.withColumn("_part", F.floor(F.col(seq) / width))
+    counts = parted.groupBy(*by).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(_window(keys, [*order, "_part"]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(_window(by, [seq]))
+    return parted.withColumn("_own", own).join(counts.select(*by, before.alias("_before")), by).withColumn("place", (F.col("_before") + F.col("_own")).cast("long")).drop("_part", "_own", "_before")

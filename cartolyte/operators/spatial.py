@@ -43,12 +43,12 @@ def nested_join(points: DataFrame, rects: DataFrame, point_id: str, rect_id: str
     return points.join(rects, inside, "left").groupBy(point_id).agg(F.min_by(rect_id, order).alias(rect_id))
 
 
-def tile_counts(points: DataFrame, zooms: range, low: float, side: float, margin_share: float) -> DataFrame:
-    """(zoom, tx, ty, n): points in each tile of a square pyramid, each tile widened by a share of its side.
+def tile_features(points: DataFrame, zooms: range, low: float, side: float, margin_share: float) -> DataFrame:
+    """The points with zoom, tx, ty: a row for each tile of a square pyramid that holds them, each tile widened by a share of its side.
 
     Each point unfolds to the few tiles that it touches; tiles are never compared with all points.
     """
-    rows = points.select("x", "z", F.explode(F.array(*map(F.lit, zooms))).alias("zoom"))
+    rows = points.withColumn("zoom", F.explode(F.array(*map(F.lit, zooms))))
     step = F.lit(float(side)) / F.pow(F.lit(2.0), F.col("zoom"))
     margin = step * margin_share
     last = F.pow(F.lit(2), F.col("zoom")).cast("long") - 1
@@ -58,5 +58,9 @@ def tile_counts(points: DataFrame, zooms: range, low: float, side: float, margin
         end = F.least(F.floor((F.col(c) - F.lit(low) + margin) / step).cast("long"), last)
         return F.when(first <= end, F.sequence(first, end))
 
-    held = rows.withColumn("tx", F.explode(touched("x"))).withColumn("ty", F.explode(touched("z")))
-    return held.groupBy("zoom", "tx", "ty").agg(F.count("*").alias("n"))
+    return rows.withColumn("tx", F.explode(touched("x"))).withColumn("ty", F.explode(touched("z")))
+
+
+def tile_counts(points: DataFrame, zooms: range, low: float, side: float, margin_share: float) -> DataFrame:
+    """(zoom, tx, ty, n): how many points each tile holds."""
+    return tile_features(points.select("x", "z"), zooms, low, side, margin_share).groupBy("zoom", "tx", "ty").agg(F.count("*").alias("n"))

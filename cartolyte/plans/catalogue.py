@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from cartolyte.functions import geometry, strings, tokens
 from cartolyte.operators import flags, lookup, precedence, runs, spatial
+from cartolyte.plans import exports
+from cartolyte.sources import definitions, tables
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,10 +61,10 @@ def q02(spark, d):
 @_query(
     "q03_hidden_flag",
     """SELECT l_orderkey, l_linenumber, (l_partkey % 25)::BIGINT > 12 OR (l_linenumber & 2) <> 0 AS hidden_road, (l_partkey % 25) > 12 OR l_suppkey = 255 AS hidden_overlay, (l_linenumber & 1) <> 0 AS hidden_city
-       FROM lineitem WHERE l_quantity > 48""",
+       FROM lineitem""",
 )
 def q03(spark, d):
-    l, guard = _table(spark, d, "lineitem").where("l_quantity > 48"), F.col("l_partkey") % 25
+    l, guard = _table(spark, d, "lineitem"), F.col("l_partkey") % 25
     n = F.col("l_linenumber")
     return l.select("l_orderkey", "l_linenumber", flags.hidden_road(guard, n).alias("hidden_road"), flags.hidden_overlay(guard, F.col("l_suppkey")).alias("hidden_overlay"), flags.hidden_city(n).alias("hidden_city"))
 
@@ -138,12 +140,11 @@ def q10(spark, d):
 
 @_query(
     "q11_first_match_left",
-    "SELECT o_orderkey, coalesce(l_partkey, -1) AS l_partkey, coalesce(l_linenumber, -1) AS l_linenumber FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 25 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) = 1) ON o_orderkey = l_orderkey WHERE l_partkey IS NOT NULL OR o_orderkey % 2 = 0",
+    "SELECT o_orderkey, coalesce(l_partkey, -1) AS l_partkey, coalesce(l_linenumber, -1) AS l_linenumber FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 25 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) = 1) ON o_orderkey = l_orderkey",
 )
 def q11(spark, d):
     lines = _table(spark, d, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_linenumber", F.struct("l_linenumber", "l_partkey").alias("load_seq"))
     out = lookup.first_match(_table(spark, d, "orders").select("o_orderkey"), lines, "o_orderkey", "load_seq")
-    out = out.where("l_partkey IS NOT NULL OR o_orderkey % 2 = 0")
     return out.select("o_orderkey", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("l_partkey", "l_linenumber")))
 
 
@@ -163,7 +164,7 @@ _CITY = f"SELECT vec_id, coalesce(s_suppkey, -1) AS s_suppkey FROM ({_CITY})"
 
 @_query("q13_poi_city_range", _CITY)
 def q13(spark, d):
-    return spatial.nested_join(_points(spark, d), _rects(spark, d), "vec_id", "s_suppkey", "seq").select("vec_id", F.coalesce("s_suppkey", F.lit(-1)).alias("s_suppkey"))
+    return spatial.grid_join(_points(spark, d), _rects(spark, d), "vec_id", "s_suppkey", "seq", 1500.0).select("vec_id", F.coalesce("s_suppkey", F.lit(-1)).alias("s_suppkey"))
 
 
 @_query("q14_poi_city_grid", _CITY)
@@ -209,15 +210,16 @@ def q17(spark, d):
 
 @_query(
     "q18_sii_parse_counts",
-    r"""WITH l AS (SELECT event_type, unnest(string_split(coalesce(props, ''), ',')) AS line FROM events), t AS (SELECT event_type, regexp_replace(line, '^[^!-~]+|[^!-~]+$', '', 'g') AS line FROM l),
-             v AS (SELECT event_type, regexp_replace(split_part(line, ':', 1), '^[^!-~]+|[^!-~]+$', '', 'g') AS k, regexp_replace(split_part(line, ':', 2), '^[^!-~]+|[^!-~]+$', '', 'g') AS v FROM t WHERE contains(line, ':') AND NOT starts_with(line, '#') AND NOT starts_with(line, '//'))
-        SELECT event_type, coalesce(split_part(k, '"', 2), '') AS key, count(*) AS lines, sum(length(k) + length(v))::BIGINT AS chars, count(DISTINCT v) AS vals FROM v GROUP BY 1, 2""",
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), t AS (SELECT doc_id, line, regexp_replace(line, '^[^!-~]+|[^!-~]+$', '', 'g') AS bare FROM l),
+             v AS (SELECT doc_id, regexp_replace(split_part(bare, ':', 1), '^[^!-~]+|[^!-~]+$', '', 'g') AS k, regexp_replace(split_part(bare, ':', 2), '^[^!-~]+|[^!-~]+$', '', 'g') AS raw FROM t WHERE contains(bare, ':') AND NOT starts_with(bare, '#') AND NOT starts_with(bare, '//')),
+             w AS (SELECT doc_id, k, CASE WHEN contains(raw, '//') THEN regexp_replace(left(raw, length(raw) - strpos(reverse(raw), '//') - 1), '^[^!-~]+|[^!-~]+$', '', 'g') ELSE raw END AS v FROM v)
+        SELECT doc_id, count(*) AS lines, count(DISTINCT k) AS keys, sum(length(k) + length(v))::BIGINT AS chars, count(nullif(split_part(v, '"', 2), '')) AS quoted FROM w GROUP BY doc_id""",
 )
 def q18(spark, d):
-    lines = _table(spark, d, "events").select("event_type", F.explode(F.split(F.coalesce("props", F.lit("")), ",")).alias("line"))
-    keyed = lines.where(~strings.is_comment(F.col("line"))).select("event_type", strings.line_key(F.col("line")).alias("k"), strings.line_value(F.col("line")).alias("v")).where("k IS NOT NULL")
-    key = F.coalesce(strings.quoted(F.col("k")), F.lit("")).alias("key")
-    return keyed.groupBy("event_type", key).agg(F.count("*").alias("lines"), F.sum(F.length("k") + F.length("v")).alias("chars"), F.countDistinct("v").alias("vals"))
+    line = F.col("line")
+    lines = _table(spark, d, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    keyed = lines.where(~strings.is_comment(line)).select("doc_id", strings.line_key(line).alias("k"), strings.line_value(line).alias("v")).where("k IS NOT NULL")
+    return keyed.groupBy("doc_id").agg(F.count("*").alias("lines"), F.countDistinct("k").alias("keys"), F.sum(F.length("k") + F.length("v")).alias("chars"), F.count(F.nullif(strings.quoted(F.col("v")), F.lit(""))).alias("quoted"))
 
 
 @_query("q19_map_bounds", f"WITH {_PTS} SELECT min(x) AS min_x, max(x) AS max_x, min(z) AS min_z, max(z) AS max_z FROM pts")
@@ -239,8 +241,7 @@ def q20(spark, d):
     f"WITH {_PTS} SELECT vec_id, label % 3 AS layer, row_number() OVER (PARTITION BY label % 3 ORDER BY label, vec_id)::BIGINT AS place FROM pts",
 )
 def q21(spark, d):
-    w = Window.partitionBy("layer").orderBy("label", "vec_id")
-    return _points(spark, d).withColumn("layer", F.col("label") % 3).select("vec_id", "layer", F.row_number().over(w).cast("long").alias("place"))
+    return runs.places(_points(spark, d).withColumn("layer", F.col("label") % 3), ["layer"], ["label"], "vec_id").select("vec_id", "layer", "place")
 
 
 @_query(
@@ -255,16 +256,19 @@ def q22(spark, d):
 _DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz_"
 
 
+#: A token in SQL: the digits from the last to the first, each step modulo 2**64, then as a signed number.
+_TOKEN = f"(SELECT CASE WHEN t >= 9223372036854775808::HUGEINT THEN t - 18446744073709551616::HUGEINT ELSE t END::BIGINT FROM (SELECT list_reduce(list_prepend(0::HUGEINT, list_transform(range(length({{0}}), 0, -1), lambda i: instr('{_DIGITS}', lower(substr({{0}}, i, 1)))::HUGEINT)), lambda a, c: (a * 38 + c) % 18446744073709551616::HUGEINT) AS t))"
+
+
 @_query(
     "q23_token_encode",
-    f"""WITH n AS (SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT 'hud_parking')
-        SELECT name, list_sum(list_transform(range(1, length(name) + 1), lambda i: instr('{_DIGITS}', lower(substr(name, i, 1))) * (38 ** (i - 1))::HUGEINT))::BIGINT AS token FROM n WHERE length(name) <= 10
-        UNION ALL SELECT 'hud_parking', 110779883858044828""",
+    f"WITH n AS (SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT p_name FROM part UNION ALL SELECT unnest(['hud_parking', 'weigh_station_ico', 'recruitment_ico'])) SELECT name, {_TOKEN.format('name')} AS token FROM n",
 )
 def q23(spark, d):
-    names = _table(spark, d, "nation").select(F.col("n_name").alias("name")).unionByName(_table(spark, d, "region").select(F.col("r_name").alias("name")))
-    fixed = spark.range(1).select(F.lit("hud_parking").alias("name"))
-    return names.where(F.length("name") <= 10).unionByName(fixed).select("name", tokens.token(F.col("name")).alias("token"))
+    column = lambda table, c: _table(spark, d, table).select(F.col(c).alias("name"))
+    fixed = spark.range(1).select(F.explode(F.array(*map(F.lit, ("hud_parking", "weigh_station_ico", "recruitment_ico")))).alias("name"))
+    names = column("nation", "n_name").unionByName(column("region", "r_name")).unionByName(column("part", "p_name")).unionByName(fixed)
+    return names.select("name", tokens.token(F.col("name")).alias("token"))
 
 
 @_query(
@@ -332,11 +336,12 @@ def q30(spark, d):
     return runs.positions(e, ["user_id"], ["event_id"], 5, 8)
 
 
-_NEXT = f"WITH {_PTS}, n AS (SELECT *, lead(x) OVER w AS nx, lead(z) OVER w AS nz FROM pts WINDOW w AS (PARTITION BY label ORDER BY vec_id)), s AS (SELECT * FROM n WHERE nx IS NOT NULL)"
+_NEXT = f"WITH {_PTS}, n AS (SELECT *, lead(x) OVER w AS nx, lead(z) OVER w AS nz FROM pts WINDOW w AS (PARTITION BY vec_id // 16 ORDER BY vec_id)), s AS (SELECT * FROM n WHERE nx IS NOT NULL)"
 
 
 def _segments(spark, d):
-    return runs.with_next(_points(spark, d), ["label"], ["vec_id"], ["x", "z"]).where("next_x IS NOT NULL")
+    lines = _points(spark, d).withColumn("line", F.floor(F.col("vec_id") / 16))  # of sixteen points each
+    return runs.with_next(lines, ["line"], ["vec_id"], ["x", "z"]).where("next_x IS NOT NULL")
 
 
 @_query(
@@ -427,10 +432,8 @@ def q37(spark, d):
        SELECT label, count(*) AS n, count(DISTINCT vec_id) AS items FROM s WHERE label IS NOT NULL GROUP BY label""",
 )
 def q38(spark, d):
-    from cartolyte.plans.exports import spawn_label
-
     u = _table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v")).where("v > 0.15")
-    labelled = u.select("vec_id", spawn_label(F.col("pos") % 20)["label"].alias("label")).where("label IS NOT NULL")
+    labelled = u.select("vec_id", exports.spawn_label(F.col("pos") % 20)["label"].alias("label")).where("label IS NOT NULL")
     return labelled.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("items"))
 
 
@@ -453,3 +456,174 @@ def q39(spark, d):
     port = lambda x, z: F.struct(F.lit(x).alias("x"), F.lit(z).alias("z"))
     curve = ferries.withColumn("points", points).select("label", F.posexplode(geometry.ferry_curve(port(0.0, 0.0), F.col("points"), port(300.0, 200.0))).alias("seg", "s"))
     return curve.select("label", F.col("seg").cast("long").alias("seg"), *(F.round(F.col(f"s.{c}"), 3).alias(c) for c in ("x0", "c0x", "c0z", "c1x", "c1z", "z1")))
+
+
+def _file(path, *lines) -> list:
+    """Columns of a text file: its path and its lines' bytes."""
+    text = lambda x: F.lit(x) if isinstance(x, str) else x
+    return [text(path).alias("path"), F.encode(F.concat_ws("\n", *map(text, lines)), "UTF-8").alias("content")]
+
+
+def _including(rows: DataFrame, path: str, name) -> DataFrame:
+    """A file that includes others, in the order of their names."""
+    return rows.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('@include "'), name, F.lit('"')))), "\n").alias("t")).select(F.lit(path).alias("path"), F.encode("t", "UTF-8").alias("content"))
+
+
+@_query(
+    "q40_city_definitions",
+    f"""SELECT {_TOKEN.format("('c' || n_nationkey)")} AS token, n_name AS name, 'loc' || (n_nationkey // 2) AS loc_token, 'r' || n_regionkey AS country, (n_nationkey + 5) || ',' || (n_nationkey + 6) || ',' || (n_nationkey + 8) AS x_offsets, CASE WHEN n_nationkey % 2 = 0 THEN n_name || ' EN' END AS en
+        FROM nation""",
+)
+def q40(spark, d):
+    n, key = _table(spark, d, "nation"), F.col("n_nationkey")
+    offsets = [F.concat(F.lit("\tmap_x_offsets[]: "), (key + i).cast("string")) if i != 7 else F.lit("\tmap_x_offsets[]: none") for i in range(1, 9)]
+    own = n.select(*_file(F.concat(F.lit("def/city/"), key, F.lit(".sui")), F.concat(F.lit("city_data : city.c"), key, F.lit(" {")), F.concat(F.lit('\tcity_name: "'), "n_name", F.lit('"')),
+                          F.concat(F.lit('\tcity_name_localized: "@@loc'), F.floor(key / 2), F.lit('@@"')), F.concat(F.lit("\tcountry: r"), "n_regionkey", F.lit(" // its land")), "# city_name: wrong", *offsets, "}"))
+    files = own.unionByName(_including(n, "def/city.sii", F.concat(F.lit("city/"), key, F.lit(".sui"))))
+    names = n.where("n_nationkey % 2 = 0").select(F.concat(F.lit("loc"), F.floor(key / 2)).alias("key"), F.lit("en_us").alias("locale"), F.concat("n_name", F.lit(" EN")).alias("name"))
+    out = definitions.with_names(definitions.cities(files), names)
+    en = F.when(F.try_element_at("localized_names", F.lit("en_us")) == F.concat("name", F.lit(" EN")), F.concat("name", F.lit(" EN")))
+    return out.select("token", "name", "loc_token", "country", F.array_join(F.transform("x_offsets", lambda x: x.cast("string")), ",").alias("x_offsets"), en.alias("en"))
+
+
+@_query(
+    "q41_country_definitions",
+    f"SELECT {_TOKEN.format("('r' || r_regionkey)")} AS token, r_regionkey AS country_id, r_name AS name, 'loc_r' || r_regionkey AS loc_token, upper(left(r_name, 2)) AS country_code, (r_regionkey * 1.5)::DOUBLE AS x, (r_regionkey * -2.25)::DOUBLE AS y FROM region",
+)
+def q41(spark, d):
+    r, key = _table(spark, d, "region"), F.col("r_regionkey")
+    pos = F.concat(F.lit("pos: ("), (key * 1.5).cast("string"), F.lit(", 7, "), (key * -2.25).cast("string"), F.lit(")"))
+    own = r.select(*_file(F.concat(F.lit("def/country/"), key, F.lit(".sui")), F.concat(F.lit("country_data : country.data.r"), key), "{", F.concat(F.lit("country_id: "), key), F.concat(F.lit('name: "'), "r_name", F.lit('"')),
+                          F.concat(F.lit('name_localized: "@@loc_r'), key, F.lit('@@"')), F.concat(F.lit('country_code: "'), F.upper(F.left("r_name", F.lit(2))), F.lit('"')), pos, "}"))
+    files = own.unionByName(_including(r, "def/country.sii", F.concat(F.lit("country/"), key, F.lit(".sui"))))
+    wide = lambda c: F.col(c).cast("double").alias(c)
+    return definitions.countries(files).select("token", "country_id", "name", "loc_token", "country_code", wide("x"), wide("y"))
+
+
+@_query(
+    "q42_road_looks",
+    f"""SELECT {_TOKEN.format("('look' || s_suppkey)")} AS token, (s_suppkey % 7 * 0.5)::DOUBLE AS "offset", s_suppkey % 4 AS lanes_left, (s_suppkey % 7 * 0.5 + 4.5 * (s_suppkey % 4) + 4.5 * (s_suppkey % 3))::DOUBLE AS width FROM supplier""",
+)
+def q42(spark, d):
+    s, key = _table(spark, d, "supplier"), F.col("s_suppkey")
+    lanes = lambda side, n: F.array_join(F.array_repeat(F.lit(f"\tlanes_{side}[]: traffic_lane.road"), n.cast("int")), "\n")
+    files = s.select(*_file(F.concat(F.lit("def/world/road_look."), key, F.lit(".sii")), "SiiNunit", F.concat(F.lit("road_look : road.look"), key, F.lit(" {")), lanes("left", key % 4), lanes("right", key % 3), F.concat(F.lit("\troad_offset: "), (key % 7 * 0.5).cast("string")), "}"))
+    left, right = F.col("lanes_left"), F.col("lanes_right")
+    out = definitions.road_looks(files)
+    return out.select("token", F.col("offset").cast("double").alias("offset"), F.size(left).cast("long").alias("lanes_left"), geometry.road_width(F.col("offset").cast("double"), left, right).alias("width"))
+
+
+@_query(
+    "q43_ferry_definitions",
+    f"""WITH f AS (SELECT s_suppkey, s_suppkey % 9 AS a, s_suppkey % 5 AS b, printf('%08d', s_suppkey) AS seq FROM supplier),
+             g AS (SELECT *, row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY seq) AS r FROM f)
+        SELECT {_TOKEN.format("('port' || a)")} AS start_token, {_TOKEN.format("('port' || b)")} AS end_token, round(s_suppkey / 256.0::DOUBLE, 5) AS x1, round(atan2(s_suppkey, 1), 5) AS rot0, 2 AS n FROM g WHERE r = 1""",
+)
+def q43(spark, d):
+    s, key = _table(spark, d, "supplier"), F.col("s_suppkey")
+    line = lambda kind, i, x, z: F.concat(F.lit(f"\tconnection_{kind}[{i}]: ("), x.cast("string"), F.lit(", 0, "), z.cast("string"), F.lit(")"))
+    files = s.select(*_file(F.concat(F.lit("def/ferry/connection/"), F.lpad(key.cast("string"), 8, "0"), F.lit(".sii")), F.concat(F.lit("ferry_connection : conn.port"), key % 9, F.lit(".port"), key % 5, F.lit(" {")),
+                            line("positions", 0, key * 2, key), line("positions", 1, key, key), line("directions", 0, F.lit(1), key), "}"))
+    out = definitions.ferry_connections(files)
+    return out.select("start_token", "end_token", F.round(F.element_at("points", 2)["x"].cast("double"), 5).alias("x1"), F.round(F.element_at("points", 1)["rot"], 5).alias("rot0"), F.size("points").alias("n"))
+
+
+def _areas(spark, d) -> DataFrame:
+    name = F.concat(F.lit("S"), "s_suppkey")
+    names = F.when(F.col("s_suppkey") % 2 == 0, F.create_map(F.lit("en_us"), F.concat(name, F.lit(" EN"))))
+    return _rects(spark, d).select(F.col("s_suppkey").alias("city_id"), "seq", "rx", "rz", "w", "h", name.alias("name"), names.alias("localized_names"), F.concat(F.lit("s"), "s_suppkey").alias("in_game_id"), F.lit("land").alias("country"))
+
+
+def _items(spark, d) -> DataFrame:
+    """Points as map items: overlays, ferries, parking triggers and bus stops by turns."""
+    kinds = F.array(*map(F.lit, (exports.OVERLAY, exports.FERRY, exports.TRIGGER, exports.BUS_STOP)))
+    p, key = _points(spark, d), F.col("vec_id")
+    return p.select(
+        key.alias("load_seq"), key.alias("uid"), F.get(kinds, F.pmod(key, F.lit(4)).cast("int")).alias("type"), "x", "z", (F.col("label") == 3).alias("hidden"), tokens.token(F.concat(F.lit("o"), F.col("label"))).alias("look_token"),
+        F.lit(None).cast("array<long>").alias("nodes"), F.lit(0).alias("origin"), F.lit(None).cast("long").alias("prefab_uid"), (F.col("label") % 2 == 0).alias("is_train"), F.col("label").cast("int").alias("zoom_visibility"),
+        F.array(F.lit(5).cast("long"), F.when(F.col("label") < 5, tokens.token(F.lit(exports.PARKING_ACTION))).otherwise(F.lit(6).cast("long"))).alias("actions"),
+    )
+
+
+_ITEMS = f"{_PTS}, {_RECTS}, c AS (SELECT vec_id, arg_min(s_suppkey, seq) AS city FROM pts JOIN rects ON x >= rx AND x <= rx + w AND z >= rz AND z <= rz + h GROUP BY vec_id), i AS (SELECT pts.*, CASE WHEN city IS NULL THEN NULL WHEN city % 2 = 0 THEN 'S' || city || ' EN' ELSE 'S' || city END AS city FROM pts LEFT JOIN c USING (vec_id))"
+
+
+@_query("q44_bus_stops", f"""WITH {_ITEMS} SELECT round(x, 3) AS "X", round(z, 3) AS "Y", 'BusStop' AS "Type", coalesce(city, 'none') AS "City" FROM i WHERE vec_id % 4 = 3""")
+def q44(spark, d):
+    out = exports.bus_stops(_items(spark, d), _areas(spark, d))
+    return out.select(F.round("X", 3).alias("X"), F.round("Y", 3).alias("Y"), "Type", F.coalesce("City.Name", F.lit("none")).alias("City"))
+
+
+@_query(
+    "q45_overlay_sources",
+    f"""WITH {_ITEMS}, o AS (SELECT *, CASE vec_id % 4 WHEN 0 THEN 'o' || label WHEN 1 THEN CASE WHEN label % 2 = 0 THEN 'train_ico' ELSE 'port_overlay' END ELSE 'parking_ico' END AS name,
+              CASE vec_id % 4 WHEN 0 THEN 'Overlay' WHEN 1 THEN CASE WHEN label % 2 = 0 THEN 'Train' ELSE 'Ferry' END ELSE 'Parking' END AS type FROM i WHERE label <> 3 AND (vec_id % 4 < 2 OR vec_id % 4 = 2 AND label < 5))
+        SELECT round(x, 3) AS "X", round(z, 3) AS "Y", CASE WHEN type = 'Overlay' THEN label ELSE -1 END AS "ZoomLevelVisibility", name AS "Name", type AS "Type", 16 + length(name) AS "Width", coalesce(city, 'none') AS "City"
+        FROM o WHERE name NOT IN ('o1', 'o2')""",
+)
+def q45(spark, d):
+    names = F.array(*map(F.lit, ("parking_ico", "train_ico", "port_overlay", "o0", *(f"o{k}" for k in range(3, 10)))))
+    bitmaps = spark.range(1).select(F.explode(names).alias("name")).select(tokens.token(F.col("name")).alias("token"), "name", (F.length("name") + 16).alias("width"), F.lit(8).alias("height"))
+    frames = spark.createDataFrame([], "uid long, load_seq long, hidden boolean, x double, z double, frame struct<nx:double,nz:double,ox:double,oz:double,angle:double>, spawn_points array<struct<x:float,z:float,type:long>>, trigger_points array<struct<trigger_id:long,action:long,x:float,z:float>>")
+    out = exports.overlay_rows(_items(spark, d), frames, _areas(spark, d), bitmaps)
+    return out.select(F.round("X", 3).alias("X"), F.round("Y", 3).alias("Y"), F.coalesce(F.col("ZoomLevelVisibility").cast("long"), F.lit(-1)).alias("ZoomLevelVisibility"), "Name", "Type", F.col("Width").cast("long").alias("Width"), F.coalesce("City.Name", F.lit("none")).alias("City"))
+
+
+@_query(
+    "q46_road_points",
+    f"""WITH {_PTS}, r AS (SELECT o_orderkey, a.x AS x0, a.z AS z0, a.label AS r0, b.x AS x1, b.z AS z1, b.label AS r1, sqrt((a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z)) AS c FROM orders JOIN pts a ON o_orderkey % 500 = a.vec_id JOIN pts b ON o_custkey % 700 = b.vec_id),
+             t AS (SELECT *, unnest(range(0, 8)) AS pos FROM r), u AS (SELECT *, pos / 7.0::DOUBLE AS q FROM t)
+        SELECT o_orderkey AS load_seq, pos::INT AS pos, round((2*q*q*q - 3*q*q + 1) * x0 + (3*q*q - 2*q*q*q) * x1 + (q*q*q - 2*q*q + q) * cos(r0 - pi() / 2) * c + (q*q*q - q*q) * cos(r1 - pi() / 2) * c, 3) AS x,
+               round((2*q*q*q - 3*q*q + 1) * z0 + (3*q*q - 2*q*q*q) * z1 + (q*q*q - 2*q*q + q) * sin(r0 - pi() / 2) * c + (q*q*q - q*q) * sin(r1 - pi() / 2) * c, 3) AS y FROM u""",
+)
+def q46(spark, d):
+    nodes = _points(spark, d).select(F.col("vec_id").alias("uid"), "x", "z", F.col("label").cast("double").alias("rotation"))
+    roads = _table(spark, d, "orders").select(F.col("o_orderkey").alias("load_seq"), F.lit(exports.ROAD).alias("type"), (F.col("o_orderkey") % 500).alias("start_uid"), (F.col("o_custkey") % 700).alias("end_uid"))
+    return exports.road_points(roads, nodes).select("load_seq", "pos", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+@_query(
+    "q47_tile_features",
+    f"""WITH {_PTS}, t AS (SELECT z AS zoom, i AS tx, j AS ty, 8000.0::DOUBLE / (1 << z) AS step FROM (SELECT unnest(range(0, 3)) AS z), (SELECT unnest(range(0, 4)) AS i), (SELECT unnest(range(0, 4)) AS j) WHERE i < (1 << z) AND j < (1 << z))
+        SELECT zoom::INT AS zoom, tx, ty, vec_id, label FROM t JOIN pts ON x >= -4000 + tx * step - step / 8 AND x <= -4000 + (tx + 1) * step + step / 8 AND pts.z >= -4000 + ty * step - step / 8 AND pts.z <= -4000 + (ty + 1) * step + step / 8""",
+)
+def q47(spark, d):
+    return spatial.tile_features(_points(spark, d), range(3), -4000.0, 8000.0, 0.125).select("zoom", "tx", "ty", "vec_id", "label")
+
+
+@_query(
+    "q48_label_position",
+    f"""WITH {_PTS} SELECT s_suppkey, round(coalesce(x, s_suppkey) + CASE WHEN s_suppkey % 4 > 1 THEN 30 / (0.5::DOUBLE * 5000) ELSE 0 END, 6) AS x, round(coalesce(z, -s_suppkey) + CASE WHEN s_suppkey % 4 > 1 THEN -20 / (0.5::DOUBLE * 5000) ELSE 0 END, 6) AS z
+        FROM supplier LEFT JOIN pts ON s_suppkey * 3 = vec_id""",
+)
+def q48(spark, d):
+    nodes = _points(spark, d).select(F.col("vec_id").alias("uid"), "x", "z")
+    cities = _table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") * 3).alias("node_uid"), F.col("s_suppkey").cast("double").alias("px"), (-F.col("s_suppkey")).cast("double").alias("pz"))
+    count = (F.col("s_suppkey") % 4).cast("int")
+    offsets = lambda *n: F.slice(F.array(*map(F.lit, n)), F.lit(1), count)
+    x, z = geometry.label_position(F.col("node"), F.col("px"), F.col("pz"), offsets(10, 30, 50), offsets(-10, -20, -30), 1, 0.5)
+    return lookup.with_node(cities, nodes, "node_uid").select("s_suppkey", F.round(x, 6).alias("x"), F.round(z, 6).alias("z"))
+
+
+@_query(
+    "q49_ports_and_connections",
+    "SELECT s_suppkey, n_nationkey AS end_token, printf('#%02X%02X%02X', s_suppkey % 256, n_nationkey * 10, 255) AS colour FROM supplier JOIN nation ON s_nationkey % 5 = n_regionkey",
+)
+def q49(spark, d):
+    ports = _table(spark, d, "supplier").select("s_suppkey", (F.col("s_nationkey") % 5).alias("port_token"))
+    ferries = _table(spark, d, "nation").select(F.col("n_regionkey").alias("start_token"), F.col("n_nationkey").alias("end_token"))
+    colour = strings.rgb_hex(F.col("s_suppkey") % 256, F.col("end_token") * 10, F.lit(255))
+    return lookup.connections_from(ports, ferries).select("s_suppkey", "end_token", colour.alias("colour"))
+
+
+@_query(
+    "q50_overlay_chain",
+    "SELECT 'icon' || p_partkey AS name, 'tex/' || p_size || '.dds' AS texture FROM part WHERE p_partkey % 3 <> 0",
+)
+def q50(spark, d):
+    p, key = _table(spark, d, "part"), F.col("p_partkey")
+    folder = F.when(key % 3 == 1, "material/ui/company/small/icon").otherwise("material/ui/map/road/road_icon")
+    materials = p.where("p_partkey % 3 <> 0").select(*_file(F.concat(folder, key, F.lit(".mat")), "effect : ui", F.concat(F.lit('\ttexture : "'), F.lit("/ptr/"), key, F.lit('.tobj"'))))
+    skipped = p.where("p_partkey % 3 = 0").select(*_file(F.concat(F.lit("material/ui/map/map_icon"), key, F.lit(".mat")), 'texture : "/ptr/1.tobj"'))
+    pointers = p.select(F.concat(F.lit("ptr/"), key, F.lit(".tobj")).alias("path"), F.concat(F.unhex(F.lit("00" * 48)), F.encode(F.concat(F.lit("/tex/"), "p_size", F.lit(".dds")), "UTF-8")).alias("content"))
+    return tables.overlay_catalogue(materials.unionByName(skipped).unionByName(pointers)).select("name", "texture")

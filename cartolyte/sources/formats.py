@@ -10,6 +10,7 @@ import re
 import struct
 import zipfile
 import zlib
+from collections.abc import Iterator
 from io import BytesIO
 
 import numpy as np
@@ -383,17 +384,17 @@ def path_hash(path: str) -> int:
     return fold(fold(v[0], w[0]) + mix(y) * k1 + z & _M, fold(v[1], w[1]) + x & _M)
 
 
-def read_archive(data: bytes) -> list[tuple[str, bytes]]:
-    """(path, content) of all files of an archive, hashed or ZIP."""
+def archive_entries(data: bytes) -> Iterator[tuple[str, bytes]]:
+    """(path, content) of all files of an archive, hashed or ZIP, one at a time."""
     if data[:4] != ARCHIVE_MAGIC:
         with zipfile.ZipFile(BytesIO(data)) as z:
-            return [(i.filename, z.read(i)) for i in z.infolist() if not i.is_dir()]
+            yield from ((i.filename, z.read(i)) for i in z.infolist() if not i.is_dir())
+        return
     version, _, method, count, start = struct.unpack_from("<HH4sii", data, 4)
     if version != 1 or method != ARCHIVE_METHOD:
         raise FormatError("unsupported archive version or hash method")
     entries = {}
-    for i in range(count):
-        key, at, flags, _, size, packed = struct.unpack_from("<QqIIii", data, start + 32 * i)
+    for key, at, flags, _, size, packed in struct.iter_unpack("<QqIIii", data[start : start + 32 * count]):
         entries[key] = (at, flags, size, packed)
 
     def content(entry) -> bytes:
@@ -401,9 +402,8 @@ def read_archive(data: bytes) -> list[tuple[str, bytes]]:
         raw = data[at : at + packed]
         return zlib.decompress(raw) if size != packed else raw
 
-    out, root = [], entries.get(path_hash(""))
-    todo = [""] if root is not None and root[2] else list(ROOTS)
-    seen = set()
+    root = entries.get(path_hash(""))
+    todo, seen = [""] if root is not None and root[2] else list(ROOTS), set()
     while todo:
         folder = todo.pop()
         entry = entries.get(path_hash(folder))
@@ -414,6 +414,6 @@ def read_archive(data: bytes) -> list[tuple[str, bytes]]:
             name = f"{folder}/{line.lstrip('*')}".lstrip("/")
             if line.startswith("*"):
                 todo.append(name)
-            elif line and (found := entries.get(path_hash(name))) is not None:
-                out.append((name, content(found)))
-    return sorted(dict(out).items())
+            elif line and name not in seen and (found := entries.get(path_hash(name))) is not None:
+                seen.add(name)
+                yield name, content(found)

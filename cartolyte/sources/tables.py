@@ -7,31 +7,43 @@ spreads those. Decode once, write Parquet, query that.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartolyte.functions import strings
+from cartolyte.functions.tokens import token
 from cartolyte.operators import precedence, runs
 from cartolyte.schemas import FILES, ITEMS, NODES, PREFABS, TEXTURES
 from cartolyte.sources import formats
 
 
+#: Unpacked bytes that a task holds of an archive, about; larger files are alone.
+FRAME_BYTES = 32_000_000
+
+
 def archive_files(spark: SparkSession, folder: str, layers: dict[str, int], pattern: str = "*.scs") -> DataFrame:
     """(archive_seq, path, content) of all files of the archives in a folder; ``layers`` gives the layer of an archive's name, 0 if absent."""
 
     def run(frames):
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"]):
-                seq = layers.get(path.rsplit("/", 1)[-1], 0)
-                found = formats.read_archive(content)
-                yield pd.DataFrame({"archive_seq": [seq] * len(found), "path": [p for p, _ in found], "content": [c for _, c in found]})
+                seq, rows, held = layers.get(path.rsplit("/", 1)[-1], 0), [], 0
+                for entry in formats.archive_entries(content):
+                    rows.append((seq, *entry))
+                    held += len(entry[1])
+                    if held >= FRAME_BYTES:
+                        yield pd.DataFrame(rows, columns=["archive_seq", "path", "content"])
+                        rows, held = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=["archive_seq", "path", "content"])
 
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content").mapInPandas(run, FILES)
 
 
 def layered(files: DataFrame) -> DataFrame:
-    """One row a path: that of the last layer."""
-    return precedence.last_wins(files, ["path"], "archive_seq")
+    """One row a path: that of the last layer. Layers are settled on paths alone; contents move once, to their winner."""
+    last = files.groupBy("path").agg(F.max("archive_seq").alias("archive_seq"))
+    return files.join(last, ["path", "archive_seq"]).dropDuplicates(["path"]).select("archive_seq", "path", "content")
 
 
 def map_sectors(files: DataFrame) -> DataFrame:
@@ -43,10 +55,15 @@ def map_sectors(files: DataFrame) -> DataFrame:
 
 def _in_order(files: DataFrame) -> DataFrame:
     """Files with ``file_ord``, their rank by path: the high bits of the load order."""
-    ranked = files.select("path").distinct().orderBy("path").rdd.zipWithIndex().map(lambda r: (r[0][0], r[1])).toDF("path string, file_ord long")
+    # One row a file: a table of names, small enough for one task.
+    ranked = files.select("path").distinct().select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("file_ord"))
     return files.join(ranked, "path")
 
 
+#: Token of ``parking_ico``, which overlays of the parking kind have if they name none (fixed value).
+PARKING = 159190000071683284
+
+
 def sector_items(files: DataFrame, game: str = "ets2", types: frozenset[str] = formats.KEPT, strict: bool = True) -> DataFrame:
     """The items of sector files; the asked types are pushed down into the decoder."""
     names = [c.split()[0] for c in ITEMS.split(", ")]
@@ -56,12 +73,15 @@ def sector_items(files: DataFrame, game: str = "ets2", types: frozenset[str] = f
             rows = []
             for content, order in zip(frame["content"], frame["file_ord"]):
                 for i, (kind, item) in enumerate(formats.read_sector(content, game, types, strict)[0]):
+                    if kind == "overlay" and item["flags"][2] == 1 and item["look"] == 0:
+                        item["look"] = PARKING
                     rows.append(
                         {n: item.get(n) for n in names}
                         | {"load_seq": (int(order) << 32) | i, "look_token": item.get("look"), "start_uid": item.get("start"), "end_uid": item.get("end"), "node_uid": item.get("node"), "prefab_uid": item.get("prefab"), "color_index": item.get("color")}
                         | {"zoom_visibility": item["flags"][0] if kind == "overlay" else None, "is_train": bool(item["flags"][0]) if kind == "ferry" else None, "draw_over": bool(item["flags"][0]) if kind == "map_area" else None}
                     )
-            yield pd.DataFrame(rows, columns=names).astype(object).where(lambda d: d.notna(), None) if rows else pd.DataFrame(columns=names)
+            # As objects: among nulls, pandas would turn 64-bit keys into floating point.
+            yield pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype=object) for n in names})
 
     return _in_order(files).select("content", "file_ord").mapInPandas(run, ITEMS)
 
@@ -95,18 +115,24 @@ def textures(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, TEXTURES)
 
 
+def _text(content: Column) -> Column:
+    """Bytes as UTF-8, with U+FFFD for what is none."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def lines(files: DataFrame) -> DataFrame:
     """(path, line_no, line) of text files."""
-    return files.select("path", F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line_no", "line"))
+    return files.select("path", F.posexplode(F.split(_text(F.col("content")), "\n")).alias("line_no", "line"))
 
 
 def expand_includes(files: DataFrame, pattern: Column, base: str = "def") -> DataFrame:
-    """Lines of the files that meet a condition, with each ``@include`` replaced by the named file's lines."""
+    """Lines of the files that meet a condition, with each ``@include`` replaced by the named file's lines, and its path as ``target``."""
     own = lines(files.where(pattern))
     named = F.when(F.startswith(F.ltrim("line"), F.lit("@include")), strings.combine_path(F.lit(base), strings.quoted(F.col("line"))))
     own = own.withColumn("target", named)
-    inner = lines(files).select(F.col("path").alias("target"), F.col("line_no").alias("inner_no"), F.col("line").alias("inner"))
-    return own.join(inner, "target", "left").select("path", "line_no", F.coalesce("inner_no", F.lit(0)).alias("inner_no"), F.coalesce("inner", "line").alias("line"))
+    named_files = files.join(own.where("target IS NOT NULL").select(F.col("target").alias("path")).distinct(), "path", "left_semi")
+    inner = lines(named_files).select(F.col("path").alias("target"), F.col("line_no").alias("inner_no"), F.col("line").alias("inner"))
+    return own.join(inner, "target", "left").select("path", "line_no", F.coalesce("inner_no", F.lit(0)).alias("inner_no"), F.coalesce("inner", "line").alias("line"), "target")
 
 
 def key_values(text: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -118,14 +144,25 @@ def key_values(text: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def locale_names(files: DataFrame) -> DataFrame:
     """(locale, key, name): pairs of ``key[]`` and ``val[]`` lines; the last key holds for each value; the first name counts."""
-    reveal = F.udf(lambda b: formats.reveal(bytes(b)), "string")
-    text = files.where(F.startswith("path", F.lit("locale/"))).select("path", F.posexplode(F.split(reveal("content"), "\n")).alias("line_no", "line"))
+    def run(frames):
+        for frame in frames:
+            yield pd.DataFrame({"path": frame["path"], "text": [formats.reveal(c) for c in frame["content"]]})
+
+    plain = files.where(F.startswith("path", F.lit("locale/"))).select("path", "content").mapInPandas(run, "path string, text string")
+    text = plain.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     rows = text.withColumn("locale", F.split_part("path", F.lit("/"), F.lit(2))).withColumn("k", strings.line_key(F.col("line"))).withColumn("v", strings.quoted(strings.line_value(F.col("line"))))
     held = runs.carried(rows, ["path"], ["line_no"], F.when(F.col("k") == "key[]", F.col("v")), "key")
     names = held.where("k = 'val[]' AND key IS NOT NULL").select("locale", "key", F.col("v").alias("name"), F.struct("path", "line_no").alias("load_seq"))
     return precedence.first_wins(names, ["locale", "key"], "load_seq").drop("load_seq")
 
 
+def overlay_bitmaps(files: DataFrame) -> DataFrame:
+    """(token, name, width, height, bgra) of the overlays whose texture is there."""
+    wanted = overlay_catalogue(files).select("name", F.col("texture").alias("path"))
+    held = files.join(wanted.select("path").distinct(), "path", "left_semi")
+    return textures(held).join(wanted, "path").select(token(F.col("name")).alias("token"), "name", "width", "height", "bgra")
+
+
 def overlay_catalogue(files: DataFrame) -> DataFrame:
     """(name, material, texture): overlay materials and the texture at the end of their pointer chain; the first of a name counts."""
     path, name = F.col("path"), strings.stem(F.col("path"))
@@ -135,5 +172,6 @@ def overlay_catalogue(files: DataFrame) -> DataFrame:
     named = F.when(folder == "material/ui/map/road", F.regexp_replace(name, "^road_", "")).otherwise(name)
     rank = F.when(folder == "material/ui/map", 0).when(folder == "material/ui/company/small", 1).otherwise(2)
     rows = materials.select(named.alias("name"), path.alias("material"), strings.combine_path(folder, strings.quoted(strings.line_value(F.col("line")))).alias("pointer"), F.struct(rank, "path", "line_no").alias("load_seq"))
-    pointers = files.select(F.col("path").alias("pointer"), F.regexp_replace(F.decode(F.substring("content", 0x31, 1 << 20), "UTF-8"), "^/", "").alias("texture"))
+    targets = _text(F.substring("content", 0x31, 1 << 20))
+    pointers = files.where(strings.extension(path) == "tobj").select(path.alias("pointer"), F.regexp_replace(targets, "^/", "").alias("texture"))
     return precedence.first_wins(rows.join(pointers, "pointer"), ["name"], "load_seq").select("name", "material", "texture")

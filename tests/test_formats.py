@@ -108,6 +108,15 @@ def test_path_hash_of_nothing():
     assert formats.path_hash("") == 11160318154034397263
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [("test", 17703940110308125106), ("hello", 2578220239953316063), ("Moscow", 12507901496292878638), ("How can you write a big system without C++?  -Paul Glick", 6237945311650045625)],
+)
+def test_path_hash_of_published_strings(text, value):
+    """Values that other programs publish for the same hash (version 1.0)."""
+    assert formats.path_hash(text) == value
+
+
 def test_archives_and_layers(spark, tmp_path):
     long_path = "def/world/" + "x" * 70 + "/a.sii"
     base = {"def/city.sii": b"old", "map/m.mbd": b"", "map/m/s.base": b"s", "map/other/s.base": b"t", long_path: b"long", "def/ab/cdefghijklmnopqrstuv.sii": b"mid"}
