@@ -16,8 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder that all executors share: ``spark.checkpoint.dir``. Only a single machine may leave it unset, as then one of its own does."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        return "/tmp/checkpoints"
+    raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
