@@ -488,11 +488,11 @@ def q40(spark, d):
 
 @_query(
     "q41_country_definitions",
-    f"SELECT {_TOKEN.format("('r' || r_regionkey)")} AS token, r_regionkey AS country_id, r_name AS name, 'loc_r' || r_regionkey AS loc_token, upper(left(r_name, 2)) AS country_code, (r_regionkey * 1.5)::DOUBLE AS x, (r_regionkey * -2.25)::DOUBLE AS y FROM region",
+    f"SELECT {_TOKEN.format("('r' || r_regionkey)")} AS token, r_regionkey AS country_id, r_name AS name, 'loc_r' || r_regionkey AS loc_token, upper(left(r_name, 2)) AS country_code, (r_regionkey * 1.5)::DOUBLE AS x, (r_regionkey * 2.25 - 10)::DOUBLE AS y FROM region",
 )
 def q41(spark, d):
     r, key = _table(spark, d, "region"), F.col("r_regionkey")
-    pos = F.concat(F.lit("pos: ("), (key * 1.5).cast("string"), F.lit(", 7, "), (key * -2.25).cast("string"), F.lit(")"))
+    pos = F.concat(F.lit("pos: ("), (key * 1.5).cast("string"), F.lit(", 7, "), (key * 2.25 - 10).cast("string"), F.lit(")"))
     own = r.select(*_file(F.concat(F.lit("def/country/"), key, F.lit(".sui")), F.concat(F.lit("country_data : country.data.r"), key), "{", F.concat(F.lit("country_id: "), key), F.concat(F.lit('name: "'), "r_name", F.lit('"')),
                           F.concat(F.lit('name_localized: "@@loc_r'), key, F.lit('@@"')), F.concat(F.lit('country_code: "'), F.upper(F.left("r_name", F.lit(2))), F.lit('"')), pos, "}"))
     files = own.unionByName(_including(r, "def/country.sii", F.concat(F.lit("country/"), key, F.lit(".sui"))))

@@ -70,7 +70,5 @@ def test_exports(spark):
     land = spark.createDataFrame([("beta", 7)], "n string, country_id int").select(token(F.col("n")).alias("token"), "country_id")
     got = exports.cities(items, cities, land).collect()
     assert [(r["Name"], r["CountryId"], r["X"], r["Y"]) for r in got] == [("Alpha", 7, 1.0, 2.0)]
-    rows = exports.overlays([spark.createDataFrame([(1.0, 2.0, "a", "Overlay", 3), (1.0, 2.0, "gone", "Overlay", 3)], "x double, y double, name string, type string, zoom_visibility int"), spark.createDataFrame([(4.0, 5.0, "a", "Fuel")], "x double, y double, name string, type string")], spark.createDataFrame([("a", 8, 9)], "name string, width int, height int"))
-    assert sorted((r["type"], r["zoom_visibility"], r["Width"]) for r in rows.collect()) == [("Fuel", None, 8), ("Overlay", 3, 8)]
     labels = spark.createDataFrame([(3,), (13,)], "c int").select(exports.spawn_label(F.col("c")).alias("s")).collect()
     assert labels[0]["s"]["label"] == "Fuel" and labels[1]["s"] is None
