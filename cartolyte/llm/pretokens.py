@@ -87,7 +87,9 @@ def token_starts(points: np.ndarray) -> np.ndarray:
 class WordTable:
     """Distinct pretokens with their ids. ``encode`` maps a list of byte strings to a flat id array and the counts.
 
-    Holds ``most`` pretokens at most, then starts anew; this bounds memory and never changes a result.
+    Holds ``most`` pretokens at most, then starts anew; this bounds memory and never changes a result. Pretokens are told
+    apart by a 64-bit hash of their characters and length alone: of 500,000 different ones two share theirs with a
+    probability of 7e-9, and one of them would then get the other's ids.
     """
 
     def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 500_000):

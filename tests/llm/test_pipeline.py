@@ -71,3 +71,31 @@ def test_each_stage(spark, sf_dir, tmp_path):
 def test_registered(spark, sf_dir):
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run and "pipeline" not in __spark_entry__.oracle_sql()
     assert corpus_pipeline.run(spark, sf_dir[0]).count() > 0
+
+
+def _written(spark, folder, rows):
+    """Documents whose extra columns have names that operators use inside, and ratings with nulls."""
+    extra = ", rep string, key string, pos int, _key int, keep_id long, _gone int, class_id int"
+    spark.createDataFrame([(*r, "r", "k", 1, 2, 3, 4, 5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long" + extra).write.parquet(f"{folder}/documents.parquet")
+    marks = [(i, int(i % 3 > 0), None) for i in range(0, len(rows), 2)] + [(None, 1, 0), (3, None, None)]
+    spark.createDataFrame(marks if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, _written(spark, tmp_path, [])).count() == 0
+
+
+def test_null_ids_and_clashing_columns(spark, tmp_path):
+    rows = [(i, prose(i, 60), None, None, None) for i in range(40)]
+    rows += [(None, prose(3, 60), "en", "s", 1), (None, None, None, None, None), (None, prose(999, 60), "en", "s", 1), (5, prose(5, 60), "en", "s", 1), (41, None, "en", "s", 0)]
+    folder = _written(spark, tmp_path, rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[1:4]:  # each on all rows, with null ids among them
+        out = stage(spark, docs, folder)
+        assert out.columns == columns
+        got = [(r["doc_id"], r["text"], r["rep"], r["class_id"]) for r in out.collect()]
+        assert {r[2:] for r in got} == {("r", 5)} and len(got) <= len(rows)
+        assert {0, 1, 2, 3, 4} <= {r[0] for r in got}  # no id that is first of its kind goes
+    assert corpus_pipeline.run(spark, folder).count() > 0
