@@ -210,13 +210,14 @@ def q17(spark, d):
 
 @_query(
     "q18_sii_parse_counts",
-    r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), t AS (SELECT doc_id, line, regexp_replace(line, '^[^!-~]+|[^!-~]+$', '', 'g') AS bare FROM l),
+    r"""WITH l AS (SELECT doc_id, regexp_replace(unnest(string_split(coalesce(text, ''), chr(10))), '^([^ ]*) ', '\1: ') AS line FROM documents), t AS (SELECT doc_id, line, regexp_replace(line, '^[^!-~]+|[^!-~]+$', '', 'g') AS bare FROM l),
              v AS (SELECT doc_id, regexp_replace(split_part(bare, ':', 1), '^[^!-~]+|[^!-~]+$', '', 'g') AS k, regexp_replace(split_part(bare, ':', 2), '^[^!-~]+|[^!-~]+$', '', 'g') AS raw FROM t WHERE contains(bare, ':') AND NOT starts_with(bare, '#') AND NOT starts_with(bare, '//')),
              w AS (SELECT doc_id, k, CASE WHEN contains(raw, '//') THEN regexp_replace(left(raw, length(raw) - strpos(reverse(raw), '//') - 1), '^[^!-~]+|[^!-~]+$', '', 'g') ELSE raw END AS v FROM v)
         SELECT doc_id, count(*) AS lines, count(DISTINCT k) AS keys, sum(length(k) + length(v))::BIGINT AS chars, count(nullif(split_part(v, '"', 2), '')) AS quoted FROM w GROUP BY doc_id""",
 )
 def q18(spark, d):
-    line = F.col("line")
+    # The texts hold hardly a colon, so the first blank of a line stands for one.
+    line = F.regexp_replace("line", "^([^ ]*) ", "$1: ")
     lines = _table(spark, d, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
     keyed = lines.where(~strings.is_comment(line)).select("doc_id", strings.line_key(line).alias("k"), strings.line_value(line).alias("v")).where("k IS NOT NULL")
     return keyed.groupBy("doc_id").agg(F.count("*").alias("lines"), F.countDistinct("k").alias("keys"), F.sum(F.length("k") + F.length("v")).alias("chars"), F.count(F.nullif(strings.quoted(F.col("v")), F.lit(""))).alias("quoted"))
@@ -627,3 +628,16 @@ def q50(spark, d):
     skipped = p.where("p_partkey % 3 = 0").select(*_file(F.concat(F.lit("material/ui/map/map_icon"), key, F.lit(".mat")), 'texture : "/ptr/1.tobj"'))
     pointers = p.select(F.concat(F.lit("ptr/"), key, F.lit(".tobj")).alias("path"), F.concat(F.unhex(F.lit("00" * 48)), F.encode(F.concat(F.lit("/tex/"), "p_size", F.lit(".dds")), "UTF-8")).alias("content"))
     return tables.overlay_catalogue(materials.unionByName(skipped).unionByName(pointers)).select("name", "texture")
+
+
+@_query(
+    "q51_property_lines",
+    r"""WITH l AS (SELECT event_type, unnest(string_split(coalesce(props, ''), ',')) AS line FROM events), t AS (SELECT event_type, regexp_replace(line, '^[^!-~]+|[^!-~]+$', '', 'g') AS line FROM l),
+             v AS (SELECT event_type, regexp_replace(split_part(line, ':', 1), '^[^!-~]+|[^!-~]+$', '', 'g') AS k, regexp_replace(split_part(line, ':', 2), '^[^!-~]+|[^!-~]+$', '', 'g') AS v FROM t WHERE contains(line, ':') AND NOT starts_with(line, '#') AND NOT starts_with(line, '//'))
+        SELECT event_type, coalesce(split_part(k, '"', 2), '') AS key, count(*) AS lines, sum(length(k) + length(v))::BIGINT AS chars, count(DISTINCT v) AS vals FROM v GROUP BY 1, 2""",
+)
+def q51(spark, d):
+    lines = _table(spark, d, "events").select("event_type", F.explode(F.split(F.coalesce("props", F.lit("")), ",")).alias("line"))
+    keyed = lines.where(~strings.is_comment(F.col("line"))).select("event_type", strings.line_key(F.col("line")).alias("k"), strings.line_value(F.col("line")).alias("v")).where("k IS NOT NULL")
+    key = F.coalesce(strings.quoted(F.col("k")), F.lit("")).alias("key")
+    return keyed.groupBy("event_type", key).agg(F.count("*").alias("lines"), F.sum(F.length("k") + F.length("v")).alias("chars"), F.countDistinct("v").alias("vals"))
