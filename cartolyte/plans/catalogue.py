@@ -39,12 +39,20 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def _query(name: str, sql: str):
-    def add(f):
-        QUERIES[name], ORACLE_SQL[name] = f, sql
-        return f
+def query_into(queries: dict, oracle: dict[str, str]):
+    """A decorator that enters a query and its SQL by name."""
 
-    return add
+    def query(name: str, sql: str):
+        def add(f):
+            queries[name], oracle[name] = f, sql
+            return f
+
+        return add
+
+    return query
+
+
+_query = query_into(QUERIES, ORACLE_SQL)
 
 
 @_query("q01_viewport_filter", f"WITH {_PTS} SELECT vec_id, x, z FROM pts WHERE x >= -500 - 1000 AND x <= 700 + 1000 AND z >= -300 - 1000 AND z <= 400 + 1000 AND NOT (label = 3)")

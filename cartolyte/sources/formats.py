@@ -167,6 +167,11 @@ def _layout(kind: str, version: int) -> str:
     return LAYOUTS[kind][max(fitting)]
 
 
+def layout_steps(kind: str, version: int) -> list[tuple[str, ...]]:
+    """The steps of an item's body: (skip, name, code, kept list, its row width, bytes for each, of which list, call)."""
+    return _STEP.findall(_layout(kind, version))
+
+
 def _hidden(kind: str, data: bytes, body: int, guard: int) -> bool:
     signed = lambda k: struct.unpack_from("<b", data, body + k)[0]
     if kind == "road":
@@ -190,7 +195,7 @@ def read_item(data: bytes, at: int, version: int, guard: int) -> tuple[str, dict
     x, z = struct.unpack_from("<f", data, at + 12)[0], struct.unpack_from("<f", data, at + 20)[0]
     item = {"type": code + (version <= 825), "uid": uid - (1 << 64) if uid >> 63 else uid, "x": x, "z": z, "hidden": _hidden(kind, data, body, guard), "nodes": [], "actions": [], "flags": data[body : body + 5]}
     c = Cursor(data, body)
-    for skip, name, code_, list_, width, each, of, call in _STEP.findall(_layout(kind, version)):
+    for skip, name, code_, list_, width, each, of, call in layout_steps(kind, version):
         if skip:
             c.at += int(skip)
         elif name:

@@ -23,6 +23,11 @@ FRAME_BYTES = 32_000_000
 
 def archive_files(spark: SparkSession, folder: str, layers: dict[str, int], pattern: str = "*.scs") -> DataFrame:
     """(archive_seq, path, content) of all files of the archives in a folder; ``layers`` gives the layer of an archive's name, 0 if absent."""
+    return unpacked(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder), layers)
+
+
+def unpacked(archives: DataFrame, layers: dict[str, int]) -> DataFrame:
+    """The same of archives (path, content) that are rows already."""
 
     def run(frames):
         for frame in frames:
@@ -37,7 +42,7 @@ def archive_files(spark: SparkSession, folder: str, layers: dict[str, int], patt
                 if rows:
                     yield pd.DataFrame(rows, columns=["archive_seq", "path", "content"])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content").mapInPandas(run, FILES)
+    return archives.select("path", "content").mapInPandas(run, FILES)
 
 
 def layered(files: DataFrame) -> DataFrame:

@@ -7,11 +7,13 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
-from cartolyte.plans import catalogue
+from cartolyte.plans import binaries, catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+QUERIES, ORACLE_SQL = catalogue.QUERIES | binaries.QUERIES, catalogue.ORACLE_SQL | binaries.ORACLE_SQL
+
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 
@@ -29,9 +31,9 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_as_sql(spark, duck, name):
-    got, want = catalogue.QUERIES[name](spark, SF).toPandas(), duck.sql(catalogue.ORACLE_SQL[name]).df()
+    got, want = QUERIES[name](spark, SF).toPandas(), duck.sql(ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 

@@ -19,7 +19,7 @@ def head(code: int, uid: int, x: float = 1.5, z: float = -2.5) -> bytes:
 def body(kind: str, version: int, values: dict) -> bytes:
     """A body by the layout table: lists hold one row, kept lists the given ids."""
     out, flags = b"", values.get("flags", bytes(5))
-    for skip, name, code, kept, width, each, of, call in formats._STEP.findall(formats._layout(kind, version)):
+    for skip, name, code, kept, width, each, of, call in formats.layout_steps(kind, version):
         if skip:
             out += bytes(int(skip))
         elif name:
