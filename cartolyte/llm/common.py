@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 #: White space as every word operator here sees it.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -83,19 +84,24 @@ def ids_restored(df: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
     return df.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
-#: Ids that are broadcast at most (16 MB of them); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Bytes of ids that are broadcast at most; more are joined by a shuffle.
+BROADCAST_BYTES = 16_000_000
+
+
+def _broadcast_if_small(ids: DataFrame) -> DataFrame:
+    """A written table of one column of ids, to be broadcast if its values, measured first, are few or short enough."""
+    (name,) = ids.columns
+    width = F.lit(8) if isinstance(ids.schema[name].dataType, NumericType) else F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0)) + 8
+    return F.broadcast(ids) if (ids.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES else ids
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` but for the rows whose doc_id is in ``gone``. The documents move only if the ids are too many to broadcast."""
-    ids = written(gone.select(F.col("doc_id").alias("_gone")), "gone")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    ids = _broadcast_if_small(written(gone.select(F.col("doc_id").alias("_gone")), "gone"))
     return docs.join(ids, docs["doc_id"] == ids["_gone"], "left_anti")
 
 
 def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is in ``ids``; the same way of joining."""
-    ids = written(ids.select(F.col("doc_id").alias("_own")).distinct(), "own")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    ids = _broadcast_if_small(written(ids.select(F.col("doc_id").alias("_own")).distinct(), "own"))
     return docs.join(ids, docs["doc_id"] == ids["_own"], "left_semi")

@@ -3,7 +3,7 @@
 import public_tokenizers
 import pytest
 
-from cartolyte.llm import bpe, exact_dedup, near_dedup, packing, quality, substring_dedup
+from cartolyte.llm import bpe, common, exact_dedup, near_dedup, packing, quality, substring_dedup
 
 BIG = (1 << 60) + 1
 ROWS = [(BIG, "a b c d e f g"), (None, "null id here, of some words"), (3, "twice"), (3, "twice"), (3, "other text " * 30), (BIG + 1, "a b c d e f g"), (None, "other text " * 30)]
@@ -30,3 +30,14 @@ def test_repeats_within_ids(spark):
     removed = sorted((r["n_words"], r["n_removed"]) for r in got)
     # The null id's copy comes first: its windows from the third on have started before, so all but two words go.
     assert removed == [(1, 0), (1, 0), (6, 0), (7, 0), (7, 0), (60, 58), (60, 60)]
+
+
+@pytest.mark.parametrize("bound", [0, 1000])
+def test_ids_to_drop_are_measured_by_their_bytes(spark, monkeypatch, bound):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", bound)
+    docs = spark.createDataFrame([("a", 1), ("b" * 40, 2), (None, 3)], "doc_id string, n int")
+    gone = docs.where("n = 2")
+    kept, own = common.without(docs, gone), common.among(docs, gone)
+    assert sorted(r["n"] for r in kept.collect()) == [1, 3] and [r["n"] for r in own.collect()] == [2]
+    plan = common._broadcast_if_small(gone.select("doc_id"))._jdf.queryExecution().logical().toString()
+    assert ("Hint" in plan) == (bound > 0)
