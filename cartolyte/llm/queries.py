@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolyte.llm import ann, bpe, exact_dedup, html_extract, near_dedup, packing, quality, substring_dedup, url_filter, warc
+from cartolyte.llm import ann, bpe, exact_dedup, html_extract, line_dedup, near_dedup, packing, quality, substring_dedup, url_filter, warc
 from cartolyte.llm.common import table
 
 
@@ -87,6 +87,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents")).drop("keep_runs")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
@@ -98,6 +102,7 @@ QUERIES = {
     "op7_near_dedup": op7_near_dedup,
     "op8_quality": op8_quality,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_line_dedup": op11_line_dedup,
 }
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
@@ -119,6 +124,14 @@ ORACLE_SQL = {
              k AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM p LEFT JOIN (SELECT doc_id, unnest(gone) AS i FROM g) x USING (doc_id, i) WHERE x.i IS NULL GROUP BY p.doc_id)
         SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN k USING (doc_id)""",
+    "op11_line_dedup": r"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+             e AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM d),
+             k AS (SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM e),
+             f AS (SELECT key, max(doc_id) AS last_id FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+        SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (f.key IS NOT NULL AND k.doc_id <> last_id) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.key IS NULL OR k.doc_id = last_id), '')) AS kept_sha256
+        FROM k LEFT JOIN f USING (key) GROUP BY k.doc_id""",
     "op6_url_filter": r"""
         WITH c AS (SELECT page_id, DATE '2024-01-01' + (page_id % 365)::INT AS fetch_day,
                           nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.'), '') AS host FROM pages),
