@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolyte.llm import ann, bpe, exact_dedup, html_extract, line_dedup, near_dedup, packing, quality, substring_dedup, url_filter, warc
+from cartolyte.llm import ann, bpe, divergence, exact_dedup, html_extract, line_dedup, near_dedup, packing, quality, substring_dedup, url_filter, warc
 from cartolyte.llm.common import table
 
 
@@ -91,6 +91,10 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents")).drop("keep_runs")
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
@@ -103,6 +107,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_line_dedup": op11_line_dedup,
+    "op12_divergence": op12_divergence,
 }
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
@@ -132,6 +137,21 @@ ORACLE_SQL = {
         SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (f.key IS NOT NULL AND k.doc_id <> last_id) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.key IS NULL OR k.doc_id = last_id), '')) AS kept_sha256
         FROM k LEFT JOIN f USING (key) GROUP BY k.doc_id""",
+    # Shares are exact in HUGEINT; all pairs of groups meet over the kept terms, with zeros.
+    "op12_divergence": r"""
+        WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+             w AS (SELECT rowid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS rowid, * FROM d)),
+             k AS (SELECT lang, term, count(*)::HUGEINT AS total FROM w GROUP BY lang, term HAVING count(DISTINCT rowid) >= 30),
+             v AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS n FROM k GROUP BY lang),
+             g AS (SELECT DISTINCT lang, source FROM d),
+             c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+             s AS (SELECT lang, source, sum(n)::HUGEINT AS n FROM c GROUP BY ALL),
+             f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(s.n, 0) + 5 * v.v) AS p, 1 + (1000000000::HUGEINT * (k.total + 5)) // (v.n + 5 * v.v) AS q
+                   FROM g JOIN k ON g.lang = k.lang JOIN v ON g.lang = v.lang LEFT JOIN s ON g.lang = s.lang AND g.source = s.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+             m AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM f a JOIN f b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+             r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN m ON m.lang = a.lang AND m.source = a.source AND m.item = b.source
+                   UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM f WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM r QUALIFY part = 'pair' OR rank <= 50""",
     "op6_url_filter": r"""
         WITH c AS (SELECT page_id, DATE '2024-01-01' + (page_id % 365)::INT AS fetch_day,
                           nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.'), '') AS host FROM pages),
