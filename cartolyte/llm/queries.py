@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolyte.llm import ann, bpe, divergence, exact_dedup, html_extract, line_dedup, near_dedup, packing, quality, substring_dedup, url_filter, warc
+from cartolyte.llm import ann, bpe, collocations, divergence, exact_dedup, html_extract, line_dedup, near_dedup, packing, quality, substring_dedup, url_filter, warc
 from cartolyte.llm.common import table
 
 
@@ -95,6 +95,10 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
@@ -108,6 +112,7 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_line_dedup": op11_line_dedup,
     "op12_divergence": op12_divergence,
+    "op13_collocations": op13_collocations,
 }
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
@@ -152,6 +157,20 @@ ORACLE_SQL = {
              r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN m ON m.lang = a.lang AND m.source = a.source AND m.item = b.source
                    UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM f WHERE n > 0 AND p > q)
         SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM r QUALIFY part = 'pair' OR rank <= 50""",
+    "op13_collocations": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+             w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+             g AS (SELECT lang, w, unnest(range(1, 6)) AS m FROM w),
+             h AS (SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM g WHERE len(w) >= m),
+             f AS (SELECT lang, m, w[i:i + m - 1] AS p, count(*)::HUGEINT AS f FROM h GROUP BY ALL HAVING count(*) >= 100),
+             n AS (SELECT lang, count(*)::HUGEINT AS n FROM h WHERE m = 1 GROUP BY lang),
+             c AS (SELECT lang, m, p, f AS a, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+             s AS (SELECT c.*, x.f AS l, y.f AS r, n.n, (1000::HUGEINT * a * n.n) // (x.f * y.f) AS score
+                   FROM c JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1:c.m] JOIN n ON n.lang = c.lang),
+             b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+             o AS (SELECT lang, q[i:i + j - 1] AS p, max(a) AS longer FROM (SELECT *, unnest(range(1, m - j + 2)) AS i FROM (SELECT lang, m, p AS q, f AS a, unnest(range(2, m)) AS j FROM f WHERE m > 2)) GROUP BY ALL),
+             k AS (SELECT b.*, array_to_string(p, ' ') AS phrase FROM b LEFT JOIN o USING (lang, p) WHERE longer IS NULL OR 100 * longer < 100 * a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM k QUALIFY rank <= 2000""",
     "op6_url_filter": r"""
         WITH c AS (SELECT page_id, DATE '2024-01-01' + (page_id % 365)::INT AS fetch_day,
                           nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.'), '') AS host FROM pages),
