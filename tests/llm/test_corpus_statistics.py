@@ -131,14 +131,32 @@ def test_divergence_of_nothing(spark):
 
 
 def test_tries_hold_all_terms_in_order():
-    rng, trie, want = random.Random(2), divergence.Trie(), Counter()
-    for _ in range(3000):
-        term = bytes(rng.choice(b"ab\xc3\xa9") for _ in range(rng.randint(1, 8)))
-        leaf = trie.leaf(term)
-        leaf["s"] = leaf.get("s", 0) + 1
-        want[term] += 1
-    got = [(t, c["s"]) for t, c in trie.walk()]
-    assert got == sorted(want.items()) and trie.leaves == len(want)
+    rng, trie, want = random.Random(2), divergence.Trie(), {}
+    for _ in range(30):
+        terms = {bytes(rng.choice(b"ab\xc3\xa9") for _ in range(rng.randint(1, 8))) for _ in range(100)} - set(want)
+        new = {t: len(want) + i for i, t in enumerate(terms)}
+        trie.insert(sorted(new.items()))
+        want |= new
+        assert list(trie.walk()) == sorted(want.items()) and trie.leaves == len(want)
+
+
+@pytest.mark.parametrize("leaves, held", [(3, 10), (50, 1), (10**6, 10**6)])
+def test_tries_of_any_size_merge_to_the_same(monkeypatch, leaves, held):
+    """Small tries, summed often, and batches that end inside a leaf's rows."""
+    monkeypatch.setattr(divergence, "LEAVES", leaves)
+    monkeypatch.setattr(divergence, "HELD", held)
+    rows = [(lang or "", source or "", (text or "").encode()) for _, text, lang, source in source_rows()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 20]), (pa.string(), pa.string(), pa.binary()))], names=["lang", "source", "text"]) for i in range(0, len(rows), 20)]
+    found = pa.Table.from_batches(list(divergence._leaf_rows(iter(batches)))).sort_by([("lang", "ascending"), ("term", "ascending")])
+    found = found.filter(pa.compute.not_equal(found["term"], ""))
+    merged = [r for b in divergence._merging(2)(iter(found.to_batches(max_chunksize=3))) for r in b.to_pylist()]
+    n, docs = defaultdict(Counter), Counter()
+    for lang, source, text in rows:
+        terms = re.findall(rb"[a-z\x80-\xff]+", text.lower())
+        for t in terms:
+            n[lang, t.decode()][source] += 1
+        docs.update((lang, t.decode()) for t in set(terms))
+    assert [(r["lang"], r["term"], r["docs"], {c["source"]: c["n"] for c in r["counts"]}) for r in merged] == [(*k, docs[k], dict(n[k])) for k in sorted(n, key=lambda k: (k[0], k[1].encode())) if docs[k] >= 2]
 
 
 def test_shares_pass_64_bits():
