@@ -11,9 +11,9 @@ def _window(keys: list[str], order: list[str]):
 
 
 def run_starts(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """Rows whose value differs from the row before. Filters on other columns come after, not before."""
-    before = F.lag(value).over(_window(keys, order))
-    return df.withColumn("_before", before).where(~F.col(value).eqNullSafe(F.col("_before"))).drop("_before")
+    """The first rows, and those whose value differs from the row before. Filters on other columns come after, not before."""
+    before = F.lag(F.struct(value)).over(_window(keys, order))
+    return df.withColumn("_before", before).where(F.col("_before").isNull() | ~F.col(value).eqNullSafe(F.col(f"_before.{value}"))).drop("_before")
 
 
 def positions(df: DataFrame, keys: list[str], order: list[str], first: int, last: int) -> DataFrame:

@@ -17,22 +17,46 @@ def bounds(points: DataFrame) -> DataFrame:
     return points.agg(F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("z").alias("min_z"), F.max("z").alias("max_z"))
 
 
-def _cell(value: Column, size: float) -> Column:
-    return F.floor(value / F.lit(size)).cast("long")
+def _cell(value: Column, size: Column) -> Column:
+    return F.floor(value / size).cast("long")
+
+
+#: Sides beyond this count as infinite.
+_LARGEST = 1e300
+
+
+def rect_cells(rects: DataFrame, size: float) -> DataFrame:
+    """Rectangles (rx, rz, w, h, ...) with level, cx, cz: a row for each cell that they touch, of a grid that fits them.
+
+    The cells of level k are 2^k times ``size`` wide. A rectangle is of the first level whose cells are no smaller than
+    its sides, so it touches two cells each way, or three where rounding makes a difference. Those with a null, NaN or negative side hold no point.
+    """
+    side = F.least(F.greatest("w", "h"), F.lit(_LARGEST))
+    level = F.when(side <= size, 0).otherwise(F.ceil(F.log2(side / F.lit(float(size)))).cast("int"))
+    sound = (F.col("w") >= 0) & (F.col("h") >= 0) & ~F.isnan("w") & ~F.isnan("h") & ~F.isnan(F.col("rx").cast("double")) & ~F.isnan(F.col("rz").cast("double"))
+    held = rects.where(sound).withColumn("level", level).withColumn("_size", F.lit(float(size)) * F.pow(F.lit(2.0), "level"))
+
+    def touched(low: str, length: str) -> Column:
+        first = _cell(F.col(low), F.col("_size"))
+        return F.explode(F.sequence(first, F.least(_cell(F.col(low) + F.col(length), F.col("_size")), first + 2)))
+
+    return held.withColumn("cx", touched("rx", "w")).withColumn("cz", touched("rz", "h")).drop("_size")
 
 
 def grid_join(points: DataFrame, rects: DataFrame, point_id: str, rect_id: str, order: str, size: float) -> DataFrame:
     """(point_id, rect_id): the first rectangle by ``order`` that holds each point, all edges included; null if none.
 
-    A point has one cell of the grid, a rectangle all that it touches, so they meet by equality and the rectangles'
-    inequalities decide. Partial aggregation keeps one candidate a point and task, and points without one come back by
-    a left join. Cells should be about as large as the rectangles.
+    Rectangles lie in the cells of their own level (:func:`rect_cells`), points look into one cell of each level that
+    there is, so they meet by equality and the rectangles' inequalities decide. Partial aggregation keeps one candidate a
+    point and task, and points without one come back by a left join. ``size`` is that of the smallest cells.
     """
-    span = lambda low, side: F.explode(F.sequence(_cell(F.col(low), size), _cell(F.col(low) + F.col(side), size)))
-    cells = rects.select("*", span("rx", "w").alias("cx")).select("*", span("rz", "h").alias("cz"))
-    placed = points.select(point_id, "x", "z", _cell(F.col("x"), size).alias("cx"), _cell(F.col("z"), size).alias("cz"))
+    cells = rect_cells(rects, size)
+    levels = cells.agg(F.sort_array(F.collect_set("level")).alias("levels")).scalar()  # few: a level doubles the side
+    probes = points.select(point_id, "x", "z", F.explode(levels).alias("level"))
+    scale = F.lit(float(size)) * F.pow(F.lit(2.0), "level")
+    placed = probes.withColumn("cx", _cell(F.col("x"), scale)).withColumn("cz", _cell(F.col("z"), scale))
     inside = F.col("x").between(F.col("rx"), F.col("rx") + F.col("w")) & F.col("z").between(F.col("rz"), F.col("rz") + F.col("h"))
-    met = placed.join(cells, ["cx", "cz"]).where(inside)
+    met = placed.join(cells, ["level", "cx", "cz"]).where(inside)
     first = met.groupBy(point_id).agg(F.min_by(rect_id, order).alias(rect_id))
     return points.select(point_id).join(first, point_id, "left")
 
