@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cartolyte.functions import geometry, strings, tokens
 from cartolyte.operators import flags, lookup, precedence, runs, spatial
 from cartolyte.plans import exports
+from cartolyte.schemas import NODES, PREFABS
 from cartolyte.sources import definitions, tables
 
 
@@ -550,7 +551,7 @@ def _items(spark, d) -> DataFrame:
     return p.select(
         key.alias("load_seq"), key.alias("uid"), F.get(kinds, F.pmod(key, F.lit(4)).cast("int")).alias("type"), "x", "z", (F.col("label") == 3).alias("hidden"), tokens.token(F.concat(F.lit("o"), F.col("label"))).alias("look_token"),
         F.lit(None).cast("array<long>").alias("nodes"), F.lit(0).alias("origin"), F.lit(None).cast("long").alias("prefab_uid"), (F.col("label") % 2 == 0).alias("is_train"), F.col("label").cast("int").alias("zoom_visibility"),
-        F.array(F.lit(5).cast("long"), F.when(F.col("label") < 5, tokens.token(F.lit(exports.PARKING_ACTION))).otherwise(F.lit(6).cast("long"))).alias("actions"),
+        F.array(F.lit(5).cast("long"), F.when(F.col("label") < 5, F.lit(tokens.token_of(exports.PARKING_ACTION))).otherwise(F.lit(6).cast("long"))).alias("actions"),
     )
 
 
@@ -573,8 +574,8 @@ def q44(spark, d):
 def q45(spark, d):
     names = F.array(*map(F.lit, ("parking_ico", "train_ico", "port_overlay", "o0", *(f"o{k}" for k in range(3, 10)))))
     bitmaps = spark.range(1).select(F.explode(names).alias("name")).select(tokens.token(F.col("name")).alias("token"), "name", (F.length("name") + 16).alias("width"), F.lit(8).alias("height"))
-    frames = spark.createDataFrame([], "uid long, load_seq long, hidden boolean, x double, z double, frame struct<nx:double,nz:double,ox:double,oz:double,angle:double>, spawn_points array<struct<x:float,z:float,type:long>>, trigger_points array<struct<trigger_id:long,action:long,x:float,z:float>>")
-    out = exports.overlay_rows(_items(spark, d), frames, _areas(spark, d), bitmaps)
+    none = lambda schema: spark.createDataFrame([], schema)
+    out = exports.overlay_rows(_items(spark, d), none("token long, path string"), none(PREFABS), none(NODES), _areas(spark, d), bitmaps)
     return out.select(F.round("X", 3).alias("X"), F.round("Y", 3).alias("Y"), F.coalesce(F.col("ZoomLevelVisibility").cast("long"), F.lit(-1)).alias("ZoomLevelVisibility"), "Name", "Type", F.col("Width").cast("long").alias("Width"), F.coalesce("City.Name", F.lit("none")).alias("City"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolyte.functions import geometry, strings
-from cartolyte.functions.tokens import name_of, token
+from cartolyte.functions.tokens import name_of, token, token_of
 from cartolyte.operators import lookup, polygons, precedence, runs
 from cartolyte.operators.spatial import bounds, grid_join
 
@@ -47,10 +47,10 @@ def wants(flags: int, *names: str) -> bool:
 
 
 def spawn_label(code: Column) -> Column:
-    """(icon, label) of a spawn point type as a struct; null for types that are not exported."""
+    """(icon, label, token) of a spawn point type as a struct; null for types that are not exported."""
     chosen = F
     for k, (icon, label) in SPAWNS.items():
-        chosen = chosen.when(code == k, F.struct(F.lit(icon).alias("icon"), F.lit(label).alias("label")))
+        chosen = chosen.when(code == k, F.struct(F.lit(icon).alias("icon"), F.lit(label).alias("label"), F.lit(token_of(icon)).alias("token")))
     return chosen.otherwise(None)
 
 
@@ -97,14 +97,14 @@ def prefab_frames(items: DataFrame, definitions: DataFrame, prefabs: DataFrame,
 def spawn_overlays(frames: DataFrame) -> DataFrame:
     """A row for each exported spawn point of the frames."""
     spawns = frames.select("load_seq", "frame", F.posexplode("spawn_points").alias("part", "p")).withColumn("sign", spawn_label(F.col("p.type"))).where("sign IS NOT NULL")
-    return _typed(spawns.withColumn("at", polygons.turned(F.col("frame"), F.col("p"))), token(F.col("sign.icon")), F.col("sign.icon"), F.col("sign.label"), F.col("at.x"), F.col("at.z"), F.col("part"))
+    return _typed(spawns.withColumn("at", polygons.turned(F.col("frame"), F.col("p"))), F.col("sign.token"), F.col("sign.icon"), F.col("sign.label"), F.col("at.x"), F.col("at.z"), F.col("part"))
 
 
 def trigger_overlays(frames: DataFrame) -> DataFrame:
     """A row for each run of trigger points with one id, if the run's first is a car park."""
     points = frames.select("load_seq", "frame", F.posexplode("trigger_points").alias("part", "p")).withColumn("trigger_id", F.col("p.trigger_id"))
-    first = runs.run_starts(points, ["load_seq"], ["part"], "trigger_id").where(F.col("p.action") == token(F.lit(PARKING_ACTION)))
-    return _typed(first.withColumn("at", polygons.turned(F.col("frame"), F.col("p"))), token(F.lit("parking_ico")), F.lit("parking_ico"), F.lit("Parking"), F.col("at.x"), F.col("at.z"), F.col("part"))
+    first = runs.run_starts(points, ["load_seq"], ["part"], "trigger_id").where(F.col("p.action") == token_of(PARKING_ACTION))
+    return _typed(first.withColumn("at", polygons.turned(F.col("frame"), F.col("p"))), F.lit(token_of("parking_ico")), F.lit("parking_ico"), F.lit("Parking"), F.col("at.x"), F.col("at.z"), F.col("part"))
 
 
 def company_overlays(items: DataFrame, frames: DataFrame) -> DataFrame:
@@ -121,30 +121,44 @@ def _typed(rows: DataFrame, token_, name, kind, x, z, part=None, visibility=None
     return rows.select("load_seq", F.coalesce(part, F.lit(0)).alias("part") if part is not None else F.lit(0).alias("part"), token_.alias("token"), name.alias("Name"), kind.alias("Type"), x.cast("double").alias("X"), z.cast("double").alias("Y"), zoom.cast("int").alias("ZoomLevelVisibility"))
 
 
-def overlay_rows(items: DataFrame, frames: DataFrame, areas: DataFrame, bitmaps: DataFrame) -> DataFrame:
+def is_parking(actions: Column) -> Column:
+    return F.array_contains(actions, F.lit(token_of(PARKING_ACTION)))
+
+
+def icon_rows(items: DataFrame) -> DataFrame:
+    """The icons that stand at an item's own place: overlay items, parking triggers and ferries, by one look at each item."""
+    own, kind, train = F.col("look_token"), F.col("type"), F.coalesce("is_train", F.lit(False))
+    sign = lambda token_, name, label, visibility=None: F.struct(token_.alias("token"), name.alias("name"), label.alias("label"), (F.lit(None) if visibility is None else visibility).cast("int").alias("visibility"))
+    fixed = lambda icon, label: sign(F.lit(token_of(icon)), F.lit(icon), F.lit(label))
+    chosen = (
+        F.when(kind == OVERLAY, sign(own, name_of(own), F.lit("Overlay"), F.col("zoom_visibility")))
+        .when((kind == TRIGGER) & is_parking(F.col("actions")), fixed("parking_ico", "Parking"))
+        .when((kind == FERRY) & train, fixed("train_ico", "Train"))
+        .when(kind == FERRY, fixed("port_overlay", "Ferry"))
+    )
+    rows = items.withColumn("sign", chosen).where("sign IS NOT NULL")
+    return _typed(rows, F.col("sign.token"), F.col("sign.name"), F.col("sign.label"), F.col("x"), F.col("z"), visibility=F.col("sign.visibility"))
+
+
+def overlay_rows(items: DataFrame, prefab_definitions: DataFrame, prefabs: DataFrame, nodes: DataFrame, areas: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """X, Y, ZoomLevelVisibility, Name, Type, Width, Height, City of the overlays of six sources.
 
     The sources are overlay items, companies, parking triggers, ferries, and the spawn and trigger points of prefabs.
     Hidden items have none. Rows whose overlay (by token) has no bitmap go; the city is that of the item's own place.
+
+    The items of these kinds, the placed prefabs and the city areas have several readers each; they are persisted, so
+    that each is made once, and stay so until the caller clears Spark's cache.
     """
-    shown, seen = items.where("NOT hidden"), frames.where("NOT hidden")
-    of = lambda kind: shown.where(F.col("type") == kind)
-    own, icon = F.col("look_token"), F.when(F.col("is_train"), "train_ico").otherwise("port_overlay")
-    parking = of(TRIGGER).where(F.array_contains("actions", token(F.lit(PARKING_ACTION))))
-    parts = [
-        _typed(of(OVERLAY), own, name_of(own), F.lit("Overlay"), F.col("x"), F.col("z"), visibility=F.col("zoom_visibility")),
-        company_overlays(shown, frames),
-        _typed(parking, token(F.lit("parking_ico")), F.lit("parking_ico"), F.lit("Parking"), F.col("x"), F.col("z")),
-        _typed(of(FERRY), token(icon), icon, F.when(F.col("is_train"), "Train").otherwise("Ferry"), F.col("x"), F.col("z")),
-        spawn_overlays(seen),
-        trigger_overlays(seen),
-    ]
-    rows = parts[0]
-    for part in parts[1:]:
+    kinds = (OVERLAY, COMPANY, TRIGGER, FERRY, PREFAB)
+    columns = ("load_seq", "type", "uid", "x", "z", "hidden", "look_token", "origin", "nodes", "prefab_uid", "is_train", "zoom_visibility", "actions")
+    held = items.where(F.col("type").isin(*kinds)).select(*columns).persist()
+    frames = prefab_frames(held, prefab_definitions, prefabs, nodes).persist()
+    shown, seen = held.where("NOT hidden"), frames.where("NOT hidden")
+    rows = icon_rows(shown)
+    for part in (company_overlays(shown, frames), spawn_overlays(seen), trigger_overlays(seen)):
         rows = rows.unionByName(part)
     rows = rows.join(precedence.first_wins(bitmaps.select("token", "name", "width", "height"), ["token"], "name").drop("name"), "token")
-    kinds = (OVERLAY, COMPANY, TRIGGER, FERRY, PREFAB)
-    cities_ = with_city(shown.where(F.col("type").isin(*kinds)).select("load_seq", "x", "z"), areas, "load_seq").select("load_seq", "City")
+    cities_ = with_city(shown.select("load_seq", "x", "z"), areas.persist(), "load_seq").select("load_seq", "City")
     return rows.join(cities_, "load_seq").select("X", "Y", "ZoomLevelVisibility", "Name", "Type", F.col("width").alias("Width"), F.col("height").alias("Height"), "City")
 
 
@@ -186,12 +200,17 @@ def write_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def tile_map_rows(points: DataFrame, min_zoom: int, max_zoom: int) -> DataFrame:
+    """One row: x1, x2, y1, y2 of the square that holds all points, and the zoom range."""
+    b = bounds(points)
+    side = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_z") - F.col("min_z"))
+    b = b.select(side.alias("side"), ((F.col("min_x") + F.col("max_x") - side) / 2).alias("x1"), ((F.col("min_z") + F.col("max_z") - side) / 2).alias("y1"))
+    return b.select("x1", (F.col("x1") + F.col("side")).alias("x2"), "y1", (F.col("y1") + F.col("side")).alias("y2"), F.lit(min_zoom).alias("minZoom"), F.lit(max_zoom).alias("maxZoom"))
+
+
 def tile_map_info(points: DataFrame, min_zoom: int, max_zoom: int, path: str | None = None) -> dict:
-    """x1, x2, y1, y2 of the square that holds all points, and the zoom range."""
-    low_x, high_x, low_z, high_z = bounds(points).first()
-    side = max(high_x - low_x, high_z - low_z)
-    x1, y1 = (low_x + high_x - side) / 2, (low_z + high_z - side) / 2
-    info = {"x1": x1, "x2": x1 + side, "y1": y1, "y2": y1 + side, "minZoom": min_zoom, "maxZoom": max_zoom}
+    """The same as a dict, and as a JSON file if there is a path."""
+    info = tile_map_rows(points, min_zoom, max_zoom).first().asDict()
     if path:
         with open(path, "w") as f:
             json.dump(info, f, indent=2)
@@ -212,17 +231,6 @@ def write_exports(flags: int, folder: str, tables: dict[str, DataFrame]) -> None
     if wants(flags, "countries"):
         write_rows(countries(t["countries"], named), f"{folder}/Countries.json")
     if wants(flags, "overlays"):
-        frames = prefab_frames(t["items"], t["prefab_definitions"], t["prefabs"], t["nodes"])
-        write_rows(overlay_rows(t["items"], frames, areas, t["bitmaps"]), f"{folder}/Overlays.json")
+        write_rows(overlay_rows(t["items"], t["prefab_definitions"], t["prefabs"], t["nodes"], areas, t["bitmaps"]), f"{folder}/Overlays.json")
         if wants(flags, "overlay_pngs"):
             write_pngs(overlay_pngs(t["bitmaps"]), f"{folder}/Overlays")
-
-
-def load_settings(path: str, default):
-    """Settings or map sets from a JSON file, or the default where there is none."""
-    return json.loads(Path(path).read_text()) if Path(path).exists() else default
-
-
-def save_settings(path: str, settings) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(settings, indent=2))

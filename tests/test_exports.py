@@ -119,11 +119,8 @@ def test_from_archive_to_exports(spark, files, tmp_path):
     assert [r["pos"] for r in road] == list(range(8)) and (road[0]["x"], road[0]["y"]) == (10.0, 20.0) and road[-1]["x"] == pytest.approx(110.0)
 
 
-def test_flags_and_settings(tmp_path):
+def test_flags():
     assert exports.wants(255, "cities", "overlay_pngs") and exports.wants(2, "cities") and not exports.wants(2, "cities", "city_names")
-    assert exports.load_settings(str(tmp_path / "a/s.json"), {"x": 1}) == {"x": 1}
-    exports.save_settings(str(tmp_path / "a/s.json"), [{"name": "set"}])
-    assert exports.load_settings(str(tmp_path / "a/s.json"), None) == [{"name": "set"}]
 
 
 def test_places_number_all_rows(spark):

@@ -1,6 +1,7 @@
 """Clustered layouts, grids of several levels, scans in segments and total orders."""
 
 import math
+import os
 import random
 
 import pyarrow.parquet as pq
@@ -8,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartolyte.operators import layout, runs, scans, spatial
+from cartolyte.plans import exports, frame, ordered
+from cartolyte.schemas import ITEMS, NODES, PREFABS
 
 
 def scan_rows(df) -> int:
@@ -131,3 +134,52 @@ def test_total_places(spark):
     got = sorted(out.collect(), key=lambda r: r["place"])
     assert [r["place"] for r in got] == list(range(1, 5001)) and [(r["a"], r["id"]) for r in got] == sorted((r["a"], r["id"]) for r in got)
     assert scans.total_places(rows.where("false"), ["a"]).collect() == []
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_items_and_areas_are_read_once(spark):
+    """All consumers of the items, of the placed prefabs and of the areas take one persisted table each."""
+    spark.catalog.clearCache()
+    seen = {}
+
+    def counted(df, name):
+        seen[name] = spark.sparkContext.accumulator(0)
+
+        def run(frames, n=seen[name]):
+            for frame_ in frames:
+                n.add(len(frame_))
+                yield frame_
+
+        return df.mapInPandas(run, df.schema)
+
+    items, areas = ordered._items(spark, SF), ordered._areas(spark, SF)
+    out = exports.overlay_rows(counted(items, "items"), ordered._prefab_tokens(spark, SF), ordered._prefabs(spark, SF), ordered._nodes(spark, SF), counted(areas, "areas"), ordered._bitmaps(spark))
+    assert out.count() > 50 and out.where("Type = 'Company'").count() > 5
+    assert {k: n.value for k, n in seen.items()} == {"items": items.count(), "areas": areas.count()}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryRelation" in plan
+    spark.catalog.clearCache()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_a_frame_has_its_layers_in_order(spark):
+    tables = (ordered._items(spark, SF), ordered._nodes(spark, SF), ordered._prefab_tokens(spark, SF), ordered._prefabs(spark, SF), ordered._shapes(spark, SF), ordered._ferries(spark, SF), ordered._bitmaps(spark))
+    rows = sorted(frame.drawn(*tables, (-2500, -2300, 2700, 2400), stretches=5).collect(), key=lambda r: r["place"])
+    assert [r["place"] for r in rows] == list(range(1, len(rows) + 1)) and len({r["layer"] for r in rows}) == 12
+    keys = [(r["layer"], r["z"], r["load_seq"], r["kind"], r["part"]) for r in rows]
+    assert keys == sorted(set(keys))
+    few = frame.drawn(*tables, (-2500, -2300, 2700, 2400), bits=4 | 64, stretches=5)
+    assert {r["layer"] for r in few.collect()} == {0, 4, 11}
+    assert "Window" not in few._jdf.queryExecution().executedPlan().toString()
+    # The prefabs in view are one table for their shapes and their icons.
+    spark.catalog.clearCache()
+
+
+def test_frame_of_nothing(spark):
+    none = lambda schema: spark.createDataFrame([], schema)
+    out = frame.drawn(none(ITEMS), none(NODES), none("token long, path string"), none(PREFABS), none("path string, look_no int, z_index int"), none("start_token long, end_token long, load_seq long"), none("token long"), (0, 0, 1, 1))
+    assert [(r["layer"], r["place"]) for r in out.collect()] == [(0, 1)]
+    spark.catalog.clearCache()
