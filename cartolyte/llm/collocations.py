@@ -1,16 +1,17 @@
 """Phrase collocations: word n-grams that keep together more often than their parts would by chance.
 
-Two passes over the texts. The first counts all n-grams in count-min sketches, one a task, whose cells stop at
-``least_count``; they are cut into slices and merged slice by slice, first those of neighbouring tasks, then all. A
-sketch never counts too few, so an n-gram below ``least_count`` in one of its cells is rare for certain. The second pass
+Two passes over the texts, each with one task a core. The first counts all n-grams in count-min sketches, one a task,
+whose cells stop at ``least_count``; they are cut into slices and merged slice by slice, first those of neighbouring
+tasks, then all. A sketch never counts too few, so an n-gram below ``least_count`` in one of its cells is rare for certain. The second pass
 keeps the occurrences whose cells, and those of all n-grams inside them, reach it, and counts exactly these: by 128-bit
 hashes inside a task, by their words across tasks. What is rare after that goes; nothing frequent was lost. Candidates
 are then scored at each cut by joins with their parts' counts, and those inside an equally frequent longer one go.
 
 Size: the sketch has two rows of a width that the corpus sets (about three n-grams a cell for each ten of
-``least_count``, at most ``WIDTHS[1]`` cells of one byte); merged, it is collected and broadcast, which is bounded by that
-width. Beyond it, cells fill up and the second pass keeps more occurrences; results stay the same. With ``least_count``
-raised along with the corpus, the width stays as it is.
+``least_count``, at most ``WIDTHS[1]`` cells of one byte). Merged, only the bits of cells that reach ``least_count`` are
+collected and broadcast, 16 MB at most. Sketches number as the cores do, not as the input's splits, so what moves grows
+with the width alone. Beyond the greatest width, cells fill up and the second pass keeps more occurrences; results stay
+the same. With ``least_count`` raised along with the corpus, the width stays as it is.
 
 Bounds and skew: a text is cut into blocks of bounded bytes; the last words of a block come again before the next,
 so that no n-gram is lost or counted twice. Counts are combined in each task before they move. Joins are plain
@@ -41,7 +42,7 @@ LONGEST, LEAST_COUNT, SHARE, RANKS = 5, 100, 100, 2000
 #: Least and most cells of a sketch's row, cells of a slice, tasks whose slices are merged first, and bytes of a block.
 WIDTHS, SLICE, TASKS, BLOCK = (1 << 16, 1 << 26), 1 << 18, 32, 1 << 21
 #: Rows of counts that a task holds before it combines them.
-HELD = 3_000_000
+HELD = 1_000_000
 
 _WORD, _BLANK, _BREAK = 0, 1, 2
 _KINDS = np.full(256, _WORD, np.uint8)
@@ -183,7 +184,7 @@ def _sketching(bits: int, longest: int, least: int):
 _SLICES = "slice int, task int, cells binary"
 
 
-def _merging(least: int):
+def _merging(least: int, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Only the slices of this task are held, whatever the number of sketches.
         sums: dict[tuple[int, int], np.ndarray] = {}
@@ -192,19 +193,21 @@ def _merging(least: int):
                 cells = np.frombuffer(zlib.decompress(key[2].as_py()), np.uint8)
                 held = sums.get(key[:2])
                 sums[key[:2]] = cells.copy() if held is None else np.minimum(held.astype(np.uint16) + cells, least).astype(np.uint8)
-        for (number, task), cells in sums.items():
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([number], pa.int32()), "task": pa.array([0], pa.int32()), "cells": pa.array([zlib.compress(cells.tobytes(), 1)], pa.binary())})
+        for (number, _), cells in sums.items():
+            data = zlib.compress((np.packbits(cells >= least, bitorder="little") if last else cells).tobytes(), 1)
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([number], pa.int32()), "task": pa.array([0], pa.int32()), "cells": pa.array([data], pa.binary())})
 
     return run
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
+    """(lang, text as bytes), with as many partitions as the cluster has cores, at most."""
     bounded_batches(docs)
-    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_or_empty("text").cast("binary").alias("text"))
+    return docs.coalesce(docs.sparkSession.sparkContext.defaultParallelism).select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_or_empty("text").cast("binary").alias("text"))
 
 
 def sketch(docs: DataFrame, longest: int = LONGEST, least: int = LEAST_COUNT) -> tuple[int, list]:
-    """The bits of a row's width and the merged sketch's (slice, compressed cells)."""
+    """The bits of a row's width, and (slice, compressed bits) of the merged sketch: which cells reach ``least``."""
     if not 1 < least <= 255:
         raise ValueError("least_count has to lie between 2 and 255, as cells are bytes")
     if not 1 < longest <= LONGEST:
@@ -214,8 +217,8 @@ def sketch(docs: DataFrame, longest: int = LONGEST, least: int = LEAST_COUNT) ->
     wanted = max(size * longest / 6 / (0.3 * least), 1)
     bits = int(np.clip(np.ceil(np.log2(wanted)), np.log2(WIDTHS[0]), np.log2(WIDTHS[1])))
     slices = written(_inputs(docs).mapInArrow(_sketching(bits, longest, least), _SLICES), "sketches")
-    near = slices.repartition("slice", "task").mapInArrow(_merging(least), _SLICES)
-    merged = near.repartition("slice").mapInArrow(_merging(least), _SLICES).select("slice", "cells").collect()
+    near = slices.repartition("slice", "task").mapInArrow(_merging(least, False), _SLICES)
+    merged = near.repartition("slice").mapInArrow(_merging(least, True), _SLICES).select("slice", "cells").collect()
     drop_written(slices)
     return bits, [(r["slice"], bytes(r["cells"])) for r in merged]
 
@@ -264,14 +267,13 @@ class _Counts:
         self.__init__()
 
 
-def _counting(bits: int, shared, longest: int, least: int):
+def _counting(bits: int, shared, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, langs, counts, words = np.zeros(2 << bits, np.uint8), {}, _Counts(), np.zeros(0, np.int64)
+        often, langs, counts, words = np.zeros(2 << bits >> 3, np.uint8), {}, _Counts(), np.zeros(0, np.int64)
         for number, cells in shared.value:
             part = np.frombuffer(zlib.decompress(cells), np.uint8)
-            rows[number * len(part) : (number + 1) * len(part)] = part
-        often = (rows >= least).reshape(2, -1)
-        del rows
+            often[number * len(part) : (number + 1) * len(part)] = part
+        often = often.reshape(2, -1)
         for batch in batches:
             for block in blocks_of(batch, langs):
                 words = np.concatenate([words, np.zeros(len(langs) - len(words), np.int64)]) + np.bincount(block.lang[block.new], minlength=len(langs))
@@ -288,10 +290,10 @@ def _counting(bits: int, shared, longest: int, least: int):
                     own = np.zeros(m, bool)
                     if len(at):
                         h = _runs_at(first, at, n, 0, lang)
-                        at_ok = often[0][_cells(h, 0, bits)]
-                        at, h = at[at_ok], h[at_ok]
-                        at_ok = often[1][_cells(h, 1, bits)]
-                        at, h = at[at_ok], h[at_ok]
+                        for k in range(2):
+                            cell = _cells(h, k, bits)
+                            reach = (often[k][cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+                            at, h = at[reach], h[reach]
                         own[at] = True
                         new = block.new[at + n - 1]
                         at, h = at[new], h[new]
@@ -321,7 +323,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     """(lang, phrase, f): all runs of up to ``longest`` words with at least ``least`` occurrences, exactly; an empty phrase has all words of a language."""
     bits, merged = sketch(docs, longest, least)
     shared = docs.sparkSession.sparkContext.broadcast(merged)
-    kept = _inputs(docs).mapInArrow(_counting(bits, shared, longest, least), "lang string, phrase string, f long")
+    kept = _inputs(docs).mapInArrow(_counting(bits, shared, longest), "lang string, phrase string, f long")
     return kept.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("phrase") == ""))
 
 
