@@ -1,88 +1,114 @@
 """Polygons of prefabs: areas by walking along map points, roads as quads between them.
 
 Shapes depend on the prefab alone, of which there are few, so they are made once for each definition; items then join
-their definition's shapes and turn them into place by expressions.
+their definition's shapes and turn them into place by expressions. Walks and lane counts are folds over arrays.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolyte.functions.geometry import LANE, placement_angle, rotate
 
-SHAPES = "path string, look_no int, z_index int, color string, points array<struct<x:double,z:double>>"
 _COLORS = ((2, "light"), (4, "dark"), (8, "green"))
+#: Bits of a word of a set of points.
+_BITS = 32
 
 
-def walk(points: list, start: int) -> list[int]:
-    """The vertices met by always going to the first neighbour not yet met; the start isn't met at first."""
-    met, at = [], start
-    while True:
-        following = next((n for n in points[at]["neighbours"] if n not in met), None)
-        if following is None:
-            return met
-        met.append(following)
-        at = following
+def _bit(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n % _BITS)
 
 
-def _lanes(index: int, point, nodes: list) -> int:
+def walk(points: Column, start: Column) -> Column:
+    """The vertices met by always going to the first neighbour not yet met; the start isn't met at first.
+
+    A fold with as many steps as there are points, over the vertices met, as a list and as a bitmap, and the current one,
+    which is null when there is nowhere to go.
+    """
+    none = F.array_repeat(F.lit(0).cast("long"), F.ceil(F.size(points) / _BITS).cast("int"))
+    state = lambda met, bits, at: F.struct(met.alias("met"), bits.alias("bits"), at.alias("at"))
+
+    def step(acc: Column, _: Column) -> Column:
+        new = lambda n: F.get(acc["bits"], F.floor(n / _BITS).cast("int")).bitwiseAND(_bit(n)) == 0
+        following = F.get(F.filter(F.get(points, acc["at"])["neighbours"], new), F.lit(0))
+        # Bound to a name by a list of one, as an expression would be evaluated wherever it stands.
+        moved = F.transform(
+            F.array(following),
+            lambda n: F.when(n.isNull(), state(acc["met"], acc["bits"], n)).otherwise(
+                state(F.concat(acc["met"], F.array(n)), F.transform(acc["bits"], lambda w, k: F.when(k == F.floor(n / _BITS), w.bitwiseOR(_bit(n))).otherwise(w)), n)
+            ),
+        )
+        return F.when(acc["at"].isNull(), acc).otherwise(F.get(moved, F.lit(0)))
+
+    begin = state(F.slice(F.array(F.lit(0)), 1, 0), none, start)
+    return F.aggregate(F.sequence(F.lit(1), F.size(points)), begin, step, lambda acc: acc["met"])
+
+
+def _lanes(index: Column, point: Column, nodes: Column) -> Column:
     """-2 stands for the control node's count, where the point has one."""
-    if point["lane_count"] == -2 and index < len(nodes) and point["control_node"] != -1:
-        return nodes[point["control_node"]]["lane_count"]
-    return point["lane_count"]
+    control = (point["lane_count"] == -2) & (index < F.size(nodes)) & (point["control_node"] != -1)
+    return F.when(control, F.get(nodes, point["control_node"])["lane_count"]).otherwise(point["lane_count"])
+
+
+def _vertex(x: Column, z: Column) -> Column:
+    return F.struct(x.cast("double").alias("x"), z.cast("double").alias("z"))
+
+
+def _look(z: Column, color: Column, points: Column) -> Column:
+    return F.struct(z.cast("int").alias("z_index"), color.alias("color"), points.alias("points"))
 
 
-def _quad(a, b, lanes_a: int, lanes_b: int) -> list[tuple[float, float]]:
-    yaw = math.atan2(b["z"] - a["z"], b["x"] - a["x"])
+def _quad(a: Column, b: Column, lanes_a: Column, lanes_b: Column) -> Column:
+    wide = lambda p: (p["x"].cast("double"), p["z"].cast("double"))
+    (ax, az), (bx, bz) = wide(a), wide(b)
+    yaw = F.atan2(bz - az, bx - ax)
 
-    def corner(p, lanes: int, offset: int, turn: float) -> tuple[float, float]:
+    def corner(x: Column, z: Column, lanes: Column, offset: Column, turn: float) -> Column:
         half = (LANE * lanes + offset) / 2
-        return p["x"] + half * math.cos(yaw + turn), p["z"] + half * math.sin(yaw + turn)
+        return _vertex(x + half * F.cos(yaw + turn), z + half * F.sin(yaw + turn))
 
     left, right = math.pi / 2, -math.pi / 2
-    return [corner(a, lanes_a, a["lane_offset"], left), corner(b, lanes_b, b["lane_offset"], left), corner(b, lanes_b, a["lane_offset"], right), corner(a, lanes_a, a["lane_offset"], right)]
-
-
-def prefab_looks(nodes: list, points: list) -> list[tuple[int, str, list[tuple[float, float]]]]:
-    """(z, colour, vertices) of a prefab's shapes, in its own coordinates, in order."""
-    looks = []
-    for i, point in enumerate(points):
-        if point["lane_count"] == -1:
-            met = walk(points, i)
-            if len(met) >= 2:
-                flags = points[met[0]]["color_flags"]
-                color = next((name for bit, name in _COLORS if flags & bit), "light")
-                looks.append((3 if flags & 1 else 2, color, [(points[n]["x"], points[n]["z"]) for n in met]))
-            continue
-        own = _lanes(i, point, nodes)
-        for n in point["neighbours"]:
-            other = points[n]
-            if n <= i or (point["hidden"] or other["hidden"]) and len(nodes) + 1 < len(points):
-                continue
-            theirs = _lanes(n, other, nodes)
-            # What one end lacks comes from the other; the own count holds for the neighbours after.
-            own = theirs if own == -2 else own
-            own = 1 if own == -2 else own
-            looks.append((4, "road", _quad(point, other, own, own if theirs == -2 else theirs)))
-    return looks
+    return F.array(corner(ax, az, lanes_a, a["lane_offset"], left), corner(bx, bz, lanes_b, b["lane_offset"], left), corner(bx, bz, lanes_b, a["lane_offset"], right), corner(ax, az, lanes_a, a["lane_offset"], right))
 
 
-def shapes(prefabs: DataFrame) -> DataFrame:
-    """A row for each shape of each prefab definition."""
+def _area(points: Column, met: Column) -> Column:
+    """An array of the area's look, empty if fewer than two vertices were met."""
+    flags = F.get(points, F.get(met, F.lit(0)))["color_flags"]
+    color = F
+    for bit, name in _COLORS:
+        color = color.when(flags.bitwiseAND(F.lit(bit)) != 0, name)
+    at = F.transform(met, lambda n: _vertex(F.get(points, n)["x"], F.get(points, n)["z"]))
+    one = F.array(_look(F.when(flags.bitwiseAND(F.lit(1)) != 0, 3).otherwise(2), color.otherwise("light"), at))
+    return F.when(F.size(met) >= 2, one).otherwise(F.slice(one, 1, 0))
+
+
+def _roads(nodes: Column, points: Column, point: Column, i: Column) -> Column:
+    """The looks of the roads to a point's later neighbours, by a fold over them: what one end's lane count lacks comes from the other, and the own count holds for the neighbours after."""
+    crowded = F.size(nodes) + 1 < F.size(points)
+    none = F.slice(F.array(_look(F.lit(4), F.lit("road"), F.array(_vertex(F.lit(0.0), F.lit(0.0))))), 1, 0)
+    state = lambda own, looks: F.struct(own.cast("int").alias("own"), looks.alias("looks"))
 
-    def run(frames):
-        for frame in frames:
-            rows = []
-            for path, nodes, points in zip(frame["path"], frame["nodes"], frame["map_points"]):
-                for k, (z, color, vertices) in enumerate(prefab_looks(list(nodes), list(points))):
-                    rows.append((path, k, z, color, [{"x": x, "z": y} for x, y in vertices]))
-            yield pd.DataFrame(rows, columns=["path", "look_no", "z_index", "color", "points"])
+    def step(acc: Column, n: Column) -> Column:
+        other = F.get(points, n)
+        theirs = _lanes(n, other, nodes)
+        own = F.when(acc["own"] != -2, acc["own"]).when(theirs != -2, theirs).otherwise(1)
+        look = _look(F.lit(4), F.lit("road"), _quad(point, other, own, F.when(theirs == -2, own).otherwise(theirs)))
+        skipped = (n <= i) | ((point["hidden"] | other["hidden"]) & crowded)
+        return F.when(skipped, acc).otherwise(state(own, F.concat(acc["looks"], F.array(look))))
 
-    return prefabs.select("path", "nodes", "map_points").mapInPandas(run, SHAPES)
+    return F.aggregate(point["neighbours"], state(_lanes(i, point, nodes), none), step, lambda acc: acc["looks"])
+
+
+def shapes(prefabs: DataFrame) -> DataFrame:
+    """(path, look_no, z_index, color, points): a row for each shape of each prefab definition, in its own coordinates."""
+    nodes, points = F.col("nodes"), F.col("map_points")
+    # Walks are made in a column of their own, so that each is walked once.
+    walked = prefabs.select("path", "nodes", "map_points", F.transform(points, lambda p, i: F.when(p["lane_count"] == -1, walk(points, i))).alias("walks"))
+    looks = F.flatten(F.transform(points, lambda p, i: F.when(p["lane_count"] == -1, _area(points, F.get("walks", i))).otherwise(_roads(nodes, points, p, i))))
+    return walked.select("path", F.posexplode(looks).alias("look_no", "look")).select("path", "look_no", "look.*")
 
 
 def framed(items: DataFrame, prefabs: DataFrame, nodes: DataFrame) -> DataFrame:

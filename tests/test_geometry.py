@@ -8,24 +8,30 @@ from pyspark.sql import functions as F
 from cartolyte.functions import geometry
 from cartolyte.operators import polygons
 from cartolyte.plans import exports
+from cartolyte.schemas import PREFABS
 
 
 def point(x, z, near, lanes=-1, **more):
-    return {"x": x, "z": z, "neighbours": near, "lane_count": lanes, "lane_offset": 0, "hidden": False, "color_flags": 0, "control_node": -1} | more
+    return {"x": float(x), "z": float(z), "neighbours": near, "lane_count": lanes, "lane_offset": 0, "hidden": False, "color_flags": 0, "control_node": -1} | more
 
 
-def test_walk_and_areas():
+def looks_of(spark, nodes, points):
+    nodes = [{"x": 0.0, "z": 0.0, "rot_x": 1.0, "rot_z": 0.0} | n for n in nodes]
+    rows = polygons.shapes(spark.createDataFrame([("p", True, nodes, [], points, [])], PREFABS)).orderBy("look_no").collect()
+    return [(r["z_index"], r["color"], [tuple(p) for p in r["points"]]) for r in rows]
+
+
+def test_walk_and_areas(spark):
     square = [point(0, 0, [1, 3], color_flags=4), point(1, 0, [2, 0], color_flags=5), point(1, 1, [3, 1]), point(0, 1, [0, 2])]
-    assert polygons.walk(square, 0) == [1, 2, 3, 0]
-    looks = polygons.prefab_looks([], square)
-    assert len(looks) == 4 and looks[0][:2] == (3, "dark") and looks[0][2][0] == (1, 0)
-    assert polygons.prefab_looks([], [point(0, 0, [1]), point(1, 0, [])]) == []
+    looks = looks_of(spark, [], square)
+    assert len(looks) == 4 and looks[0] == (3, "dark", [(1, 0), (1, 1), (0, 1), (0, 0)])
+    assert looks_of(spark, [], [point(0, 0, [1]), point(1, 0, [])]) == []
 
 
-def test_roads_take_missing_lane_counts_from_the_other_end():
+def test_roads_take_missing_lane_counts_from_the_other_end(spark):
     nodes = [{"lane_count": 3}]
     road = [point(0, 0, [1], -2, control_node=0), point(10, 0, [0, 2], -2), point(20, 0, [1], -2)]
-    looks = polygons.prefab_looks(nodes, road)
+    looks = looks_of(spark, nodes, road)
     assert [z for z, _, _ in looks] == [4, 4]
     assert looks[0][2][0] == pytest.approx((0, 6.75)) and looks[0][2][1] == pytest.approx((10, 6.75))
     assert looks[1][2][0] == pytest.approx((10, 2.25))
