@@ -7,13 +7,13 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
-from cartolyte.plans import binaries, catalogue, ordered
+from cartolyte.plans import binaries, catalogue, ordered, trees
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-QUERIES = catalogue.QUERIES | binaries.QUERIES | ordered.QUERIES
-ORACLE_SQL = catalogue.ORACLE_SQL | binaries.ORACLE_SQL | ordered.ORACLE_SQL
+QUERIES = catalogue.QUERIES | binaries.QUERIES | ordered.QUERIES | trees.QUERIES
+ORACLE_SQL = catalogue.ORACLE_SQL | binaries.ORACLE_SQL | ordered.ORACLE_SQL | trees.ORACLE_SQL
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
