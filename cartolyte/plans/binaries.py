@@ -310,7 +310,7 @@ def _hashed_archive(files: dict[str, Column]) -> Column:
     return F.concat(head, *rows, *(data for data, _, _ in blobs.values()))
 
 
-def _zip_archive(path: Column, text: Column) -> Column:
+def zip_archive(path: Column, text: Column) -> Column:
     """A ZIP archive of one stored file."""
     name, data = F.encode(path, "UTF-8"), F.encode(text, "UTF-8")
     about = F.concat(_zeros(8), _int(F.crc32(data), 4), _int(F.length(data), 4), _int(F.length(data), 4), _int(F.length(name), 2), _zeros(2))
@@ -329,7 +329,7 @@ def q59(spark, d):
     """A base of a hashed archive, and a ZIP for each nation in the layer above; one of these replaces a base file."""
     n, key = _table(spark, d, "nation"), F.col("n_nationkey")
     base = spark.range(1).select(*_file(F.lit("base.scs"), _hashed_archive({"def/a.sii": F.lit("base"), "def/world/b.sii": F.lit("world")})))
-    mods = n.select(*_file(F.lit("mods/mod.scs"), _zip_archive(F.when(key == 24, "def/a.sii").otherwise(F.concat(F.lit("only/"), key, F.lit(".sii"))), F.concat(F.lit("mod of "), "n_name"))))
+    mods = n.select(*_file(F.lit("mods/mod.scs"), zip_archive(F.when(key == 24, "def/a.sii").otherwise(F.concat(F.lit("only/"), key, F.lit(".sii"))), F.concat(F.lit("mod of "), "n_name"))))
     files = tables.layered(tables.unpacked(base.unionByName(mods), {"base.scs": 1, "mod.scs": 2}))
     return files.select("path", F.col("archive_seq").cast("long").alias("archive_seq"), F.decode("content", "UTF-8").alias("text"))
 

@@ -1,6 +1,6 @@
-"""Exports: cities, countries, overlays, bus stops and road points as JSON rows, overlay images, and the tile map's description.
+"""Exports: cities, countries, overlays, bus stops and road points as JSON arrays, overlay images, and the tile map's description.
 
-Large outputs go through Spark's JSON writer; only the one-row tile description is written by the driver.
+Outputs go through sinks with commit; only the one-row tile description is written by the driver.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from cartolyte.functions import geometry, strings
 from cartolyte.functions.tokens import name_of, token, token_of
 from cartolyte.operators import lookup, polygons, precedence, runs
 from cartolyte.operators.spatial import bounds, grid_join
+from cartolyte.sources import sinks
 
 #: Spawn point types that are exported: (icon, label) by code (fixed values).
 SPAWNS = {
@@ -187,17 +188,13 @@ def overlay_pngs(bitmaps: DataFrame) -> DataFrame:
 
 
 def write_pngs(images: DataFrame, folder: str) -> None:
-    """Each image as a file of a folder that all tasks can write to."""
-    def write(rows):
-        for row in rows:
-            Path(folder, f"{row['name']}.png").write_bytes(row["png"])
-
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    images.foreachPartition(write)
+    """Each image as a file of a folder that all tasks can write to, all of them or none."""
+    sinks.write_files(images.select(F.concat("name", F.lit(".png")).alias("name"), F.col("png").alias("content")), folder)
 
 
 def write_rows(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
+    """The rows as one JSON array, by place and, where they have one, name."""
+    sinks.write_json_array(rows, path, [c for c in ("X", "Y", "Name", "Type") if c in rows.columns])
 
 
 def tile_map_rows(points: DataFrame, min_zoom: int, max_zoom: int) -> DataFrame:
@@ -218,10 +215,11 @@ def tile_map_info(points: DataFrame, min_zoom: int, max_zoom: int, path: str | N
 
 
 def write_exports(flags: int, folder: str, tables: dict[str, DataFrame]) -> None:
-    """What the flags ask for, under a folder: Cities, Countries, Overlays, BusStop as folders of JSON rows, and Overlays as images.
+    """What the flags ask for, under a folder: Cities, Countries, Overlays, BusStop as JSON arrays, and Overlays as images.
 
     ``tables`` has items, nodes, cities, countries (both with localized_names), prefab_definitions, prefabs and bitmaps.
     """
+    Path(folder).mkdir(parents=True, exist_ok=True)
     t, areas = tables, city_areas(tables["items"], tables["cities"])
     named = wants(flags, "city_names")
     if wants(flags, "cities"):

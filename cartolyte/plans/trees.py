@@ -1,4 +1,4 @@
-"""Queries on trees of files and tiles, each with its DuckDB form."""
+"""Queries on trees of files and tiles and on archives as files, each with its DuckDB form."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolyte.operators import lookup, pyramid
+from cartolyte.plans import binaries
 from cartolyte.plans.catalogue import _PTS, _RECTS, _points, _rects, _table, query_into
-from cartolyte.sources import trees
+from cartolyte.sources import archives, sinks, trees
 from cartolyte.sources.shared import new_path
 
 QUERIES: dict = {}
@@ -89,3 +90,20 @@ def q71(spark: SparkSession, d: str) -> DataFrame:
     rows = pyramid.write_pyramid(lines.unionByName(areas), range(5), -4000.0, 8000.0, 100.0, new_path(spark, "pyramid"))
     tx, ty = pyramid.tile_of(F.col("key"))
     return rows.groupBy("zoom", tx.alias("tx"), ty.alias("ty"), (F.col("id") < 0).alias("area")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("id") < 0, -1 - F.col("id")).otherwise(F.col("id"))).alias("ids"))
+
+
+@_query(
+    "q72_archive_scan",
+    """WITH f AS (SELECT 'only/' || s_nationkey || '.sii' AS path, CASE WHEN s_suppkey % 7 = 0 THEN 2 ELSE 0 END AS archive_seq, 'z' || s_suppkey || '.scs' AS archive, 'of ' || s_suppkey AS text FROM supplier WHERE s_nationkey < 20)
+       SELECT path, archive_seq::INT AS archive_seq, text FROM f QUALIFY row_number() OVER (PARTITION BY path ORDER BY archive_seq DESC, archive DESC) = 1""",
+)
+def q72(spark: SparkSession, d: str) -> DataFrame:
+    """Archives written as files of the shared folder, one for each supplier, then planned by their indices and read by ranges: the winner of each path that the condition lets through."""
+    s, folder = _table(spark, d, "supplier"), new_path(spark, "archives")
+    path = F.concat(F.lit("only/"), "s_nationkey", F.lit(".sii"))
+    zipped = binaries.zip_archive(path, F.concat(F.lit("of "), "s_suppkey"))
+    sinks.write_files(s.select(F.concat(F.lit("z"), "s_suppkey", F.lit(".scs")).alias("name"), F.unhex(zipped).alias("content")), folder)
+    upper = {f"z{r['s_suppkey']}.scs": 2 for r in s.where("s_suppkey % 7 = 0").select("s_suppkey").toLocalIterator()}
+    wanted = [f"only/{k}.sii" for k in range(20)]
+    found = archives.layered_archives(spark, folder, upper, lambda p: p.isin(*wanted))
+    return found.select("path", "archive_seq", F.decode("content", "UTF-8").alias("text"))

@@ -12,5 +12,5 @@ PREFABS = (
     "map_points array<struct<x:float,z:float,lane_count:int,lane_offset:int,hidden:boolean,color_flags:int,control_node:int,neighbours:array<int>>>, "
     "trigger_points array<struct<trigger_id:long,action:long,x:float,z:float>>"
 )
-FILES = "archive_seq int, path string, content binary"
+FILES = "archive_seq int, archive string, entry int, path string, content binary"
 TEXTURES = "path string, width int, height int, bgra binary"

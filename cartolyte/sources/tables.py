@@ -7,14 +7,15 @@ spreads those. Decode once, write Parquet, query that.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolyte.functions import strings
 from cartolyte.functions.tokens import token
-from cartolyte.operators import precedence, runs
+from cartolyte.operators import precedence, runs, scans
 from cartolyte.schemas import FILES, ITEMS, NODES, PREFABS, TEXTURES
 from cartolyte.sources import formats
+from cartolyte.sources.shared import written
 
 
 #: Unpacked bytes that a task holds of an archive, about; larger files are alone.
@@ -22,33 +23,41 @@ FRAME_BYTES = 32_000_000
 
 
 def archive_files(spark: SparkSession, folder: str, layers: dict[str, int], pattern: str = "*.scs") -> DataFrame:
-    """(archive_seq, path, content) of all files of the archives in a folder; ``layers`` gives the layer of an archive's name, 0 if absent."""
+    """(archive_seq, archive, entry, path, content) of all files of the archives in a folder; ``layers`` gives the layer of an archive's name, 0 if absent.
+
+    Archives are read whole; :mod:`cartolyte.sources.archives` reads them by ranges, and winners' contents only.
+    """
     return unpacked(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder), layers)
 
 
 def unpacked(archives: DataFrame, layers: dict[str, int]) -> DataFrame:
     """The same of archives (path, content) that are rows already."""
+    columns = [c.split()[0] for c in FILES.split(", ")]
 
     def run(frames):
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"]):
                 seq, rows, held = layers.get(path.rsplit("/", 1)[-1], 0), [], 0
-                for entry in formats.archive_entries(content):
-                    rows.append((seq, *entry))
+                for i, entry in enumerate(formats.archive_entries(content)):
+                    rows.append((seq, path, i, *entry))
                     held += len(entry[1])
                     if held >= FRAME_BYTES:
-                        yield pd.DataFrame(rows, columns=["archive_seq", "path", "content"])
+                        yield pd.DataFrame(rows, columns=columns)
                         rows, held = [], 0
                 if rows:
-                    yield pd.DataFrame(rows, columns=["archive_seq", "path", "content"])
+                    yield pd.DataFrame(rows, columns=columns)
 
     return archives.select("path", "content").mapInPandas(run, FILES)
 
 
 def layered(files: DataFrame) -> DataFrame:
-    """One row a path: that of the last layer. Layers are settled on paths alone; contents move once, to their winner."""
-    last = files.groupBy("path").agg(F.max("archive_seq").alias("archive_seq"))
-    return files.join(last, ["path", "archive_seq"]).dropDuplicates(["path"]).select("archive_seq", "path", "content")
+    """One row a path: that of the last layer, in a layer that of the last archive by name, in an archive the last entry.
+
+    Files are written once, as both the choice of winners, on paths alone, and the move of contents to their winner read them.
+    """
+    files, place = written(files, "files"), ["archive_seq", "archive", "entry"]
+    last = files.groupBy("path").agg(F.max(F.struct(*place)).alias("_last")).select("path", "_last.*")
+    return files.join(last, ["path", *place], "left_semi").dropDuplicates(["path", *place]).select("archive_seq", "path", "content")
 
 
 def map_sectors(files: DataFrame) -> DataFrame:
@@ -60,9 +69,8 @@ def map_sectors(files: DataFrame) -> DataFrame:
 
 def _in_order(files: DataFrame) -> DataFrame:
     """Files with ``file_ord``, their rank by path: the high bits of the load order."""
-    # One row a file: a table of names, small enough for one task.
-    ranked = files.select("path").distinct().select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("file_ord"))
-    return files.join(ranked, "path")
+    ranked = scans.total_places(files.select("path").distinct(), ["path"], "file_ord")
+    return files.join(ranked.withColumn("file_ord", F.col("file_ord") - 1), "path")
 
 
 #: Token of ``parking_ico``, which overlays of the parking kind have if they name none (fixed value).

@@ -91,7 +91,7 @@ def test_from_archive_to_exports(spark, files, tmp_path):
     looks = definitions.road_looks(files).collect()
     assert [(r["token"], r["offset"], r["lanes_left"], r["lanes_right"]) for r in looks] == [(code("look1"), 1.5, ["a"], ["b", "c"])]
     exports.write_exports(255, str(tmp_path / "out"), t)
-    read = lambda name: [json.loads(line) for p in sorted((tmp_path / f"out/{name}.json").glob("part-*")) for line in p.read_text().splitlines()]
+    read = lambda name: json.loads((tmp_path / f"out/{name}.json").read_text())
     assert read("Cities") == [{"Name": "Alpha", "LocalizationToken": "alpha", "Country": "beta", "X": 0.0, "Y": 0.0, "CountryId": 3, "LocalizedNames": {"en_us": "Alpha EN"}}]
     assert read("Countries") == [{"CountryId": 3, "Name": "Beta", "CountryCode": "B", "X": 1.5, "Y": -3.0, "LocalizedNames": {"en_us": "Beta EN"}}]
     city = {"Name": "Alpha EN", "InGameID": "alpha", "Country": "beta"}
