@@ -57,14 +57,16 @@ def road_points(start: Column, end: Column, n: int = ROAD_POINTS) -> Column:
     """``n`` points (x, z) of a road as an array, from nodes (x, z, rotation): the tangents are the chord's length along each node's heading."""
     chord = length(start["x"] - end["x"], start["z"] - end["z"])
     heading = lambda node: node["rotation"] - math.pi / 2
+    # A list of one binds what all points of a road share, so that it is computed once a road.
+    shared = F.array(F.struct(*((f(heading(node)) * chord).alias(f"{name}{k}") for k, node in enumerate((start, end)) for name, f in (("x", F.cos), ("z", F.sin)))))
 
-    def at(i: Column) -> Column:
+    def at(i: Column, t: Column) -> Column:
         s = i / F.lit(n - 1.0)
-        x = hermite(s, start["x"], end["x"], F.cos(heading(start)) * chord, F.cos(heading(end)) * chord)
-        z = hermite(s, start["z"], end["z"], F.sin(heading(start)) * chord, F.sin(heading(end)) * chord)
+        x = hermite(s, start["x"], end["x"], t["x0"], t["x1"])
+        z = hermite(s, start["z"], end["z"], t["z0"], t["z1"])
         return F.struct(x.alias("x"), z.alias("z"))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)
+    return F.flatten(F.transform(shared, lambda t: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: at(i, t))))
 
 
 def label_position(node: Column, x: Column, z: Column, x_offsets: Column, y_offsets: Column, zoom: int, scale: float) -> tuple[Column, Column]:
