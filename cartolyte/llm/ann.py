@@ -3,13 +3,16 @@
 Copies. The index holds each distinct vector once, as a node, with the k + 1 smallest ids that have it. What the search
 finds is expanded from these, so of equal vectors the smallest ids are always the ones that count.
 
-Index. Nodes carry their vector centred, scaled and rounded to half precision, which is what the graph and the search
-measure by; only the last ranking reads the vectors as they are. Every node starts with neighbours from ``TREES`` orders
-of the nodes by random hyperplane codes, each dealt out by range and cut into cells of ``CELL`` nodes. A round of
+Index. Nodes carry their vector as it is; the graph and the search measure by Euclidean distances in double precision on
+it, whatever the scales of the vectors. Every node starts with neighbours from ``TREES`` orders of the nodes by codes, the
+sides of ``PLANES`` planes halfway between two random vectors, so that regions are cut where the vectors are, however wide
+or narrow they spread. The orders are dealt out by range and cut into cells of ``CELL`` nodes. A round of
 NN-descent then joins each node's list with those of its neighbours: the members of a neighbourhood, the node's
 ``DEGREE`` neighbours and ``REVERSE`` of the nodes that have it as one, are compared with each other, and a member takes
-what is nearer than the last of its list. Pairs that have met before, both old in the list, aren't compared again. The
-bound on reverse members leaves out proposals of an approximate method, not rows: they are members elsewhere.
+what is nearer than the last of its list. Pairs that have met before, both old in the list, aren't compared again. Rounds
+follow until one changes no more than ``SETTLED`` of all lists' entries. The
+bound on reverse members leaves out proposals of an approximate method, not rows: they are members elsewhere. Many
+distances of a cell or neighbourhood are got at once from products of vectors around its middle; what these let through is measured again.
 
 Search. Each distinct query vector starts at its own node and holds a beam of its ``BEAM`` nearest so far. A step measures
 all neighbours of the nodes that have just entered the beam; it ends when no beam changes. The query travels to the
@@ -39,11 +42,13 @@ from pyspark.sql import functions as F
 
 from cartolyte.llm.common import bounded_batches, drop_written, written
 
-DEGREE, REVERSE, PROPOSE, TREES, CELL, ROUNDS = 40, 16, 8, 4, 512, 2
+DEGREE, REVERSE, PROPOSE, TREES, CELL = 40, 16, 8, 4, 256
+#: Share of new entries at which the graph has settled.
+SETTLED = 0.1
 BEAM = 144
 #: Hyperplanes of a code; cells are cut from the order of the codes, so more of them than needed do no harm.
 PLANES = 30
-#: Vectors, at most, from which the centre and the hyperplanes' offsets are taken.
+#: Vectors, at most, from which the planes are made.
 SAMPLE = 4000
 #: Neighbourhoods compared at once.
 AT_ONCE = 256
@@ -74,13 +79,12 @@ def _longs(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-def _halves(column: pa.Array) -> np.ndarray:
-    """A matrix from half-precision rows."""
+def _matrix(column: pa.Array, kind: str) -> np.ndarray:
+    """A matrix in double precision from packed vectors."""
     if not len(column):
-        return np.zeros((0, 1), np.float32)
-    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
-    ends = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.float16).reshape(len(column), -1).astype(np.float32)
+        return np.zeros((0, 1))
+    ends = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(len(column), -1).astype(float)
 
 
 def _as_lists(owner: np.ndarray, n: int, values: np.ndarray) -> pa.Array:
@@ -112,14 +116,26 @@ def _found(owner: np.ndarray, other: np.ndarray, d: np.ndarray, k: int) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(nodes), _as_lists(rank, len(nodes), other[at]), _as_lists(rank, len(nodes), d[at])], ["node", "others", "ds"])
 
 
-FOUND = "node long, others array<long>, ds array<float>"
+FOUND = "node long, others array<long>, ds array<double>"
 
 
-def coded(points: DataFrame, normals: np.ndarray, offsets: np.ndarray) -> DataFrame:
-    """(tree, code, node, x): on which sides of each tree's hyperplanes the points lie; ``normals`` are [tree, plane, dimension]."""
+def planes(sample: np.ndarray, trees: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """([tree, plane, dimension], [tree, plane]): unit normals and offsets of planes halfway between two vectors of the sample."""
+    rng = np.random.default_rng(seed)
+    first = rng.integers(0, len(sample), (trees, PLANES))
+    second = (first + rng.integers(1, max(len(sample), 2), first.shape)) % len(sample)
+    p, q = sample[first], sample[second]
+    gap = p - q
+    length = np.sqrt((gap * gap).sum(axis=2, keepdims=True))
+    normals = gap / np.where(length > 0, length, 1)
+    return normals, (normals * (p / 2 + q / 2)).sum(axis=2)
+
+
+def coded(points: DataFrame, normals: np.ndarray, offsets: np.ndarray, kind: str) -> DataFrame:
+    """(tree, code, node, x): on which sides of each tree's planes the points lie."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _halves(batch.column("x"))
+            x = _matrix(batch.column("x"), kind)
             for tree in range(len(normals)) if len(x) else ():
                 code = ((x @ normals[tree].T > offsets[tree]) << np.arange(normals.shape[1])[::-1]).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree, np.int32)), pa.array(code.astype(np.int64)), batch.column("node"), batch.column("x")], ["tree", "code", "node", "x"])
@@ -127,16 +143,16 @@ def coded(points: DataFrame, normals: np.ndarray, offsets: np.ndarray) -> DataFr
     return points.select("node", "x").mapInArrow(run, "tree int, code long, node long, x binary")
 
 
-def in_cells(ordered: DataFrame, cell: int, degree: int) -> DataFrame:
+def in_cells(ordered: DataFrame, cell: int, degree: int, kind: str) -> DataFrame:
     """(node, others, ds) from all distances within cells of consecutive rows."""
     def run(batches):
         for batch in batches:
-            nodes, x = _longs(batch.column("node")), _halves(batch.column("x"))
+            nodes, x = _longs(batch.column("node")), _matrix(batch.column("x"), kind)
             for part in np.array_split(np.arange(len(nodes)), max(1, -(-len(nodes) // cell))):
                 n = min(degree, len(part) - 1)
                 if n < 1:
                     continue
-                own = x[part]
+                own = x[part] - np.median(x[part], axis=0)
                 norm = (own * own).sum(axis=1)
                 d = norm[:, None] + norm - 2 * (own @ own.T)
                 np.fill_diagonal(d, np.inf)
@@ -164,16 +180,16 @@ def merged(graph: DataFrame, found: DataFrame, degree: int) -> DataFrame:
             columns = [_as_lists(owner[at], len(batch), c[at]) for c in (other, d, new)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("x"), *columns], ["node", "x", "others", "ds", "new"])
 
-    return held.mapInArrow(run, "node long, x binary, others array<long>, ds array<float>, new array<boolean>")
+    return held.mapInArrow(run, "node long, x binary, others array<long>, ds array<double>, new array<boolean>")
 
 
-def descend(graph: DataFrame, degree: int = DEGREE, reverse: int = REVERSE, propose: int = PROPOSE) -> DataFrame:
+def descend(graph: DataFrame, kind: str, degree: int = DEGREE, reverse: int = REVERSE, propose: int = PROPOSE) -> DataFrame:
     """One round of NN-descent: neighbours of neighbours are compared."""
     forward = graph.select(F.col("node").alias("at"), F.explode(F.arrays_zip("others", "new")).alias("e")).select("at", F.col("e.others").alias("member"), F.col("e.new").alias("new"))
     some = Window.partitionBy("at").orderBy(F.desc("new"), F.xxhash64("member", "at"))
     back = forward.select(F.col("member").alias("at"), F.col("at").alias("member"), "new").withColumn("r", F.row_number().over(some)).where(f"r <= {reverse}").drop("r")
     own = graph.select(F.col("node").alias("at"), F.col("node").alias("member"), F.lit(False).alias("new"))
-    last = F.when(F.size("others") < degree, F.lit(float("inf"))).otherwise(F.element_at("ds", -1)).cast("float")
+    last = F.when(F.size("others") < degree, F.lit(float("inf"))).otherwise(F.element_at("ds", -1))
     points = graph.select(F.col("node").alias("member"), "x", last.alias("last"))
     around = forward.unionByName(back).unionByName(own).join(points.hint("shuffle_merge"), "member")
     lists = around.groupBy("at").agg(F.collect_list(F.struct("member", "x", "last", "new")).alias("members"))
@@ -182,8 +198,8 @@ def descend(graph: DataFrame, degree: int = DEGREE, reverse: int = REVERSE, prop
         for batch in batches:
             sizes, members = _lists(batch.column("members"))
             node, x, last, new = members.flatten()
-            node, x, last, new = _longs(node), _halves(x), last.to_numpy(zero_copy_only=False), new.to_numpy(zero_copy_only=False)
-            first, found = np.cumsum(sizes) - sizes, []
+            node, x, last, new = _longs(node), _matrix(x, kind), last.to_numpy(zero_copy_only=False), new.to_numpy(zero_copy_only=False)
+            first, found, middle = np.cumsum(sizes) - sizes, [], _longs(batch.column("at"))
             for a in range(0, len(sizes), AT_ONCE):
                 n = sizes[a : a + AT_ONCE, None]
                 width = int(n.max())
@@ -191,13 +207,16 @@ def descend(graph: DataFrame, degree: int = DEGREE, reverse: int = REVERSE, prop
                     continue
                 inside = np.arange(width) < n
                 at = np.where(inside, first[a : a + AT_ONCE, None] + np.arange(width), 0)
-                own, fresh, who = x[at], new[at] & inside, node[at]
+                fresh, who = new[at] & inside, node[at]
+                # Around the node whose neighbourhood it is, which is a member too.
+                own = x[at]
+                own -= own[np.arange(len(n)), (who == middle[a : a + AT_ONCE, None]).argmax(axis=1)][:, None, :]
                 norm = np.where(inside, (own * own).sum(axis=2), np.inf)
                 d = norm[:, :, None] + norm[:, None, :] - 2 * (own @ own.transpose(0, 2, 1))
                 d[(who[:, :, None] == who[:, None, :]) | ~(fresh[:, :, None] | fresh[:, None, :])] = np.inf
                 near = np.argpartition(d, min(propose, width - 1) - 1, axis=2)[:, :, :propose]
                 # Norms round: measure again what may be nearer than the last.
-                maybe = np.take_along_axis(d, near, 2) <= (last[at] * 1.001 + 1e-3 * np.where(inside, norm, 0))[:, :, None]
+                maybe = np.take_along_axis(d, near, 2) <= (last[at] * 1.001 + 1e-9 * np.where(inside, norm, 0))[:, :, None]
                 maybe &= np.isfinite(np.take_along_axis(d, near, 2))
                 row, i, j = np.nonzero(maybe)
                 p, q = at[row, i], at[row, near[row, i, j]]
@@ -210,52 +229,51 @@ def descend(graph: DataFrame, degree: int = DEGREE, reverse: int = REVERSE, prop
     return merged(graph, lists.mapInArrow(run, FOUND), degree)
 
 
-def _packed(index: DataFrame, centre: np.ndarray, scale: float) -> DataFrame:
-    """(node, x): the vectors around the centre in half precision."""
+def _kind(index: DataFrame) -> str:
+    """How a vector's numbers are packed: as they are, if they are of single precision."""
+    return "<f4" if index.schema["v"].dataType.elementType.typeName() == "float" else "<f8"
+
+
+def _packed(index: DataFrame, kind: str) -> DataFrame:
+    """(node, x): the vectors as bytes."""
     def run(batches):
         for batch in batches:
-            v = _longs(batch.column("v").flatten()).astype(float).reshape(len(batch), -1)
-            x = np.ascontiguousarray(((v - centre) / scale).astype("<f2"))
+            x = np.ascontiguousarray(_longs(batch.column("v").flatten()).astype(kind)).reshape(len(batch), -1)
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in x], pa.binary())], ["node", "x"])
 
     return index.select("node", "v").mapInArrow(run, "node long, x binary")
 
 
-def build_graph(index: DataFrame, degree: int = DEGREE, trees: int = TREES, cell: int = CELL, rounds: int = ROUNDS, seed: int = 11) -> DataFrame:
-    """(node, x, others, ds, new): the neighbour graph of all nodes; ds are squared distances in the scale of x. None without nodes."""
+def build_graph(index: DataFrame, degree: int = DEGREE, trees: int = TREES, cell: int = CELL, settled: float = SETTLED, seed: int = 11) -> DataFrame:
+    """(node, x, others, ds, new): the neighbour graph of all nodes; ds are squared distances. None without nodes."""
     bounded_batches(index)
     sample = [np.asarray(r["v"], float) for r in index.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()]
     if not sample:
         return None
-    sample = np.stack(sample)
-    centre = sample.mean(axis=0)
-    most = index.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
-    scale = (float(most) + float(np.abs(centre).max())) / 128
-    points = written(_packed(index, centre, scale), "points")
-    rng = np.random.default_rng(seed)
-    spread = (sample - centre) / scale
-    # Towards directions in which the vectors vary.
-    normals = rng.standard_normal((trees, PLANES, sample.shape[1])) @ (spread.T @ spread / len(spread)) if len(sample) > 1 else np.ones((trees, PLANES, sample.shape[1]))
-    offsets = np.stack([np.median(spread @ n.T, axis=0) for n in normals])
+    kind = _kind(index)
+    points = written(_packed(index, kind), "points")
+    normals, offsets = planes(np.stack(sample), trees, seed)
     order = ["tree", "code", F.xxhash64("node", "tree")]
-    dealt = coded(points, normals.astype(np.float32), offsets.astype(np.float32)).repartitionByRange(*order).sortWithinPartitions(*order)
-    none = points.select("node", "x", F.array().cast("array<long>").alias("others"), F.array().cast("array<float>").alias("ds"))
-    graph = written(merged(none, in_cells(dealt, cell, degree), degree), "graph")
-    for _ in range(rounds):
-        before, graph = graph, written(descend(graph, degree), "graph")
+    dealt = coded(points, normals, offsets, kind).repartitionByRange(*order).sortWithinPartitions(*order)
+    none = points.select("node", "x", F.array().cast("array<long>").alias("others"), F.array().cast("array<double>").alias("ds"))
+    graph = written(merged(none, in_cells(dealt, cell, degree, kind), degree), "graph")
+    changed, held = 1, 1
+    while changed > settled * held:
+        before, graph = graph, written(descend(graph, kind, degree), "graph")
         drop_written(before)
+        changed, held = graph.agg(F.sum(F.size(F.filter("new", lambda x: x))), F.sum(F.size("others"))).first()
     drop_written(points)
     return graph
 
 
-STATE = "query long, q binary, ids array<long>, ds array<float>, fresh array<long>"
+STATE = "query long, q binary, ids array<long>, ds array<double>, fresh array<long>"
 
 
 def _advanced(beams: DataFrame, met: DataFrame, beam: int) -> DataFrame:
     """The beams with the nodes met: fresh is what those that entered lead to and the beam doesn't hold."""
     empty = F.lit(None)
-    rows = beams.select("query", "q", "ids", "ds", empty.cast("struct<node:bigint,d:float,others:array<bigint>>").alias("m"))
-    rows = rows.unionByName(met.select("query", empty.cast("binary").alias("q"), empty.cast("array<long>").alias("ids"), empty.cast("array<float>").alias("ds"), F.struct("node", "d", "others").alias("m")))
+    rows = beams.select("query", "q", "ids", "ds", empty.cast("struct<node:bigint,d:double,others:array<bigint>>").alias("m"))
+    rows = rows.unionByName(met.select("query", empty.cast("binary").alias("q"), empty.cast("array<long>").alias("ids"), empty.cast("array<double>").alias("ds"), F.struct("node", "d", "others").alias("m")))
     held = rows.groupBy("query").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("q", "ids", "ds")), F.collect_list("m").alias("met"))
 
     def run(batches):
@@ -284,22 +302,22 @@ def _advanced(beams: DataFrame, met: DataFrame, beam: int) -> DataFrame:
     return held.mapInArrow(run, STATE)
 
 
-def search(asked: DataFrame, graph: DataFrame, beam: int = BEAM) -> DataFrame:
+def search(asked: DataFrame, graph: DataFrame, kind: str, beam: int = BEAM) -> DataFrame:
     """(query, node): the beam of each query after a greedy search from its own node; ``asked`` has the nodes as ``query``."""
     def nearer(batches):
         for batch in batches:
-            d = _gaps(_halves(batch.column("q")), _halves(batch.column("x")))
+            d = _gaps(_matrix(batch.column("q"), kind), _matrix(batch.column("x"), kind))
             near = pa.array(d < batch.column("last").to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("node"), pa.array(d), batch.column("others")], ["query", "node", "d", "others"]).filter(near)
 
     start = asked.join(graph.hint("shuffle_merge"), F.col("query") == F.col("node"))
-    held = written(start.select("query", F.col("x").alias("q"), F.array().cast("array<long>").alias("ids"), F.array().cast("array<float>").alias("ds"), F.col("others").alias("fresh")), "beams")
+    held = written(start.select("query", F.col("x").alias("q"), F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("ds"), F.col("others").alias("fresh")), "beams")
     points = graph.select("node", "x", "others")
     # What a beam has dropped can't come back, as a beam's last only gets nearer; so this ends.
     while not held.where("size(fresh) > 0").isEmpty():
-        last = F.when(F.size("ids") < beam, F.lit(float("inf"))).otherwise(F.element_at("ds", -1)).cast("float")
+        last = F.when(F.size("ids") < beam, F.lit(float("inf"))).otherwise(F.element_at("ds", -1))
         pairs = held.select("query", "q", last.alias("last"), F.explode("fresh").alias("node"))
-        met = pairs.join(points.hint("shuffle_merge"), "node").select("query", "q", "last", "node", "x", "others").mapInArrow(nearer, "query long, node long, d float, others array<long>")
+        met = pairs.join(points.hint("shuffle_merge"), "node").select("query", "q", "last", "node", "x", "others").mapInArrow(nearer, "query long, node long, d double, others array<long>")
         before, held = held, written(_advanced(held, met, beam), "beams")
         drop_written(before)
     return held.select("query", F.explode("ids").alias("node"))
@@ -337,4 +355,4 @@ def nearest(rows: DataFrame, is_query, k: int = 10, beam: int = BEAM) -> DataFra
     queries = written(queries, "queries")
     if graph is None:
         return ranked(queries.select(F.col("node").alias("query"), "node"), index, queries, k)
-    return ranked(search(queries.select(F.col("node").alias("query")).distinct(), graph, beam), index, queries, k)
+    return ranked(search(queries.select(F.col("node").alias("query")).distinct(), graph, _kind(index), beam), index, queries, k)
