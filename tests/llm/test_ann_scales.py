@@ -48,7 +48,7 @@ def test_recall(spark, name, kind):
 
 
 def test_rounds_follow_until_the_graph_has_settled(spark, monkeypatch):
-    """From cells of a few vectors the graph comes by NN-descent, round after round."""
+    """From three orders' cells of eight vectors the graph comes by NN-descent, round after round."""
     v = np.random.default_rng(5).standard_normal((2500, 6))
     df = spark.createDataFrame([(i, r) for i, r in enumerate(v.tolist())], "vec_id long, embedding array<float>").repartition(4)
     rounds, descend = [], ann.descend
@@ -59,7 +59,7 @@ def test_rounds_follow_until_the_graph_has_settled(spark, monkeypatch):
 
     monkeypatch.setattr(ann, "descend", counted)
     index = ann.written(ann.distinct_vectors(ann.usable(df), 11), "index")
-    graph = ann.build_graph(index, degree=20, trees=1, cell=16, settled=0.01)
+    graph = ann.build_graph(index, degree=20, trees=3, cell=8, settled=0.01)
     lists = {r["node"]: r["others"] for r in graph.collect()}
     rows = index.select("node", "v").collect()
     x = {r["node"]: np.asarray(r["v"], float) for r in rows}
@@ -70,4 +70,4 @@ def test_rounds_follow_until_the_graph_has_settled(spark, monkeypatch):
         d = ((m - m[i]) ** 2).sum(axis=1)
         d[i] = np.inf
         hit += len({nodes[j] for j in np.argsort(d)[:20]} & set(lists[nodes[i]]))
-    assert len(rounds) >= 3 and hit >= 0.9 * 20 * 100
+    assert len(rounds) >= 3 and hit >= 0.9 * 20 * 100, (len(rounds), hit)
