@@ -1,7 +1,7 @@
 """Main text of web pages by a tree-structured graphical model over DOM nodes.
 
 Each element of a page has a hidden label, content or not. Its own features (tag, class and id words, text length and share
-of the page, link share, punctuation) give node potentials; each parent-child edge has a potential that depends on both labels and on the
+of the page, link share, punctuation, the part of the page that it lies in) give node potentials; each parent-child edge has a potential that depends on both labels and on the
 child's kind of tag. Sum-product messages, upward from the leaves and downward from the root, give each element's
 content marginal exactly, as the graph is a tree. An element's own text is kept if its marginal is 0.5 or more.
 
@@ -61,6 +61,9 @@ class Page(NamedTuple):
     texts: list[tuple[int, int, str]]
 
 
+#: Elements that make parts of a page; what lies in one has it as its part.
+PARTS = frozenset("article main nav aside header footer form".split())
+
 _TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 _BEFORE_ATTRIBUTE = re.compile(r"[\s/]*+")
 _ATTRIBUTE_NAME = re.compile(r"=?[^\s/>=]*+")
@@ -205,10 +208,28 @@ def parse(html: str) -> Page:
     return Page(tree.tags, tree.parents, tree.names, tree.texts)
 
 
+_SCRIPT = re.compile(r"<!--|-->|<(/?)script(?=[\s/>])", re.I)
+
+
 def _behind(scan: _Scanner, tag: str, at: int) -> int:
-    """Where the raw text of an element ends, its end tag included."""
-    shut = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(scan.html, at)
-    return scan.past(">", shut.end()) if shut else scan.end
+    """Where the raw text of an element ends, its end tag included. In a script's comment, scripts nest once."""
+    if tag != "script":
+        shut = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(scan.html, at)
+        return scan.past(">", shut.end()) if shut else scan.end
+    comment = inner = False
+    while m := _SCRIPT.search(scan.html, at):
+        at = m.end()
+        if m[0] == "<!--":
+            comment, at = True, at - 2  # its dashes may end it, too
+        elif m[0] == "-->":
+            comment = inner = False
+        elif not m[1]:
+            inner = comment
+        elif inner:
+            inner = False
+        else:
+            return scan.past(">", at)
+    return scan.end
 
 
 def _bucket(x: float) -> int:
@@ -229,12 +250,24 @@ def features(page: Page) -> list[list[str]]:
         size[p] += size[i]
         linked[p] += size[i] if page.tags[i] == "a" else linked[i]
         stops[p] += stops[i]
-    out, whole = [], max(1, size[0])
+    out, whole, part = [], max(1, size[0]), ["page"] * n
+    # Among the children of an element, the one with the most text outside of links.
+    told, most = [a - b for a, b in zip(size, linked)], {}
+    for i in range(n - 1, 0, -1):
+        if told[i] >= told[most.get(page.parents[i], i)]:
+            most[page.parents[i]] = i
     for i, tag in enumerate(page.tags):
         s = size[i]
+        if i:
+            above = page.parents[i]
+            part[i] = page.tags[above] if page.tags[above] in PARTS else part[above]
         found = ["bias", f"tag={tag}", f"size={_bucket(s)}", f"own={_bucket(own[i])}", f"links={int(4 * linked[i] / s) if s else 5}", f"stops={_bucket(100 * stops[i] / s) if s else 9}"]
         share = int(5 * s / whole)
         found += [f"share={share}", f"tag={tag} {'most' if share > 2 else 'some' if share else 'little'}", *(f"name={w}" for w in page.names[i])]
+        all_links = 2 * linked[i] > s
+        first = "first" if not i or most[page.parents[i]] == i else "other"
+        found += [f"{first} told={int(5 * told[i] / max(1, told[0]))}", f"tag={tag} {first}"]
+        found += [f"tag={tag} in={part[i]}", f"in={part[i]} {'links' if all_links else 'text'}", f"tag={tag} {'links' if all_links else 'text'} {_bucket(s)}"]
         out.append(found)
     return out
 
@@ -293,35 +326,64 @@ def _unary(found: list[list[str]], weights: dict[str, float]) -> list[float]:
     return [sum([get(f, 0.0) for f in fs]) for fs in found]
 
 
-def train(pages: list[tuple[str, list[int]]], epochs: int = 40, rate: float = 0.3, penalty: float = 1e-3) -> Model:
+def forest_messages(parents: np.ndarray, levels: list[np.ndarray], kinds: np.ndarray, unary: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What :func:`messages` gives, for many trees at once: ``levels`` has the nodes by depth, roots first."""
+    up0, up1 = np.zeros(len(unary)), unary.copy()
+    to0, to1 = np.zeros(len(unary)), np.zeros(len(unary))
+    e = edges[kinds]
+    for nodes in reversed(levels[1:]):
+        to0[nodes] = np.logaddexp(e[nodes, 0, 0] + up0[nodes], e[nodes, 0, 1] + up1[nodes])
+        to1[nodes] = np.logaddexp(e[nodes, 1, 0] + up0[nodes], e[nodes, 1, 1] + up1[nodes])
+        np.add.at(up0, parents[nodes], to0[nodes])
+        np.add.at(up1, parents[nodes], to1[nodes])
+    down0, down1, pairs = np.zeros(len(unary)), np.zeros(len(unary)), np.zeros((len(unary), 2, 2))
+    for nodes in levels[1:]:
+        p = parents[nodes]
+        a = np.stack([up0[p] + down0[p] - to0[nodes], up1[p] + down1[p] - to1[nodes]], axis=1)
+        sent = a[:, :, None] + e[nodes]
+        cells = sent + np.stack([up0[nodes], up1[nodes]], axis=1)[:, None, :]
+        weights = np.exp(cells - cells.max(axis=(1, 2), keepdims=True))
+        pairs[nodes] = weights / weights.sum(axis=(1, 2), keepdims=True)
+        both = np.logaddexp(sent[:, 0, :], sent[:, 1, :])
+        both -= both.max(axis=1, keepdims=True)
+        down0[nodes], down1[nodes] = both[:, 0], both[:, 1]
+    return 1 / (1 + np.exp(-np.clip(up1 + down1 - up0 - down0, -700, 700))), pairs
+
+
+def train(pages: list[tuple[str, list[int]]], epochs: int = 250, rate: float = 0.3, penalty: float = 3e-4) -> Model:
     """Fit to pages with the label of each element."""
-    parsed = [(p := parse(html), features(p), [_KINDS.get(t, 0) for t in p.tags], labels) for html, labels in pages]
-    names = sorted({f for _, found, _, _ in parsed for fs in found for f in fs})
-    weights, edges = dict.fromkeys(names, 0.0), np.zeros((len(set(_KINDS.values())) + 1, 2, 2))
-    squares, edge_squares = dict.fromkeys(names, 1e-3), np.full(edges.shape, 1e-3)
+    names: dict[str, int] = {}
+    parents, depths, kinds, labels, ids, sizes = [], [], [], [], [], []
+    for html, page_labels in pages:
+        page, base = parse(html), len(parents)
+        for i, found in enumerate(features(page)):
+            above = page.parents[i]
+            parents.append(above + base if i else -1)
+            depths.append(depths[above + base] + 1 if i else 0)
+            ids += [names.setdefault(f, len(names)) for f in found]
+            sizes.append(len(found))
+        kinds += [_KINDS.get(t, 0) for t in page.tags]
+        labels += page_labels
+    parents, depths, kinds, labels, ids, sizes = (np.array(x) for x in (parents, depths, kinds, labels, ids, sizes))
+    levels = [np.flatnonzero(depths == d) for d in range(depths.max() + 1)]
+    inner, starts = depths > 0, np.cumsum(sizes) - sizes
+    weights, edges = np.zeros(len(names)), np.zeros((len(set(_KINDS.values())) + 1, 2, 2))
+    squares, edge_squares, seen = np.full(len(names), 1e-3), np.full(edges.shape, 1e-3), np.zeros(edges.shape)
+    np.add.at(seen, (kinds[inner], labels[parents[inner]], labels[inner]), 1)
     for _ in range(epochs):
-        slope, edge_slope = dict.fromkeys(names, 0.0), np.zeros(edges.shape)
-        held = edges.tolist()
-        for page, found, kinds, labels in parsed:
-            marginal, pairs = messages(page.parents, kinds, _unary(found, weights), held)
-            for i, fs in enumerate(found):
-                miss = labels[i] - marginal[i]
-                for f in fs:
-                    slope[f] += miss
-                if i:
-                    edge_slope[kinds[i]] -= pairs[i]
-                    edge_slope[kinds[i], labels[page.parents[i]], labels[i]] += 1
-        for f in names:
-            g = slope[f] / len(parsed) - penalty * weights[f]
-            squares[f] += g * g
-            weights[f] += rate * g / math.sqrt(squares[f])
-        g = edge_slope / len(parsed) - penalty * edges
-        edge_squares += g * g
-        edges += rate * g / np.sqrt(edge_squares)
-    return Model(weights, edges.tolist())
-
-
-def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[int]]]:
+        marginal, pairs = forest_messages(parents, levels, kinds, np.add.reduceat(weights[ids], starts), edges)
+        g = np.bincount(ids, np.repeat(labels - marginal, sizes), len(names)) / len(pages) - penalty * weights
+        expected = np.zeros(edges.shape)
+        np.add.at(expected, kinds[inner], pairs[inner])
+        edge_g = (seen - expected) / len(pages) - penalty * edges
+        squares += g * g
+        edge_squares += edge_g * edge_g
+        weights += rate * g / np.sqrt(squares)
+        edges += rate * edge_g / np.sqrt(edge_squares)
+    return Model(dict(zip(names, weights.tolist())), edges.tolist())
+
+
+def labelled_pages(n: int = 480, seed: int = 7) -> list[tuple[str, list[int]]]:
     """Pages of random layouts with a label for each element that :func:`parse` finds."""
     rng = random.Random(seed)
     letters = "etaoinshrdlucmfwypvbgk"
@@ -338,7 +400,11 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[int]]]:
     def links(k: int) -> list:
         return [el("li", 0, el("a", 0, words(1, 3))) for _ in range(k)]
 
+    plain = [False]  # whether this page's blocks have names that tell nothing, or none
+
     def named(tag: str, choices: str) -> dict:
+        if plain[0]:
+            return {"name": words(1, 1)} if rng.random() < 0.4 else {}
         return {"name": rng.choice(choices.split())} if tag == "div" or rng.random() < 0.4 else {}
 
     def boiler(kind: str) -> tuple:
@@ -361,6 +427,8 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[int]]]:
             return el(rng.choice(("div", "div", "section", "aside")), 0, rng.choice((prose(1, 2), el("p", 0, prose(1, 2)), el("a", 0, words(2, 6)))), name=rng.choice("ad ads advert advertisement sponsored promo banner".split()))
         if kind == "notice":
             return el("div", 0, rng.choice((prose(1, 2), el("p", 0, prose(1, 2)))), *([el("button", 0, words(1, 2))] if rng.random() < 0.5 else []), name=rng.choice("cookie notice consent popup alert newsletter gdpr modal".split()))
+        if kind == "hidden":
+            return el("div", 0, rng.choice((prose(1, 3), el("p", 0, prose(1, 4)))), name="hidden")
         if kind == "form":
             return el("form", 0, el("label", 0, words(1, 3)), el("button", 0, words(1, 2)), *([el("p", 0, prose(1, 1))] if rng.random() < 0.5 else []))
         if kind == "share":
@@ -382,32 +450,42 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[int]]]:
             return words(5 * a, 14 * b).upper().replace(" ", "!! ") if style == "shout" else words(5 * a, 14 * b)
 
         short = rng.random() < 0.35
-        inner = [el(rng.choice(("h1", "h1", "h2")), 1, words(2, 10))] if rng.random() < 0.9 else []
+        inner = [el(rng.choice(("h1", "h1", "h2")), 1, words(1, 10))] if rng.random() < 0.9 else []
+        if inner and rng.random() < 0.2:  # a header of the article's own
+            inner = [el("header", 1, *inner, *([el("p", 1, prose(1, 1))] if rng.random() < 0.3 else []))]
+        block = rng.choice(("p",) * 5 + ("div",) * (4 if plain[0] else 1))
         for _ in range(rng.choice((1, 2, 3) if short else (1, 2, 4, 8, 14))):
             k = rng.random()
-            if k < 0.7:
+            if k < 0.66:
                 inline = [styled(1, 1 if short else 7)]
-                if rng.random() < 0.25:
-                    inline.insert(rng.randint(0, 1), el(rng.choice(("b", "i", "em", "strong", "a", "span", "code", "sub", "q")), 1, words(1, 8) + rng.choice(("", "."))))
+                while rng.random() < 0.3:
+                    inline.insert(rng.randint(0, len(inline)), el(rng.choice(("b", "i", "em", "strong", "a", "span", "code", "sub", "q")), 1, words(1, 8) + rng.choice(("", "."))))
                 if rng.random() < 0.05:
                     inline.append(el("math", 1, el("mi", 1, words(1, 1)), "=", el("mi", 1, words(1, 1))))
-                inner.append(el("p", 1, *inline))
-            elif k < 0.78:
+                if rng.random() < 0.07:  # all of it is a link or a span
+                    inline = [el(rng.choice(("a", "span")), 1, prose(1, 1) if rng.random() < 0.7 else words(5, 12))]
+                inner.append(el(block, 1, *inline, **({"name": words(1, 1)} if block == "div" and rng.random() < 0.2 else {})))
+            elif k < 0.74:
                 inner.append(el(rng.choice(("h2", "h3", "h4")), 1, words(1, 7)))
-            elif k < 0.84:
+            elif k < 0.79:
                 inner.append(el("blockquote", 1, el("p", 1, styled(1, 3))))
-            elif k < 0.92:
+            elif k < 0.86:
                 inner.append(el(rng.choice(("ul", "ol")), 1, *[el("li", 1, words(2, 12)) for _ in range(rng.randint(2, 5))]))
-            elif k < 0.93:
+            elif k < 0.88:
                 inner.append(el("figure", 1, el("figcaption", 1, words(2, 12))))
-            elif k < 0.95:
+            elif k < 0.9:
                 inner.append(el("table", 1, *[el("tr", 1, *[el("td", 1, words(1, 4)) for _ in range(3)]) for _ in range(2)]))
             elif k < 0.98:
-                inner.append(boiler(rng.choice(("ad", "share", "aside", "form"))))
+                inner.append(boiler(rng.choice(("ad", "ad", "share", "aside", "form"))))
             else:
                 inner.append(el("pre", 1, words(4, 20)))
-        t = rng.choice(("article", "article", "main", "div", "div", "section"))
-        return el(t, 1, *inner, **named(t, "content article post entry story main body text page"))
+        if rng.random() < 0.06:
+            inner.append(el("footer", 0, el("p", 0, words(1, 4)), el("a", 0, words(1, 2))))
+        if rng.random() < 0.12 and len(inner) > 2:  # sections inside
+            at = rng.randint(1, len(inner) - 1)
+            inner = [*inner[:at], el(rng.choice(("div", "section")), 1, *inner[at:])]
+        t = rng.choice(("div", "div", "section", "article", "main") if plain[0] else ("article", "article", "main", "div", "div", "section"))
+        return el(t, 1, *inner, **named(t, "content article post entry story main body text page main content"))
 
     def build(node, out: list[str], labels: list[int]) -> None:
         if isinstance(node, str):
@@ -415,20 +493,22 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[int]]]:
             return
         tag, label, name, inner = node
         labels.append(label)
-        out.append(f'<{tag} class="{name}">' if name else f"<{tag}>")
+        out.append(f'<{tag} {"id" if len(name) % 2 else "class"}="{name}">' if name else f"<{tag}>")
         for child in inner:
             build(child, out, labels)
         out.append(f"</{tag}>")
 
     pages = []
     for _ in range(n):
-        before = [boiler(k) for k in ("header", "nav", "ad", "notice") if rng.random() < 0.5]
+        plain[0] = rng.random() < 0.3
+        before = [boiler(k) for k in ("header", "nav", "ad", "notice", "aside", "hidden") if rng.random() < (0.12 if k in ("aside", "hidden") else 0.5)]
         after = [boiler(k) for k in ("comments", "aside", "share", "form", "ad", "footer") if rng.random() < 0.5]
         if rng.random() < 0.5:
             rng.shuffle(before)
         middle = [*before, article(), *after]
         if rng.random() < 0.4:
-            middle = [*before, el("div", 1, article(), *after[:2], **({"name": rng.choice("wrapper container page layout row".split())} if rng.random() < 0.7 else {})), *after[2:]]
+            side = [boiler("aside")] if rng.random() < 0.3 else []
+            middle = [*before, el("div", 1, *side, article(), *after[:2], **({"name": words(1, 1) if plain[0] else rng.choice("wrapper container page layout row".split())} if rng.random() < 0.7 else {})), *after[2:]]
         out, labels = [], [1]
         if rng.random() < 0.1:  # a fragment
             for part in middle:
@@ -462,9 +542,9 @@ def extract(html: str, model: Model) -> str:
             out.append(parts)
             parts = []
         last = block
-        parts.append(t)
+        parts.append(resolved(t))  # a reference ends where its piece of text does
     out.append(parts)
-    lines = (" ".join(resolved("".join(p)).split()) for p in out)
+    lines = (" ".join("".join(p).split()) for p in out)
     return "\n".join(x for x in lines if x)
 
 
