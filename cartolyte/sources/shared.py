@@ -25,8 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
 
 
+#: What this process has written to the shared folder and not cleaned up yet.
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/cartolyte-{tag}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/cartolyte-{tag}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete all that this process has written to the shared folder, for a caller that is done with all results; how many tables that were."""
+    conf, gone = spark._jsc.hadoopConfiguration(), 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """Archives read by ranges, layers with ties, and sinks with commit."""
 
 import json
+import os
 import zipfile
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from cartolyte.sources import archives, formats, sinks, tables
+from cartolyte.sources import archives, formats, shared, sinks, tables
 from tests.test_formats import archive
 
 
@@ -135,3 +136,11 @@ def test_files(spark, tmp_path):
         with pytest.raises(PySparkException):
             sinks.write_files(bad, str(tmp_path / "bad"))
     assert [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_written_tables_can_be_cleaned_up(spark):
+    shared.clean_up(spark)
+    rows = shared.written(spark.range(5), "some")
+    again = shared.written(rows, "again")
+    assert again.count() == 5 and shared.clean_up(spark) == 2 and shared.clean_up(spark) == 0
+    assert not any(os.path.exists(archives.local_path(f)) for f in rows.inputFiles())
