@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from cartolyte.sources.shared import new_path
+
 #: White space as every word operator here sees it.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -16,24 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``. Only a single machine may leave it unset, as then one of its own does."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    master = spark.sparkContext.master
-    if master.startswith("local") and not master.startswith("local-cluster"):
-        return "/tmp/checkpoints"
-    raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-
-
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
-    The lineage ends here, so a lost executor costs a re-read of these files, not a rerun of the stages before.
+    The lineage ends here, so a lost executor costs a re-read of these files, not a rerun of the stages before. Tables that
+    nothing drops stay until :func:`cartolyte.sources.shared.clean_up`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cartolyte-{tag}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
