@@ -6,6 +6,8 @@ spreads those. Decode once, write Parquet, query that.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +20,8 @@ from cartolyte.sources import formats
 from cartolyte.sources.shared import written
 
 
-#: Unpacked bytes that a task holds of an archive, about; larger files are alone.
-FRAME_BYTES = 32_000_000
+#: Unpacked bytes and rows that leave a task at once, about; larger files are alone.
+FRAME_BYTES, FRAME_ROWS = 32_000_000, 10_000
 
 
 def archive_files(spark: SparkSession, folder: str, layers: dict[str, int], pattern: str = "*.scs") -> DataFrame:
@@ -30,24 +32,25 @@ def archive_files(spark: SparkSession, folder: str, layers: dict[str, int], patt
     return unpacked(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder), layers)
 
 
-def unpacked(archives: DataFrame, layers: dict[str, int]) -> DataFrame:
-    """The same of archives (path, content) that are rows already."""
-    columns = [c.split()[0] for c in FILES.split(", ")]
-
-    def run(frames):
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"]):
-                seq, rows, held = layers.get(path.rsplit("/", 1)[-1], 0), [], 0
-                for i, entry in enumerate(formats.archive_entries(content)):
-                    rows.append((seq, path, i, *entry))
-                    held += len(entry[1])
-                    if held >= FRAME_BYTES:
-                        yield pd.DataFrame(rows, columns=columns)
-                        rows, held = [], 0
-                if rows:
+def entry_frames(frames: Iterator[pd.DataFrame], layers: dict[str, int]) -> Iterator[pd.DataFrame]:
+    """The files of archives by frames. Small archives share one: a frame for each would cost many times what its files do."""
+    columns, rows, held = [c.split()[0] for c in FILES.split(", ")], [], 0
+    for frame in frames:
+        for path, content in zip(frame["path"], frame["content"]):
+            seq = layers.get(path.rsplit("/", 1)[-1], 0)
+            for i, entry in enumerate(formats.archive_entries(content)):
+                rows.append((seq, path, i, *entry))
+                held += len(entry[1])
+                if held >= FRAME_BYTES or len(rows) >= FRAME_ROWS:
                     yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=columns)
+
 
-    return archives.select("path", "content").mapInPandas(run, FILES)
+def unpacked(archives: DataFrame, layers: dict[str, int]) -> DataFrame:
+    """The same of archives (path, content) that are rows already."""
+    return archives.select("path", "content").mapInPandas(lambda frames: entry_frames(frames, layers), FILES)
 
 
 def layered(files: DataFrame) -> DataFrame:

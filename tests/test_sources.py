@@ -4,6 +4,7 @@ import json
 import os
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -144,3 +145,15 @@ def test_written_tables_can_be_cleaned_up(spark):
     again = shared.written(rows, "again")
     assert again.count() == 5 and shared.clean_up(spark) == 2 and shared.clean_up(spark) == 0
     assert not any(os.path.exists(archives.local_path(f)) for f in rows.inputFiles())
+
+
+def test_small_archives_share_frames(monkeypatch):
+    data = archive({"def/a.sii": b"a", "def/b.sii": b"b"})
+    given = [pd.DataFrame({"path": [f"m/a{i}.scs" for i in range(k, k + 150)], "content": [data] * 150}) for k in (0, 150)]
+    frames = list(tables.entry_frames(iter(given), {"a7.scs": 4}))
+    assert len(frames) == 1 and len(frames[0]) == 600
+    assert set(frames[0].loc[frames[0]["archive_seq"] == 4, "archive"]) == {"m/a7.scs"} and set(frames[0]["entry"]) == {0, 1}
+    monkeypatch.setattr(tables, "FRAME_ROWS", 100)
+    cut = list(tables.entry_frames(iter(given), {}))
+    assert [len(f) for f in cut] == [100] * 6 and pd.concat(cut)["content"].tolist() == frames[0]["content"].tolist()
+    assert list(tables.entry_frames(iter([]), {})) == []
