@@ -93,6 +93,25 @@ def test_levels_equal_the_nested_join(spark):
     assert pairs(spatial.grid_join(points, rects, "p", "r", "seq", 50.0)) == pairs(spatial.nested_join(points, rects, "p", "r", "seq"))
 
 
+def test_rectangles_over_all_points_are_few_nodes(spark):
+    n = spatial._STRIPES
+    ranges = spark.createDataFrame([(a, b) for a in (-1, 0, 3, n // 2 - 1, n - 1) for b in (0, 3, 4, n // 2, n - 1, n) if a <= b], "a int, b int")
+    for a, b, pieces in ranges.select("a", "b", spatial._pieces(F.col("a"), F.col("b")).alias("p")).collect():
+        assert len(pieces) <= 2 * spatial._STRIPE_BITS + 2
+        held = [s for node, _ in pieces for s in range(n) if any(node == (s + n) >> k for k in range(spatial._STRIPE_BITS + 1))]
+        assert sorted(held) == list(range(max(a, 0), min(b, n - 1) + 1))
+        assert {node - n for node, whole in pieces if not whole} == {a, b} - {-1, n}
+
+
+def test_equal_rectangles_and_edges_on_points(spark):
+    rng = random.Random(3)
+    rects = [(i, (i * 7) % 400, float(rng.randint(-5, 5)), float(rng.randint(-5, 5)), float(rng.choice((0, 1, 3, 100))), float(rng.choice((0, 2, 50)))) for i in range(400)]
+    points = [(i, float(rng.randint(-8, 8)), float(rng.randint(-8, 8)) + rng.choice((0, 0.5))) for i in range(300)] + [(300, math.nan, 1.0), (301, 1.0, None), (302, math.inf, 0.0)]
+    points, rects = spark.createDataFrame(points, "p long, x double, z double"), spark.createDataFrame(rects, "r long, seq long, rx double, rz double, w double, h double")
+    pairs = lambda df: sorted((a["p"], a["r"] is None, a["r"]) for a in df.collect())
+    assert pairs(spatial.grid_join(points, rects, "p", "r", "seq", 2.0)) == pairs(spatial.nested_join(points, rects, "p", "r", "seq"))
+
+
 @pytest.mark.parametrize("keys", [[], ["k"], ["k", "m"]])
 def test_segments_equal_windows(spark, keys):
     # Most rows have one key, some none.
