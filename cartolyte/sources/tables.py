@@ -6,6 +6,7 @@ spreads those. Decode once, write Parquet, query that.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -82,35 +83,43 @@ PARKING = 159190000071683284
 
 def sector_items(files: DataFrame, game: str = "ets2", types: frozenset[str] = formats.KEPT, strict: bool = True) -> DataFrame:
     """The items of sector files; the asked types are pushed down into the decoder."""
+    return _in_order(files).select("content", "file_ord").mapInPandas(lambda frames: item_frames(frames, game, types, strict), ITEMS)
+
+
+def _cut(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows as frames of ``FRAME_ROWS``, whatever files they come from: a batch of files has many times the rows that a task should hold."""
+    while held := list(itertools.islice(rows, FRAME_ROWS)):
+        # As objects: among nulls, pandas would turn 64-bit keys into floating point.
+        yield pd.DataFrame({n: pd.Series(v, dtype=object) for n, v in zip(columns, zip(*held))})
+
+
+def item_frames(frames: Iterator[pd.DataFrame], game: str, types: frozenset[str], strict: bool) -> Iterator[pd.DataFrame]:
+    """The items of sector files (content, file_ord) by frames."""
     names = [c.split()[0] for c in ITEMS.split(", ")]
 
-    def run(frames):
+    def rows():
         for frame in frames:
-            rows = []
             for content, order in zip(frame["content"], frame["file_ord"]):
                 for i, (kind, item) in enumerate(formats.read_sector(content, game, types, strict)[0]):
                     if kind == "overlay" and item["flags"][2] == 1 and item["look"] == 0:
                         item["look"] = PARKING
-                    rows.append(
-                        {n: item.get(n) for n in names}
-                        | {"load_seq": (int(order) << 32) | i, "look_token": item.get("look"), "start_uid": item.get("start"), "end_uid": item.get("end"), "node_uid": item.get("node"), "prefab_uid": item.get("prefab"), "color_index": item.get("color")}
-                        | {"zoom_visibility": item["flags"][0] if kind == "overlay" else None, "is_train": bool(item["flags"][0]) if kind == "ferry" else None, "draw_over": bool(item["flags"][0]) if kind == "map_area" else None}
-                    )
-            # As objects: among nulls, pandas would turn 64-bit keys into floating point.
-            yield pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype=object) for n in names})
+                    row = item | {"load_seq": (int(order) << 32) | i, "look_token": item.get("look"), "start_uid": item.get("start"), "end_uid": item.get("end"), "node_uid": item.get("node"), "prefab_uid": item.get("prefab"), "color_index": item.get("color")}
+                    row |= {"zoom_visibility": item["flags"][0] if kind == "overlay" else None, "is_train": bool(item["flags"][0]) if kind == "ferry" else None, "draw_over": bool(item["flags"][0]) if kind == "map_area" else None}
+                    yield tuple(row.get(n) for n in names)
 
-    return _in_order(files).select("content", "file_ord").mapInPandas(run, ITEMS)
+    return _cut(rows(), names)
 
 
-def sector_nodes(files: DataFrame, strict: bool = True) -> DataFrame:
-    """The nodes of sector files, each uid once: the first loaded."""
+def node_frames(frames: Iterator[pd.DataFrame], strict: bool) -> Iterator[pd.DataFrame]:
+    """The nodes of sector files (content, file_ord) by frames."""
+    rows = (((int(o) << 32) | i, n["uid"], n["x"], n["z"], n["rotation"]) for frame in frames for c, o in zip(frame["content"], frame["file_ord"]) for i, n in enumerate(formats.read_sector(c, types=frozenset(), strict=strict)[1]))
+    return _cut(rows, ["load_seq", "uid", "x", "z", "rotation"])
 
-    def run(frames):
-        for frame in frames:
-            rows = [n | {"load_seq": (int(o) << 32) | i} for c, o in zip(frame["content"], frame["file_ord"]) for i, n in enumerate(formats.read_sector(c, types=frozenset(), strict=strict)[1])]
-            yield pd.DataFrame(rows, columns=["load_seq", "uid", "x", "z", "rotation"])
 
-    return precedence.first_wins(_in_order(files).select("content", "file_ord").mapInPandas(run, NODES), ["uid"], "load_seq")
+def sector_nodes(files: DataFrame, strict: bool = True) -> DataFrame:
+    """The nodes of sector files, each uid once: the first loaded."""
+    nodes = _in_order(files).select("content", "file_ord").mapInPandas(lambda frames: node_frames(frames, strict), NODES)
+    return precedence.first_wins(nodes, ["uid"], "load_seq")
 
 
 def prefabs(files: DataFrame) -> DataFrame:

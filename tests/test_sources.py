@@ -157,3 +157,15 @@ def test_small_archives_share_frames(monkeypatch):
     cut = list(tables.entry_frames(iter(given), {}))
     assert [len(f) for f in cut] == [100] * 6 and pd.concat(cut)["content"].tolist() == frames[0]["content"].tolist()
     assert list(tables.entry_frames(iter([]), {})) == []
+
+
+def test_sector_rows_leave_in_bounded_frames(monkeypatch):
+    files = pd.DataFrame({"content": [b"x"] * 6, "file_ord": range(6)})
+    item = {"type": 3, "uid": -1 << 62, "x": 1.0, "z": 2.0, "hidden": False, "nodes": [], "actions": [], "flags": bytes(5)}
+    read = ([("road", item | {"look": 9, "start": 1, "end": 2})] * 100, [{"uid": 7, "x": 0.5, "z": 1.5, "rotation": 0.0}] * 100)
+    monkeypatch.setattr(formats, "read_sector", lambda *a, **k: read)
+    monkeypatch.setattr(tables, "FRAME_ROWS", 250)
+    for frames in (tables.item_frames(iter([files]), "ets2", formats.KEPT, True), tables.node_frames(iter([files]), True)):
+        frames = list(frames)
+        assert [len(f) for f in frames] == [250, 250, 100]
+        assert pd.concat(frames)["load_seq"].tolist() == [o << 32 | i for o in range(6) for i in range(100)]
