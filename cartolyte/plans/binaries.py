@@ -190,7 +190,7 @@ def _prefabs(spark, d) -> DataFrame:
     table = F.when(k % 2 == 0, F.concat(offsets, _zeros(12))).otherwise(F.concat(_zeros(4), offsets, _zeros(8)))
     head = F.concat(_int(21 + k % 2, 4), _int(nodes, 4), _int(k % 6, 4), _zeros(8), _int(spawns, 4), _zeros(8), _int(len(points), 4), _int(triggers, 4), _zeros(4), table)
     content = F.concat(head, _some([node(0), node(1)], nodes), _some(spawn, spawns), *points, _some(trigger, triggers))
-    return _table(spark, d, "part").select(*_file(F.format_string("prefab/%d.ppd", k), content))
+    return _rows(spark, d, "part", "p_partkey").select(*_file(F.format_string("prefab/%d.ppd", k), content))
 
 
 _LANE_OFFSET = "[0, 1, 2, 5, 10, 15, 20, 25]"
