@@ -256,7 +256,7 @@ def q56(spark, d):
     k = F.col("p_partkey").cast("int")
     text = F.concat(F.lit('key[]: "p'), "p_size", F.lit('"\nval[]: "'), "p_name", F.lit(' é"\nval[]: "later"\n'))
     content = F.when(k % 2 == 0, _text(text)).otherwise(_obfuscated(text, k * 37 % 256))
-    return tables.locale_names(_table(spark, d, "part").select(*_file(F.format_string("locale/l%d/%012d.sui", k % 7, k), content)))
+    return tables.locale_names(_rows(spark, d, "part", "p_partkey").select(*_file(F.format_string("locale/l%d/%012d.sui", k % 7, k), content)))
 
 
 @_query(
@@ -276,7 +276,7 @@ def q57(spark, d):
     method = F.when(F.col("p_partkey") % 3 == 0, _zeros(4)).otherwise(F.concat(F.lit("445854"), F.when(F.col("p_partkey") % 3 == 1, "33").otherwise("35")))
     body = F.when(F.col("p_partkey") % 3 == 0, F.concat(*(F.md5(F.concat(k, F.lit(more))) for more in ("", "b", "c", "d")))).otherwise(F.md5(k))
     content = F.concat(F.lit("444453207C000000"), _zeros(4), _int(4, 4), _int(4, 4), _zeros(0x40), method, _zeros(0x28), body)
-    return tables.textures(_table(spark, d, "part").select(*_file(F.concat(F.lit("tex/"), k, F.lit(".dds")), content))).select("path", "width", "height", F.hex("bgra").alias("pixels"))
+    return tables.textures(_rows(spark, d, "part", "p_partkey").select(*_file(F.concat(F.lit("tex/"), k, F.lit(".dds")), content))).select("path", "width", "height", F.hex("bgra").alias("pixels"))
 
 
 @_query(
