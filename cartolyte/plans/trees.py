@@ -99,7 +99,7 @@ def q71(spark: SparkSession, d: str) -> DataFrame:
 )
 def q72(spark: SparkSession, d: str) -> DataFrame:
     """Archives written as files of the shared folder, one for each supplier, then planned by their indices and read by ranges: the winner of each path that the condition lets through."""
-    s, folder = _table(spark, d, "supplier"), new_path(spark, "archives")
+    s, folder = binaries._rows(spark, d, "supplier", "s_suppkey"), new_path(spark, "archives")
     path = F.concat(F.lit("only/"), "s_nationkey", F.lit(".sii"))
     zipped = binaries.zip_archive(path, F.concat(F.lit("of "), "s_suppkey"))
     sinks.write_files(s.select(F.concat(F.lit("z"), "s_suppkey", F.lit(".scs")).alias("name"), F.unhex(zipped).alias("content")), folder)

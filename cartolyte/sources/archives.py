@@ -1,7 +1,7 @@
 """Archives as a data source of Spark: planned by their indices, read by ranges of bytes.
 
 The planner lists the archives of a folder and reads their indices only. A partition is a run of neighbouring entries of
-one archive, so an archive of any size is many tasks, each of which reads the bytes of its own entries. Conditions on
+an archive, so one of any size is many tasks, each of which reads the bytes of its own entries, and small ones share a task. Conditions on
 ``path`` (equal, in a list, begins with) are settled while planning: other entries' bytes are never read. Files are opened
 by path, so the folder has to be one that the driver and all executors see.
 """
@@ -27,8 +27,8 @@ from cartolyte.sources import formats
 SCHEMA = "archive string, archive_seq int, entry int, path string, at long, packed long, size long, kind int, content binary"
 #: How an entry's bytes are kept (an own numbering): as they are, by zlib, or as a ZIP member behind its local header.
 PLAIN, ZLIB, MEMBER = range(3)
-#: Packed bytes of a partition, about.
-SPLIT_BYTES = 64 << 20
+#: Packed bytes of a partition, about, and what an archive counts for besides them, as it has to be opened.
+SPLIT_BYTES, OPEN_BYTES = 64 << 20, 128 << 10
 
 
 class Entry(NamedTuple):
@@ -92,9 +92,11 @@ def index_of(file: BinaryIO) -> Iterator[Entry]:
 
 
 class _Run(InputPartition):
-    def __init__(self, archive: str, seq: int, entries: list[tuple[int, Entry]]) -> None:
+    """Runs of neighbouring entries: (archive, its layer, numbered entries)."""
+
+    def __init__(self, parts: list[tuple[str, int, list[tuple[int, Entry]]]]) -> None:
         super().__init__(None)
-        self.archive, self.seq, self.entries = archive, seq, entries
+        self.parts = parts
 
 
 class ArchiveReader(DataSourceReader):
@@ -121,31 +123,36 @@ class ArchiveReader(DataSourceReader):
         return all(path in v if kind == "in" else path.startswith(v) for kind, v in self.conditions)
 
     def partitions(self) -> list[_Run]:
-        runs = []
+        runs, parts, size = [], [], 0
         for name in sorted(os.listdir(self.folder)):
             if not fnmatch.fnmatch(name, self.pattern):
                 continue
             archive = os.path.join(self.folder, name)
             with open(archive, "rb") as file:
                 entries = [(i, e) for i, e in enumerate(index_of(file)) if self._wanted(e.path)]
-            held, size = [], 0
+            held = None
             for i, e in sorted(entries, key=lambda x: x[1].at):
-                cost = e.packed if self.with_content else 64
-                if held and size + cost > self.split:
-                    runs.append(_Run(archive, self.layers.get(name, 0), held))
-                    held, size = [], 0
+                cost = (e.packed if self.with_content else 64) + (0 if held else OPEN_BYTES)
+                if parts and size + cost > self.split:
+                    runs.append(_Run(parts))
+                    parts, size, held = [], 0, None
+                if held is None:
+                    held = []
+                    parts.append((archive, self.layers.get(name, 0), held))
                 held.append((i, e))
                 size += cost
-            if held:
-                runs.append(_Run(archive, self.layers.get(name, 0), held))
-        return runs or [_Run("", 0, [])]
+        if parts:
+            runs.append(_Run(parts))
+        return runs or [_Run([])]
 
     def read(self, partition: _Run) -> Iterator[tuple]:
-        if not partition.entries:
-            return
-        with open(partition.archive, "rb") as file:
-            for i, e in partition.entries:
-                yield (partition.archive, partition.seq, i, *e, read_entry(file, e) if self.with_content else None)
+        for archive, seq, entries in partition.parts:
+            if not self.with_content:
+                yield from ((archive, seq, i, *e, None) for i, e in entries)
+                continue
+            with open(archive, "rb") as file:
+                for i, e in entries:
+                    yield (archive, seq, i, *e, read_entry(file, e))
 
 
 class ArchiveSource(DataSource):

@@ -169,3 +169,12 @@ def test_sector_rows_leave_in_bounded_frames(monkeypatch):
         frames = list(frames)
         assert [len(f) for f in frames] == [250, 250, 100]
         assert pd.concat(frames)["load_seq"].tolist() == [o << 32 | i for o in range(6) for i in range(100)]
+
+
+def test_small_archives_share_tasks(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"a{i:02}.scs").write_bytes(archive({"def/a.sii": str(i).encode()}))
+    rows = archives.archives(spark, str(tmp_path), {"a07.scs": 5})
+    assert rows.rdd.getNumPartitions() == 1
+    assert sorted((r["archive"][-7:], r["archive_seq"], bytes(r["content"])) for r in rows.collect()) == [(f"a{i:02}.scs", 5 if i == 7 else 0, str(i).encode()) for i in range(40)]
+    assert archives.archives(spark, str(tmp_path), splitbytes=4 * archives.OPEN_BYTES + 1000).rdd.getNumPartitions() == 10
