@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cartolyte.operators import polygons
 from cartolyte.plans.catalogue import _table, query_into
 from cartolyte.sources import formats, tables
+from cartolyte.sources.shared import spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -22,8 +23,7 @@ VERSIONS = {825: 16, 846: 16, 858: 16, 884: 17, 891: 18}
 
 def _rows(spark, d, name: str, key: str) -> DataFrame:
     """A table's rows spread over tasks: it is small where the files made of its rows are not, so its own splits are too few."""
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return _table(spark, d, name).repartition(n, key)
+    return spread(_table(spark, d, name), key)
 
 
 def _int(v: Column | int, width: int) -> Column:

@@ -88,8 +88,10 @@ def q71(spark: SparkSession, d: str) -> DataFrame:
     x0, z0, x1, z1 = F.col("rx"), F.col("rz"), F.col("rx") + F.col("w"), F.col("rz") + F.col("h")
     areas = _rects(spark, d).select((-1 - F.col("s_suppkey")).alias("id"), F.lit(True).alias("closed"), F.array(at(x0, z0), at(x1, z0), at(x1, z1), at(x0, z1)).alias("points"))
     rows = pyramid.write_pyramid(lines.unionByName(areas), range(5), -4000.0, 8000.0, 100.0, new_path(spark, "pyramid"))
+    area, number = F.col("id") < 0, F.when(F.col("id") < 0, -1 - F.col("id")).otherwise(F.col("id"))
+    counts = rows.groupBy("zoom", "key", area.alias("area")).agg(F.count("*").alias("n"), F.sum(number).alias("ids"))
     tx, ty = pyramid.tile_of(F.col("key"))
-    return rows.groupBy("zoom", tx.alias("tx"), ty.alias("ty"), (F.col("id") < 0).alias("area")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("id") < 0, -1 - F.col("id")).otherwise(F.col("id"))).alias("ids"))
+    return counts.select("zoom", tx.alias("tx"), ty.alias("ty"), "area", "n", "ids")
 
 
 @_query(

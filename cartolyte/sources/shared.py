@@ -48,3 +48,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = new_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tasks(spark: SparkSession) -> int:
+    """How many tasks work is spread over where a table's own splits are too few."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows spread over tasks: they are few bytes where what is made of them is not."""
+    return df.repartition(tasks(df.sparkSession), key)
